@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from steelyard.llm.mixing import SQL_OP8, op8_mixing
+from steelyard.llm.packing import op1_packing
 from steelyard.llm.pii import op7_pii
 from steelyard.llm.quality_rules import SQL_OP6, op6_quality_rules
 from steelyard.llm.sharding import op9_sharding
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
