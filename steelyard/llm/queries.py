@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from steelyard.llm.minhash import op3_minhash
 from steelyard.llm.mixing import SQL_OP8, op8_mixing
 from steelyard.llm.packing import op1_packing
 from steelyard.llm.pii import op7_pii
 from steelyard.llm.quality_rules import SQL_OP6, op6_quality_rules
 from steelyard.llm.sharding import op9_sharding
+from steelyard.llm.suffixes import op5_suffixes
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_minhash": op3_minhash,
+    "op5_suffixes": op5_suffixes,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
