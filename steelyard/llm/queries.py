@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from steelyard.llm.embeddings import SQL_OP4, op4_embeddings
 from steelyard.llm.minhash import op3_minhash
 from steelyard.llm.mixing import SQL_OP8, op8_mixing
 from steelyard.llm.packing import op1_packing
@@ -9,10 +10,13 @@ from steelyard.llm.pii import op7_pii
 from steelyard.llm.quality_rules import SQL_OP6, op6_quality_rules
 from steelyard.llm.sharding import op9_sharding
 from steelyard.llm.suffixes import op5_suffixes
+from steelyard.llm.tokencount import op2_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_token_counts": op2_token_counts,
     "op3_minhash": op3_minhash,
+    "op4_embeddings": op4_embeddings,
     "op5_suffixes": op5_suffixes,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
@@ -20,6 +24,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL = {
+    "op4_embeddings": SQL_OP4,
     "op6_quality_rules": SQL_OP6,
     "op8_mixing": SQL_OP8,
 }
