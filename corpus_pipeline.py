@@ -1,10 +1,56 @@
-"""The corpus pipeline: STAGES of (name, function), each (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: STAGES of (name, function), each (spark, docs, sf_dir) -> DataFrame.
+
+Documents that the quality classifier rejects go, one document of each near-duplicate group stays,
+personal data gets pseudonyms, sources are mixed to their target weights and the mix is packed into
+sequences. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from steelyard.llm.common import materialize, table
+from steelyard.llm.minhash import keep_one
+from steelyard.llm.mixing import mix, repeat_rows
+from steelyard.llm.packing import pack
+from steelyard.llm.pii import pseudonymize
+from steelyard.llm.quality_model import score, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more for quality."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, name="_score").where("_score >= 0.5").drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms for personal data, and n_chars of the new text."""
+    return pseudonymize(docs, count=None).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them; whole documents only."""
+    return repeat_rows(mix(docs, keep_text=True, split=False)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in sequences of 2048 tokens, one row per piece."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", private), ("mixing", mixed), ("packing", packed)]
+#: A fitted classifier, sampled signatures and tokens are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steelyard.llm import texthash
@@ -81,6 +81,10 @@ def shingles(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.n
             yield a, b, grams, np.zeros(0, dtype=np.int64), np.zeros(b - a + 1, dtype=np.int64)
 
 
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def _ordered(block: pa.Table, key: str) -> pa.Table:
     return block.sort_by([(key, "ascending"), ("_md5", "ascending")])
 
@@ -101,7 +105,7 @@ def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: in
     sizes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     n, blocks, bins = sizes[0], max(1, math.ceil(sizes[0] / BLOCK)), max(48, math.ceil(sizes[1] / 6 / BIN))
     step = _log_step(n)
-    base = docs.select(F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_md5"), F.col(text).alias("_text"))
+    base = docs.select(F.col(key), _digest(text).alias("_md5"), F.col(text).alias("_text"))
     base = base.withColumn("_block", F.pmod(F.xxhash64(key, "_md5"), F.lit(blocks)).cast("int"))
 
     def deal(block: pa.Table) -> pa.Table:
@@ -231,7 +235,7 @@ def candidates(members: DataFrame, most: int | None, agree: int) -> DataFrame:
     return rows.mapInPandas(lambda frames: (of(g) for g in runs(frames, ["h", "i", "j"])), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, seed: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, seed: int = 5, digest: str | None = None) -> DataFrame:
     """Group documents whose texts are equal or reach the weighted Jaccard similarity ``threshold`` over
     TF-IDF shingles of five words, directly or by way of others: ``(key, class_id, kept)``, one row per
     input row. ``class_id`` is the smallest key of the group, whose row is ``kept``.
@@ -244,7 +248,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     A null text is an empty one; texts without a word equal only themselves; a text of fewer than five
     words is one shingle; rows without a key get a null class and are kept; repeated rows share a class;
-    an empty table gives no rows. ``key`` is a whole number.
+    an empty table gives no rows. ``key`` is a whole number. ``digest`` names a column with each row's
+    digest of its text.
     """
     own = docs.where(F.col(key).isNotNull())
     sketches = materialize(sketched(own, key, text, threshold=threshold, seed=seed), "minhash")
@@ -268,14 +273,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         tested, edges = tested.unionByName(new), edges.unionByName(more)
         labels = components(edges)
 
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_md5")
-    rows = docs.select(key, digest)
+    rows = docs.select(key, _digest(text).alias("_md5"))
     classes = rows.where(F.col(key).isNotNull()).groupBy("_md5").agg(F.min(key).alias("_first"))
     classes = classes.join(labels.select(F.col("id").alias("_first"), "component"), "_first", "left")
     classes = classes.select("_md5", F.coalesce("component", "_first").alias("class_id"))
-    out = rows.join(classes, "_md5", "left")
-    class_id = F.when(F.col(key).isNotNull(), F.col("class_id"))
-    return out.select(key, class_id.alias("class_id"), (F.col(key) == class_id).alias("_k")).select(key, "class_id", F.coalesce("_k", F.lit(True)).alias("kept"))
+    out = rows.join(classes, "_md5", "left").withColumn("class_id", F.when(F.col(key).isNotNull(), F.col("class_id")))
+    out = out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    return out.select(key, "class_id", "kept", *([F.col("_md5").alias(digest)] if digest else []))
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **plan) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, one of each group, with all their columns.
+
+    A row is known by its key and text; rows without a key all stay.
+    """
+    kept = near_duplicates(docs.select(key, text), key=key, text=text, digest="_digest", **plan)
+    kept = kept.where("kept").where(F.col(key).isNotNull()).select(key, "_digest")
+    own = docs.where(F.col(key).isNotNull()).withColumn("_digest", _digest(text))
+    own = own.join(kept, [key, "_digest"], "left_semi").dropDuplicates([key, "_digest"])
+    return own.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

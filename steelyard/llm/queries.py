@@ -7,6 +7,7 @@ from steelyard.llm.minhash import op3_minhash
 from steelyard.llm.mixing import SQL_OP8, op8_mixing
 from steelyard.llm.packing import op1_packing
 from steelyard.llm.pii import op7_pii
+from steelyard.llm.quality_model import op10_quality_model
 from steelyard.llm.quality_rules import SQL_OP6, op6_quality_rules
 from steelyard.llm.sharding import op9_sharding
 from steelyard.llm.suffixes import op5_suffixes
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_quality_model": op10_quality_model,
 }
 ORACLE_SQL = {
     "op4_embeddings": SQL_OP4,
