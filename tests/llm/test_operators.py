@@ -1,0 +1,406 @@
+"""Each corpus operator against brute force, on texts with every edge case."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, _md5 string, score double, kept boolean"
+
+
+def texts():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeñ漢") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    make = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base, passage = make(120), make(110)
+    out = [None, "", " \t\n ", "one", "one two", "é" * 700, "se " * 300, base, base, base, passage * 40, make(5000)]
+    for _ in range(6):
+        ws = base.split(" ")
+        ws[r.randrange(len(ws))] = "changed%d" % r.randrange(99)
+        out.append(" ".join(ws))
+    out += [make(30) + "\n" + passage + "\n" + make(30) for _ in range(5)]
+    out += [make(r.randint(1, 200)) for _ in range(40)]
+    out += ["SHOUT!! LOUD!! " * 20 + make(3), "a$$$ b### c%%% " * 9]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", None, 5, 1, "x", 0.1, False) for i, t in enumerate(texts())]
+    return [*out, out[7], out[7], (None, "no key", "en", "s1", 1, 1, 1, "", 0.0, True)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def keyed(docs):
+    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing_round_trip(docs, rows, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from steelyard.llm.packing import CAPACITY, pack
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    pieces = pack(docs).collect()
+    left = collections.Counter()
+    for row in rows:
+        ids = np.array([*tokenizer.encode(row[1] or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        left[row[0], len(ids)] += len(ids)
+        for p in pieces:
+            if p.doc_id == row[0] and p.doc_tokens == len(ids):
+                assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+    for p in pieces:
+        left[p.doc_id, p.doc_tokens] -= p.length
+    assert not any(left.values())
+    for own in sequences(pieces).values():
+        assert sum(p.length for p in own) <= CAPACITY
+    assert pack(none).count() == 0
+
+
+def sequences(pieces):
+    out = collections.defaultdict(list)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == sum(x.length for x in out[p.sequence_id])
+        out[p.sequence_id].append(p)
+    return out
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from steelyard.llm.packing import bpe_file, encoder
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encode = encoder(bpe_file())
+    for low in range(0, 0x110000, 512):
+        text = "".join(f"a{chr(c)}{chr(c)} {chr(c)}1" for c in range(low, low + 512) if not 0xD800 <= c < 0xE000)
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_covers_no_more_than_there_is():
+    from steelyard.llm.packing import plan
+
+    r = random.Random(1)
+    demand = {k: r.randint(0, 400) for k in range(1, 33)}
+    used = collections.Counter()
+    patterns = plan(demand, 64)
+    for pattern, times in patterns:
+        assert sum(k * n for k, n in pattern.items()) <= 64 and times > 0
+        for k, n in pattern.items():
+            used[k] += n * times
+    assert all(used[k] <= demand[k] for k in demand)
+    rest = sum(k * (demand[k] - used[k]) for k in demand)
+    assert sum(t for _, t in patterns) * 64 + rest <= 1.01 * sum(k * n for k, n in demand.items())
+    assert plan({}, 64) == []
+
+
+def test_token_counts_equal_the_unigram_tokenizer(docs, none):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from steelyard.llm.tokencount import Counter, count_tokens, piece_file, vocabulary
+
+    vocab = vocabulary(piece_file())
+    tokenizer = Tokenizer(models.Unigram(vocab, unk_id=0, byte_fallback=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    want = collections.Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.select("doc_id", "text").collect())
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in count_tokens(docs).collect()) == want
+    assert count_tokens(none).count() == 0
+    # ties: equal scores everywhere
+    flat = [("<unk>", -1.0), ("▁", -1.0), *((p, -1.0) for p in ("a", "b", "ab", "ba", "aba", "bb", "▁a", "▁ab"))]
+    tie = Tokenizer(models.Unigram(flat, unk_id=0, byte_fallback=False))
+    tie.pre_tokenizer = tokenizer.pre_tokenizer
+    r = random.Random(2)
+    some = ["".join(r.choice("ab ") for _ in range(r.randint(0, 30))) for _ in range(300)]
+    assert [n for n, _ in Counter(flat).counts(some)] == [len(tie.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def shingles(text):
+    ws = WORD.findall(text or "")
+    return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else collections.Counter()
+
+
+def near_classes(rows):
+    """Classes by brute force: (key, text) to the smallest key reached."""
+    from steelyard.llm.minhash import IDF_GAIN
+
+    rows = [r for r in rows if r[0] is not None]
+    sets = [shingles(r[1]) for r in rows]
+    df = collections.Counter(k for s in sets for k in s)
+    step = math.log(max(len(rows), 2)) / 255
+    idf = {k: 1 + IDF_GAIN * (1 - (0 if n == 1 else max(1, min(255, round(math.log(n) / step)))) / 255) for k, n in df.items()}
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = sum(min(n, sets[j][k]) * idf[k] for k, n in sets[i].items())
+            total = sum(n * idf[k] for s in (sets[i], sets[j]) for k, n in s.items()) - common
+            if (rows[i][1] or "") == (rows[j][1] or "") or total and common / total >= 0.8:
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    return sorted((rows[i][0], min(groups[find(i)])) for i in range(len(rows)))
+
+
+def test_near_duplicates(docs, rows, none):
+    from steelyard.llm.minhash import keep_one, near_duplicates
+
+    got = near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == near_classes(rows)
+    assert all(r.kept == (r.doc_id == r.class_id) for r in got if r.doc_id is not None)
+    assert [(r.class_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, c in near_classes(rows)})
+    assert near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    from steelyard.llm import minhash
+
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(i % 12):
+            ws[r.randrange(len(ws))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == near_classes(rows)
+
+
+def test_samples_collide_by_weighted_jaccard():
+    from steelyard.llm.minhash import samples, weighted_jaccard
+
+    r = np.random.default_rng(1)
+    h = np.sort(r.integers(0, 2**63, 400, dtype=np.uint64))
+    w = r.choice([1.0, 1.2, 1.5], 400).astype(np.float32)
+    want = weighted_jaccard(h[:300], w[:300], h[60:], w[60:])
+    s = samples(np.concatenate([h[:300], h[60:]]), np.concatenate([w[:300], w[60:]]), np.array([0, 300, 640]), 3000, 9)
+    assert abs((s[0] == s[1]).mean() - want) < 0.04
+
+
+def test_vectors(spark):
+    from steelyard.llm.embeddings import near_vectors
+
+    r = np.random.default_rng(4)
+    base = r.standard_normal((12, 16))
+    vectors = [(i, [float(v) for v in base[i % 12] * (1 + i) + 0.05 * i / 60 * r.standard_normal(16) * (1 + i)], i % 2 if i % 5 else 0) for i in range(60)]
+    vectors += [(60, None, 0), (61, [0.0] * 16, 0), (62, [float("nan")] * 16, 0), (63, [None] * 16, 0), (64, [1.0, float("inf")], 0), (65, [], 1), (66, vectors[3][1], None), (67, vectors[3][1], vectors[3][2]), (68, vectors[3][1], vectors[3][2]), (69, [1.0, 2.0], 1), (70, [2.0, 4.0], 1), (71, [1e-300, 2e-300], 1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumnRenamed("nothing", "n_links")
+    ok = {i: (np.array(v), lab) for i, v, lab in vectors if v and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    unit = {i: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for i, (v, _) in ok.items()}
+    links = {i: {j for j in ok if j != i and ok[i][1] == ok[j][1] and len(ok[i][0]) == len(ok[j][0]) and unit[i] @ unit[j] >= 0.98} for i in ok}
+    for x in near_vectors(df).collect():
+        reach, todo = {x.vec_id}, [x.vec_id]
+        while todo:
+            todo += [j for j in links.get(todo.pop(), ()) if j not in reach and not reach.add(j)]
+        assert (x.n_links, x.component_id, x.kept) == (len(links.get(x.vec_id, ())), min(reach), x.vec_id == min(reach)), x
+    assert near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("length", "token"), [(400, 100), (40, 10)])
+def test_repeated_bytes(docs, rows, none, length, token):
+    from steelyard.llm.suffixes import repeated_bytes
+
+    data = [(r[0], (r[1] or "").encode()) for r in rows]
+    seen = collections.Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+    want = []
+    for key, b in data:
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        n_spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        want.append((key, len(b), int(gone.sum()), n_spans, hashlib.sha256(np.frombuffer(b, dtype=np.uint8)[~gone].tobytes()).hexdigest()))
+    got = [tuple(r) for r in repeated_bytes(docs, length=length, token=token).collect()]
+    order = lambda x: (x[0] is None, x)
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert repeated_bytes(none).count() == 0
+
+
+def test_multikey_order():
+    from steelyard.llm.suffixes import multikey_order
+
+    r = np.random.default_rng(2)
+    keys = [r.integers(0, 5, 300) for _ in range(3)]
+    assert [tuple(k[i] for k in keys) for i in multikey_order(*keys)] == sorted(zip(*keys, strict=True))
+
+
+def test_quality_rules(docs, none):
+    from steelyard.llm.quality_rules import cascade, measure
+
+    for r in cascade(measure(docs)).collect():
+        ws = WORD.findall(r.text or "")
+        windows = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+        hit = {i + k for i in range(len(ws) - 7) if windows[tuple(ws[i : i + 8])] > 1 for k in range(8)}
+        lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        want = (len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", r.text or "")), len(lines) - len(set(lines)), len(hit))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(ws) < 20 or 100 * len(hit) > 30 * len(ws))
+        assert r.kept == (r.failed_rule is None) and not (r.base_failed and r.kept)
+    assert cascade(measure(none)).count() == 0
+
+
+def test_cascade_order_changes_no_verdict(docs):
+    from steelyard.llm.quality_rules import RULES, cascade, measure
+
+    one = {(r.doc_id, r.text): r.kept for r in cascade(measure(docs)).collect()}
+    other = cascade(measure(docs), dict(reversed(RULES.items())), sample_rows=5, seed=1).collect()
+    assert {(r.doc_id, r.text): r.kept for r in other} == one
+
+
+CASES = [
+    "mail ann.b@mail.example.org twice ann.b@mail.example.org", "card 4111 1111 1111 1111 ok", "card 4111111111111112 not",
+    "born 1999-02-28, 2024-02-30 is none, 31/12/1999 and 01.01.2000", "ssn 123-45-6789 but 000-45-6789 not", "ip 10.1.2.3 and 300.1.1.1",
+    "iban DE89370400440532013000 bad DE89370400440532013001", "call +49 30 1234567 or (555) 123-4567", "key 0123456789abcdef0123456789abcdef", "plain 12 345 text", None, "",
+]
+
+
+def test_pseudonyms(spark):
+    from steelyard.llm.pii import pseudonymize
+
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)], "doc_id long, text string, n_replaced string")
+    out = {r.doc_id: r for r in pseudonymize(df).collect()}
+    again = {r.doc_id: r for r in pseudonymize(df.repartition(5)).collect()}
+    assert {k: r.text for k, r in out.items()} == {k: r.text for k, r in again.items()}
+    assert [out[i].n_replaced for i in range(len(CASES))] == [2, 1, 0, 3, 1, 1, 1, 2, 1, 0, 0, 0]
+    first, second = re.findall(r"\S+@\S+", out[0].text)
+    assert first == second != "ann.b@mail.example.org"
+    assert re.fullmatch(r"card \d{4} \d{4} \d{4} \d{4} ok", out[1].text) and out[1].text != CASES[1]
+    digits = [int(c) for c in re.sub(r"\D", "", out[1].text)][::-1]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert "2024-02-30" in out[3].text and "000-45-6789" in out[4].text and "300.1.1.1" in out[5].text
+    assert out[9].text == CASES[9] and out[10].text is None and out[11].text == ""
+
+
+def test_feistel_permutes(spark):
+    from pyspark.sql import functions as F
+
+    from steelyard.llm import pii, sharding
+
+    df = spark.range(97 * 11).select(pii.feistel(F.col("id"), F.lit(97), F.lit(11), "k", "t").alias("y"))
+    assert sorted(r.y for r in df.collect()) == list(range(97 * 11))
+    for n in (1, 2, 3, 1000, 4097):
+        assert sorted(sharding.feistel(np.arange(n), n, 7).tolist()) == list(range(n))
+
+
+def test_mix(docs, rows, none):
+    from steelyard.llm.mixing import mix, repeat_rows
+
+    got = mix(docs).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        for s in over or free:
+            target[s] = 2 * sizes[s] if over else level * weight[s]
+            left -= target[s]
+        free -= over or free
+    taken = collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.taken)
+    assert sorted(map(key, mix(docs.repartition(7)).collect())) == sorted(map(key, got))
+    whole = mix(docs, keep_text=True, split=False)
+    assert repeat_rows(whole).count() == sum(r.taken // r.size for r in whole.collect() if r.size)
+    assert mix(none).count() == 0
+
+
+def test_shards(docs, rows, none):
+    from steelyard.llm.sharding import shard
+
+    got = shard(docs, 24).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values()) if len(slots) == 24 else [0]) <= 1
+    want = sorted((str(r[0]), len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == want
+    place = lambda xs: sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in xs)
+    assert place(shard(docs.repartition(5), 24).collect()) == place(got)
+    assert shard(none, 24).count() == 0
+
+
+def test_classifier_on_held_out_rows(spark, sf, none):
+    from pyspark.sql import functions as F
+
+    from steelyard.llm.common import table
+    from steelyard.llm.quality_model import held_out, score, train
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = train(docs, labels)
+    rows = score(docs, model).join(labels, "doc_id").where(held_out("doc_id")).select("score", "quality").collect()
+    assert len(rows) > 10 and sum((r.score >= 0.5) == (r.quality == 1) for r in rows) >= 0.9 * len(rows)
+    # the labels of held-out rows, and all other columns, change nothing
+    other = train(docs, labels.withColumn("quality", F.when(held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert np.array_equal(model.value, other.value) and model.bias == other.bias
+    assert score(none, model).count() == 0
+
+
+def test_classifier_takes_any_text(docs, spark):
+    from steelyard.llm.quality_model import score, train
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = score(docs, train(docs, labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    for known in (labels.where("quality = 1"), labels.limit(0)):
+        assert all(0 <= r.score <= 1 for r in score(docs, train(docs, known)).collect())
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+    from steelyard.llm.common import materialize, table
+    from steelyard.llm.quality_model import score, train
+
+    docs = table(spark, sf, "documents")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf), name)
+        seen.append((name, before, docs))
+        assert docs.columns == columns or name == "packing"
+    kept = {r.doc_id for r in seen[0][2].collect()}
+    model = train(seen[0][1], table(spark, sf, "labels"))
+    assert kept == {r.doc_id for r in score(seen[0][1], model).collect() if r.score >= 0.5}
+    rows = [(r.doc_id, r.text) for r in seen[1][1].collect()]
+    assert sorted(r.doc_id for r in seen[1][2].collect()) == sorted({c for _, c in near_classes(rows)})
+    assert seen[2][2].count() == seen[2][1].count()
+    mixed = seen[3][2].collect()
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in seen[3][1].collect()}
+    packed = seen[4][2].collect()
+    assert {p.doc_id for p in packed} == {r.doc_id for r in mixed}
+    sequences(packed)
