@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from steelyard.plans import facts
+
 FLAGSHIP = "fact_grid"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_ALL = facts.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
