@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from steelyard.plans import facts, relational
+from steelyard.plans import analysis, facts, relational
 
 FLAGSHIP = "fact_grid"
-_ALL = facts.QUERIES | relational.QUERIES
+_ALL = facts.QUERIES | relational.QUERIES | analysis.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
