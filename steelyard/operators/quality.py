@@ -75,8 +75,8 @@ def risk(items: DataFrame, by: list[str]) -> DataFrame:
     applies = F.coalesce("applicable", F.lit(True))
     done = applies & F.col("conclusion").isin("sufficient", "insufficient")
     pending = (applies & ~F.coalesce(done, F.lit(False))) | (~applies & ~evidence)
-    g = items.groupBy(*by).agg(F.count_if(F.coalesce(done, F.lit(False)) & (F.col("conclusion") == "sufficient")).alias("n"), F.count_if(F.coalesce(done, F.lit(False))).alias("d"), F.count_if(pending).alias("p"))
-    return g.select(*by, component(F.col("n"), F.col("d"), F.col("p")).alias("component"))
+    g = items.groupBy(*by).agg(F.count_if(F.coalesce(done, F.lit(False)) & (F.col("conclusion") == "sufficient")).alias("_n"), F.count_if(F.coalesce(done, F.lit(False))).alias("_d"), F.count_if(pending).alias("_p"))
+    return g.select(*by, component(F.col("_n"), F.col("_d"), F.col("_p")).alias("component"))
 
 
 def template(claims: DataFrame, by: list[str]) -> DataFrame:
@@ -84,16 +84,16 @@ def template(claims: DataFrame, by: list[str]) -> DataFrame:
     conclusion``, where a null or pending conclusion is yet to come."""
     reviewed = F.coalesce(F.col("conclusion") != "pending", F.lit(False))
     own = F.coalesce("is_substantive", F.lit(False))
-    g = claims.groupBy(*by).agg(F.count_if(reviewed & own & F.coalesce("is_template", F.lit(False))).alias("n"), F.count_if(reviewed & own).alias("d"), F.count_if(~reviewed).alias("p"))
-    return g.select(*by, component(F.col("n"), F.col("d"), F.col("p")).alias("component"))
+    g = claims.groupBy(*by).agg(F.count_if(reviewed & own & F.coalesce("is_template", F.lit(False))).alias("_n"), F.count_if(reviewed & own).alias("_d"), F.count_if(~reviewed).alias("_p"))
+    return g.select(*by, component(F.col("_n"), F.col("_d"), F.col("_p")).alias("component"))
 
 
 def checklist(states: DataFrame, by: list[str], *, legacy: bool = False) -> DataFrame:
     """Triggered among verified applicable items. ``states`` has ``item, state`` in triggered, clear,
     not_applicable, insufficient. An item counts once, however often it triggers; ``legacy`` counts each."""
     one = states if legacy else states.groupBy(*by, "item").agg(F.max_by("state", F.when(F.col("state") == "triggered", 3).when(F.col("state") == "insufficient", 2).when(F.col("state") == "clear", 1).otherwise(0)).alias("state"))
-    g = one.groupBy(*by).agg(F.count_if(F.col("state") == "triggered").alias("n"), F.count_distinct(F.when(F.col("state").isin("triggered", "clear"), F.col("item"))).alias("d"), F.count_if(F.col("state") == "insufficient").alias("p"))
-    return g.select(*by, component(F.col("n"), F.col("d"), F.col("p")).alias("component"))
+    g = one.groupBy(*by).agg(F.count_if(F.col("state") == "triggered").alias("_n"), F.count_distinct(F.when(F.col("state").isin("triggered", "clear"), F.col("item"))).alias("_d"), F.count_if(F.col("state") == "insufficient").alias("_p"))
+    return g.select(*by, component(F.col("_n"), F.col("_d"), F.col("_p")).alias("component"))
 
 
 __all__ = ["aging_share", "cash_streak", "checklist", "component", "inventory", "quantize", "receivables", "risk", "template", "turnover_days"]

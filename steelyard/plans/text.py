@@ -148,7 +148,7 @@ def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents that best match a query, by score: a top-k report."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.trigram_search(d, "the and", key="doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return search.trigram_search(d, "the and", key="doc_id")
 
 
 TRIGRAM_SQL = """
@@ -156,7 +156,7 @@ WITH g AS (SELECT unnest(['the', 'he ', 'e a', ' an', 'and']) AS g), d AS (SELEC
 n AS (SELECT count(*) AS n, avg(len) AS avg FROM d),
 o AS (SELECT doc_id, g, len, len(list_filter(range(1, CAST(len AS INT) + 1), lambda i: substr(t, i, 3) = g)) AS tf, contains(t, 'the and') AS hit FROM d CROSS JOIN g WHERE contains(t, g)),
 f AS (SELECT g, count(*) AS df FROM o GROUP BY 1)
-SELECT doc_id, round(round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6), 4) AS score
+SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score
 FROM o JOIN f ON f.g = o.g CROSS JOIN n WHERE hit GROUP BY 1 ORDER BY round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) DESC, doc_id LIMIT 20
 """
 
