@@ -81,16 +81,19 @@ RULES: dict[str, Column | str] = {
 }
 
 
-def order_rules(measured: DataFrame, rules: dict[str, Column | str], *, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
-    """``(rule, seconds, rejected share)`` in order of rejections per second on a sample.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows, measured: the others are not."""
+    n = docs.count()
+    return measure(docs.sample(min(1.0, rows / n), seed=seed) if n else docs)
 
-    The sample of about ``sample_rows`` rows is held in memory; each rule runs over it alone. Only the
-    order comes from here, so a verdict never depends on the sample.
+
+def order_rules(sample: DataFrame, rules: dict[str, Column | str]) -> list[tuple[str, float, float]]:
+    """``(rule, seconds, rejected share)`` in order of rejections per second on a measured sample.
+
+    The sample is held in memory; each rule runs over it alone. Only the order comes from here, so a
+    verdict never depends on the sample.
     """
-    n = measured.count()
-    if not n:
-        return [(name, 0.0, 0.0) for name in rules]
-    sample = measured.sample(min(1.0, sample_rows / n), seed=seed).coalesce(4).cache()
+    sample = sample.coalesce(4).cache()
     try:
         size = max(1, sample.count())
         found = []
@@ -108,8 +111,9 @@ def _column(rule: Column | str) -> Column:
     return F.expr(rule) if isinstance(rule, str) else rule
 
 
-def cascade(measured: DataFrame, rules: dict[str, Column | str] | None = None, **sample) -> DataFrame:
-    """Add ``failed_rule`` (the first rule of the cascade that a row fails, else null) and ``kept``.
+def cascade(docs: DataFrame, rules: dict[str, Column | str] | None = None, **sample) -> DataFrame:
+    """Measure ``docs`` and add ``failed_rule`` (the first rule of the cascade that a row fails, else null)
+    and ``kept``.
 
     ``base_failed`` rows end the cascade at once. The other rules follow in the order of
     :func:`order_rules`, in one CASE expression, which evaluates no rule behind the first that rejects.
@@ -117,14 +121,14 @@ def cascade(measured: DataFrame, rules: dict[str, Column | str] | None = None, *
     """
     rules = RULES if rules is None else rules
     chain = F.when(F.coalesce("base_failed", F.lit(False)), "base")
-    for name, _, _ in order_rules(measured, rules, **sample):
+    for name, _, _ in order_rules(sample_of(docs, **sample), rules):
         chain = chain.when(F.coalesce(_column(rules[name]), F.lit(False)), name)
-    return measured.withColumn("failed_rule", chain).withColumn("kept", F.col("failed_rule").isNull())
+    return measure(docs).withColumn("failed_rule", chain).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cascade(measure(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return cascade(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 SQL_OP6 = r"""

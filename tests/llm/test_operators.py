@@ -254,9 +254,9 @@ def test_multikey_order():
 
 
 def test_quality_rules(docs, none):
-    from steelyard.llm.quality_rules import cascade, measure
+    from steelyard.llm.quality_rules import cascade
 
-    for r in cascade(measure(docs)).collect():
+    for r in cascade(docs).collect():
         ws = WORD.findall(r.text or "")
         windows = collections.Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
         hit = {i + k for i in range(len(ws) - 7) if windows[tuple(ws[i : i + 8])] > 1 for k in range(8)}
@@ -265,14 +265,14 @@ def test_quality_rules(docs, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(ws) < 20 or 100 * len(hit) > 30 * len(ws))
         assert r.kept == (r.failed_rule is None) and not (r.base_failed and r.kept)
-    assert cascade(measure(none)).count() == 0
+    assert cascade(none).count() == 0
 
 
 def test_cascade_order_changes_no_verdict(docs):
-    from steelyard.llm.quality_rules import RULES, cascade, measure
+    from steelyard.llm.quality_rules import RULES, cascade
 
-    one = {(r.doc_id, r.text): r.kept for r in cascade(measure(docs)).collect()}
-    other = cascade(measure(docs), dict(reversed(RULES.items())), sample_rows=5, seed=1).collect()
+    one = {(r.doc_id, r.text): r.kept for r in cascade(docs).collect()}
+    other = cascade(docs, dict(reversed(RULES.items())), rows=5, seed=1).collect()
     assert {(r.doc_id, r.text): r.kept for r in other} == one
 
 
