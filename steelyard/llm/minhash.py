@@ -24,6 +24,8 @@ AGREE = 26
 BLOCK, BIN = 200, 1 << 22
 #: Members of a bucket that are compared together.
 CHUNK = 512
+#: Buckets of more members are verified in place, others pair by pair.
+SMALL = 8
 
 
 def _tables(n: int, seed: int, size: int = 1 << 16) -> tuple[np.ndarray, ...]:
@@ -169,7 +171,7 @@ def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: in
 
 
 def banded(sketches: DataFrame, key: str) -> DataFrame:
-    """``(band, h, id)``: the buckets of each document."""
+    """``(h, band, id)``: the buckets of each document."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +181,9 @@ def banded(sketches: DataFrame, key: str) -> DataFrame:
                 for k in range(ROWS):
                     h = texthash.mix(h + s[:, :, k] + np.uint64(k + 1))
                 h = texthash.mix(h + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(h)), BANDS)))], ["h", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(h))), batch.column(0).take(pa.array(np.repeat(np.arange(len(h)), BANDS)))], ["h", "band", "id"])
 
-    return sketches.select(F.col(key).cast("long"), "signature").mapInArrow(of, "h long, id long")
+    return sketches.select(F.col(key).cast("long"), "signature").mapInArrow(of, "h long, band int, id long")
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -209,28 +211,57 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return both.mapInArrow(of, "a long, b long")
 
 
-def candidates(members: DataFrame, most: int | None, agree: int) -> DataFrame:
-    """Pairs across components in one bucket that agree in enough samples: for each member the ``most``
-    that agree best, or all. ``members`` has ``h, n, id, component, signature``; the members of a bucket
-    are compared in chunks, two by two, so no task gathers a bucket."""
-    chunk = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("int")
-    rows = members.withColumn("_s", chunk).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
+def compared(members: DataFrame, agree: int, threshold: float | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` across components in one bucket that agree in enough samples, each in the first
+    bucket that it shares. ``members`` has ``h, band, n, id, component, signature``; the members of a
+    bucket are compared in chunks, two by two, so no task gathers a bucket.
+
+    With a ``threshold``, ``members`` has ``hashes, weights`` too, pairs are verified in place, best
+    agreement first, and only those that join two components are returned.
+    """
+    rows = members.withColumn("_s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    rows = rows.select("h", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "id", "component", "signature")
+    columns = ["band", "c", "id", "component", "signature", *(["hashes", "weights"] if threshold else [])]
+    rows = rows.select("h", F.least("c", "_o").alias("i"), F.greatest("c", "_o").alias("j"), *columns)
     rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
+    def joining(group: pd.DataFrame, a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> list[int]:
+        vectors = [(np.frombuffer(h, dtype=np.uint64), np.frombuffer(w, dtype=np.float32)) for h, w in zip(group["hashes"], group["weights"], strict=True)]
+        root = {c: c for c in group["component"]}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        comp, out = group["component"].tolist(), []
+        for k in np.argsort(-equal, kind="stable"):
+            x, y = find(comp[a[k]]), find(comp[b[k]])
+            if x != y and weighted_jaccard(*vectors[a[k]], *vectors[b[k]]) >= threshold:
+                root[x] = y
+                out.append(k)
+        return out
+
     def of(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
-        s = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(group), -1)
-        a, b = [], []
+        ids, comp, chunk, band = (group[c].to_numpy() for c in ("id", "component", "c", "band"))
+        s = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(group), BANDS, ROWS)
+        apart = group["i"].iloc[0] != group["j"].iloc[0]
+        a, b, equal = [], [], []
         for k in range(len(ids)):
-            equal = (s == s[k]).sum(axis=1)
-            found = np.flatnonzero((equal >= agree) & (comp != comp[k]))
-            if most and len(found) > most:
-                found = found[np.lexsort((ids[found], -equal[found]))[:most]]
-            a.append(np.minimum(ids[found], ids[k]))
-            b.append(np.maximum(ids[found], ids[k]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            same = s[k + 1 :] == s[k]
+            count = same.sum(axis=(1, 2))
+            fit = (count >= agree) & (comp[k + 1 :] != comp[k]) & (same.all(axis=2).argmax(axis=1) == band[k])
+            if apart:
+                fit &= chunk[k + 1 :] != chunk[k]
+            found = np.flatnonzero(fit)
+            a.append(np.full(len(found), k))
+            b.append(found + k + 1)
+            equal.append(count[found])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if threshold and len(a):
+            keep = joining(group, a, b, np.concatenate(equal))
+            a, b = a[keep], b[keep]
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}).drop_duplicates()
 
     return rows.mapInPandas(lambda frames: (of(g) for g in runs(frames, ["h", "i", "j"])), "a long, b long").distinct()
 
@@ -243,8 +274,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Equal texts share a class by their digest; of each text the smallest key is compared. Documents that
     share a band of samples are candidates, and every pair counts only once it is verified. First each
     bucket's members are compared with its smallest; after that only members of different components,
-    best agreement first, then all that are left, so a group of copies is never expanded into its pairs,
-    yet no pair of different components stays uncompared.
+    and where a bucket is large inside the task, best agreement first, so a group of copies is never
+    expanded into its pairs, yet no pair of different components stays uncompared.
 
     A null text is an empty one; texts without a word equal only themselves; a text of fewer than five
     words is one shingle; rows without a key get a null class and are kept; repeated rows share a class;
@@ -262,16 +293,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     tested = materialize(pairs, "minhash")
     edges = materialize(verified(tested, firsts, threshold), "minhash")
     labels = components(edges)
-    for most in (8, None):
-        marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = marked.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("n")).where("_lo < _hi").select("h", "n")
-        members = marked.join(split, "h").join(firsts.select("id", "signature"), "id")
-        new = materialize(candidates(members, most, AGREE).join(tested, ["a", "b"], "left_anti"), "minhash")
-        more = materialize(verified(new, firsts, threshold), "minhash")
-        if more.isEmpty():
-            continue
-        tested, edges = tested.unionByName(new), edges.unionByName(more)
-        labels = components(edges)
+    marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = marked.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("n")).where("_lo < _hi").select("h", "n")
+    members = materialize(marked.join(split, "h"), "minhash")
+    few = compared(members.where(F.col("n") <= SMALL).join(firsts.select("id", "signature"), "id"), AGREE)
+    more = verified(few.join(tested, ["a", "b"], "left_anti"), firsts, threshold)
+    many = compared(members.where(F.col("n") > SMALL).join(firsts, "id"), AGREE, threshold)
+    more = materialize(more.unionByName(many), "minhash")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     rows = docs.select(key, _digest(text).alias("_md5"))
     classes = rows.where(F.col(key).isNotNull()).groupBy("_md5").agg(F.min(key).alias("_first"))
