@@ -21,7 +21,7 @@ IDF_GAIN = 0.5
 #: Candidates are verified from so many equal samples of BANDS * ROWS on; at the threshold fewer have odds under 1e-4.
 AGREE = 26
 #: Documents in a block that is shingled together, shingles in a bin that is counted together.
-BLOCK, BIN = 200, 1 << 22
+BLOCK, BIN = 200, 1 << 20
 #: Members of a bucket that are compared together.
 CHUNK = 512
 #: Buckets of more members are verified in place, others pair by pair.
