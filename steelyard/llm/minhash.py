@@ -17,7 +17,7 @@ from steelyard.llm.common import components, materialize, runs, table
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
 #: A shingle in one document weighs 1 + IDF_GAIN, one in all documents 1, by the logarithm in between.
-IDF_GAIN = 0.5
+IDF_GAIN = 0.25
 #: Candidates are verified from so many equal samples of BANDS * ROWS on; at the threshold fewer have odds under 1e-4.
 AGREE = 26
 #: Documents in a block that is shingled together, shingles in a bin that is counted together.
