@@ -326,3 +326,21 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **plan
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs that share a shingle, compared without samples or bands.
+SQL_OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM d),
+t AS (SELECT doc_id, g, count(*) AS tf FROM s GROUP BY 1, 2),
+f AS (SELECT g, count(*) AS df FROM t GROUP BY 1),
+k AS (SELECT g, CASE WHEN df = 1 THEN 0 ELSE least(255, greatest(1, round(ln(df) / (ln(greatest((SELECT count(*) FROM documents), 2)) / 255)))) END AS code FROM f),
+x AS (SELECT doc_id, t.g, tf * (1 + {IDF_GAIN}::DOUBLE * (1 - code / 255.0::DOUBLE)) AS w FROM t JOIN k ON k.g = t.g),
+m AS (SELECT doc_id, sum(w) AS total FROM x GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN m u ON u.doc_id = a JOIN m v ON v.doc_id = b WHERE c / (u.total + v.total - c) >= {THRESHOLD} UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.text = b.text AND a.doc_id < b.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, doc_id <= coalesce(low, doc_id) AS kept FROM documents LEFT JOIN c ON c.a = doc_id
+"""

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from steelyard.llm.embeddings import SQL_OP4, op4_embeddings
-from steelyard.llm.minhash import op3_minhash
+from steelyard.llm.minhash import SQL_OP3, op3_minhash
 from steelyard.llm.mixing import SQL_OP8, op8_mixing
 from steelyard.llm.packing import op1_packing
 from steelyard.llm.pii import op7_pii
 from steelyard.llm.quality_model import op10_quality_model
 from steelyard.llm.quality_rules import SQL_OP6, op6_quality_rules
 from steelyard.llm.sharding import op9_sharding
-from steelyard.llm.suffixes import op5_suffixes
+from steelyard.llm.suffixes import SQL_OP5, op5_suffixes
 from steelyard.llm.tokencount import op2_token_counts
 
 QUERIES = {
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_quality_model": op10_quality_model,
 }
 ORACLE_SQL = {
+    "op5_suffixes": SQL_OP5,
+    "op3_minhash": SQL_OP3,
     "op4_embeddings": SQL_OP4,
     "op6_quality_rules": SQL_OP6,
     "op8_mixing": SQL_OP8,

@@ -291,3 +291,18 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every string of the corpus by its digest, counted.
+SQL_OP5 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT k, i, md5(b[i + 1:i + {LENGTH}]) AS h FROM (SELECT k, b, unnest(range(0, n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM r),
+u AS (SELECT k, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM g) GROUP BY k, s),
+s AS (SELECT k, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS ends, list(z ORDER BY a) AS starts FROM u GROUP BY k),
+p AS (SELECT s.k, list_concat([0], starts) AS starts, list_concat(ends, [n]) AS ends, b FROM s JOIN d ON d.k = s.k),
+q AS (SELECT k, sha256(list_reduce(list_transform(range(1, len(starts) + 1), lambda j: b[starts[j] + 1:ends[j]]), lambda x, y: x || y)) AS h FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(q.h, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN s ON s.k = d.k LEFT JOIN q ON q.k = d.k
+"""
