@@ -13,22 +13,48 @@ AMPLITUDE = "0.02"
 CROSSCHECK = "0.05"
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, str]) -> DataFrame:
-    """The first value, in order, whose cumulative weight reaches q of the total; weights of 0 or less drop
-    out. ``qs`` maps a name to q as text.
+#: Parts into which a group's values are cut before any of them are put in order.
+PARTS = 1024
+
+
+def _crossed(x: DataFrame, by: list[str], value: str, weight: str, reach: dict[str, Column]) -> DataFrame:
+    """``by`` and for each name the first value, in order, at which the cumulative weight satisfies the
+    condition on ``_c`` (that weight) and ``_t`` (the group's total).
 
-    Equal values are summed before anything is ordered, so a group's window holds its distinct values.
+    Values are summed by value, then by ranges of the group's span. The running sum over at most
+    ``PARTS`` ranges finds the range in which each condition first holds, and only that range's values
+    are put in order, so no task sorts a group.
     """
-    x = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*by)
-    x = x.withColumn("_c", F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(w))
-    reach = lambda q: F.col("_c") >= F.lit(q).cast("decimal(6,4)") * F.col("_t")
-    return x.groupBy(*by).agg(*[F.min(F.when(reach(q), F.col(value))).alias(name) for name, q in qs.items()])
+    x = x.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    span = x.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("_w").alias("_t"))
+    part = F.coalesce(F.least(F.floor(F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1)), F.lit(0))
+    x = x.join(span, by).withColumn("_p", part)
+    parts = x.groupBy(*by, "_p", "_t").agg(F.sum("_w").alias("_w"))
+    w = Window.partitionBy(*by).orderBy("_p")
+    parts = parts.withColumn("_c", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = parts.groupBy(*by).agg(*[F.min(F.when(c, F.struct(F.col("_p").alias("p"), (F.col("_c") - F.col("_w")).alias("c")))).alias(f"_at_{n}") for n, c in reach.items()])
+    wanted = hit.select(*by, F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"_at_{n}") for n in reach])))).alias("_a")).select(*by, F.col("_a.p").alias("_p"), F.col("_a.c").alias("_before"))
+    near = x.join(wanted, [*by, "_p"])
+    inside = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_c", F.col("_before") + F.sum("_w").over(inside))
+    return near.groupBy(*by).agg(*[F.min(F.when(c, F.col(value))).alias(n) for n, c in reach.items()])
+
+
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, str]) -> DataFrame:
+    """The first value, in order, whose cumulative weight reaches q of the total; weights of 0 or less drop
+    out. ``qs`` maps a name to q as text."""
+    x = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    return _crossed(x, by, value, weight, {n: F.col("_c") >= F.lit(q).cast("decimal(6,4)") * F.col("_t") for n, q in qs.items()})
 
 
 def interpolated_quantile(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles at position q (n - 1), linear in between."""
-    return df.groupBy(*by).agg(*[F.percentile(F.col(value), F.lit(q)).alias(name) for name, q in qs.items()])
+    x = df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1).cast("long"))
+    spot = lambda q: F.lit(q) * (F.col("_t") - 1)
+    reach = {f"{n}_{side}": F.col("_c") > f(spot(q)) for n, q in qs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    ends = _crossed(x, by, value, "_one", reach).join(x.groupBy(*by).agg(F.count("*").alias("_t")), by)
+    share = lambda q: spot(q) - F.floor(spot(q))
+    return ends.select(*by, *[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * share(q)).alias(n) for n, q in qs.items()])
 
 
 def reported_ebit(pbt: Column, interest_expense: Column, interest_income: Column) -> Column:

@@ -55,19 +55,24 @@ def nearest_containing(needles: DataFrame, pages: DataFrame, key: str, page: str
 
 
 def unique_prefix(left: DataFrame, right: DataFrame, key: str, name: str, prefix: int) -> DataFrame:
-    """Match names exactly, else by being a prefix of exactly one other name: ``key, match, how``.
+    """Match names exactly, else by being a prefix of exactly one other name: ``key, match, how``. Names
+    shorter than ``prefix`` characters match exactly or not at all.
 
-    Names are joined on their first ``prefix`` characters, so no name meets all others.
+    In sorted order the names that a name begins follow it, so each looks at the next two; nothing meets
+    all others of its beginning.
     """
-    r = right.select(F.col(name).alias("_r")).distinct()
-    exact = left.join(r, F.col(name) == F.col("_r"), "left")
-    found = exact.where("_r IS NOT NULL").select(key, F.col("_r").alias("match"), F.lit("exact").alias("how"))
-    rest = exact.where("_r IS NULL").select(key, name)
-    starts = rest.where(F.length(name) >= prefix).join(r, (F.substring(name, 1, prefix) == F.substring("_r", 1, prefix)) & F.col("_r").startswith(F.col(name)))
-    one = starts.groupBy(key).agg(F.count("*").alias("_n"), F.min("_r").alias("_m"))
-    rest = rest.join(one, key, "left")
-    how = F.when(F.col("_n") == 1, "prefix").when(F.col("_n") > 1, "ambiguous").otherwise("none")
-    return found.unionByName(rest.select(key, F.when(F.col("_n") == 1, F.col("_m")).alias("match"), how.alias("how")))
+    r = right.where(F.col(name).isNotNull()).select(F.lit(None).cast(dict(left.dtypes)[key]).alias("_k"), F.col(name).alias("_n"), F.lit(1).alias("_r")).distinct()
+    both = left.where(F.col(name).isNotNull()).select(F.col(key).alias("_k"), F.col(name).alias("_n"), F.lit(0).alias("_r")).unionByName(r)
+    w = Window.partitionBy(F.substring("_n", 1, prefix)).orderBy("_n", "_r").rowsBetween(1, Window.unboundedFollowing)
+    own = F.when(F.col("_r") == 1, F.col("_n"))
+    both = both.withColumn("_next", F.first(own, ignorenulls=True).over(w))
+    pair = F.first(F.when(F.col("_r") == 1, F.struct(F.col("_n").alias("a"), F.col("_next").alias("b"))), ignorenulls=True).over(w)
+    found = both.withColumn("_p", pair).where("_r = 0")
+    begins = lambda c: F.coalesce((F.length("_n") >= prefix) & F.col(c).startswith(F.col("_n")), F.lit(False))
+    how = F.when(F.col("_p.a") == F.col("_n"), "exact").when(begins("_p.a") & begins("_p.b"), "ambiguous").when(begins("_p.a"), "prefix").otherwise("none")
+    found = found.withColumn("how", how)
+    absent = left.where(F.col(name).isNull()).select(key, F.lit(None).cast("string").alias("match"), F.lit("none").alias("how"))
+    return found.select(F.col("_k").alias(key), F.when(F.col("how").isin("exact", "prefix"), F.col("_p.a")).alias("match"), "how").unionByName(absent)
 
 
 def alias_lookup(aliases: DataFrame, normalize) -> tuple[DataFrame, DataFrame]:
