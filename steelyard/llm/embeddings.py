@@ -20,6 +20,8 @@ BLOCKS = 8
 GRID, WIDTH = 2, 2.0
 #: Rows of either side that one group compares, about.
 CHUNK = 2048
+#: Up to so many cells their counts are broadcast; more are joined by shuffle.
+CELLS = 100_000
 SLACK = 1e-9
 
 
@@ -35,9 +37,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _stack(column: pd.Series | pa.Array) -> np.ndarray:
+def _stack(column: pd.Series | pa.Array, dim: int) -> np.ndarray:
+    """Vectors in double precision from their bytes, which are single where the table has them so."""
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(values), dtype=np.float64).reshape(len(values), -1)
+    kind = np.float32 if values and len(values[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), dim).astype(np.float64)
 
 
 def _blocks(n: int) -> list[np.ndarray]:
@@ -57,7 +61,7 @@ def dealt(vectors: DataFrame, dim: int, radius2: float, seed: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = _unit(_stack(part.column(3)))
+                x = _unit(_stack(part.column(3), dim))
                 y = np.einsum("ij,jk->ik", x, turn)
                 rows, cells, homes = [], [], []
                 for k, block in enumerate(parts):
@@ -106,9 +110,11 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
     turn, parts = rotation(dim, seed), _blocks(dim)
     limits = [radius2 * len(b) / dim + SLACK for b in parts]
     cells = dealt(vectors, dim, radius2, seed)
-    counts = cells.groupBy("label", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g")).where("_h > 0")
+    counts = materialize(cells.groupBy("label", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g")).where("_h > 0"), "vectors")
+    few = counts.count() <= CELLS
     pieces = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    placed = cells.join(counts.select("label", "cell", pieces("_h").alias("_hs"), pieces("_g").alias("_gs")), ["label", "cell"])
+    counts = counts.select("label", "cell", pieces("_h").alias("_hs"), pieces("_g").alias("_gs"))
+    placed = cells.join(F.broadcast(counts) if few else counts, ["label", "cell"])
     own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = placed.withColumn("i", F.explode(F.when(F.col("home"), own("_hs")).otherwise(every("_hs"))))
@@ -119,7 +125,7 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
     def of(group: pd.DataFrame) -> pd.DataFrame:
         home, ids, m = (group[c].to_numpy() for c in ("home", "id", "m"))
         k = int(group["cell"].iloc[0]) >> (20 * min(GRID, dim))
-        x = _unit(_stack(group["vector"]))
+        x = _unit(_stack(group["vector"], dim))
         y = np.einsum("ij,jk->ik", x, turn)
         hs, gs = np.flatnonzero(home), np.flatnonzero(~home)
         guests = y[gs][:, parts[k]]
@@ -161,7 +167,8 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     those without a label; vectors of different length are not compared. Repeated rows link with each
     other; rows without a key link with nothing; an empty table gives no rows.
     """
-    x = F.transform(vector, lambda v: v.cast("double"))
+    single = np.float32 if dict(vectors.dtypes)[vector] == "array<float>" else np.float64
+    x = F.transform(vector, lambda v: v.cast("float" if single is np.float32 else "double"))
     good = F.coalesce(F.col(label).isNotNull() & F.col(key).isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("label"), x.alias("_x"), good.alias("_good"))
     digest = [F.xxhash64("_x").alias("_d"), F.hash("_x").alias("_e"), F.size("_x").alias("_n")]
@@ -172,7 +179,7 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(3)
-            flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=single)
             edges = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             binary = pa.array([flat[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), binary], ["id", "label", "m", "vector"])
