@@ -318,10 +318,10 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **plan
     A row is known by its key and text; rows without a key all stay.
     """
     kept = near_duplicates(docs.select(key, text), key=key, text=text, digest="_digest", **plan)
-    kept = kept.where("kept").where(F.col(key).isNotNull()).select(key, "_digest")
-    own = docs.where(F.col(key).isNotNull()).withColumn("_digest", _digest(text))
-    own = own.join(kept, [key, "_digest"], "left_semi").dropDuplicates([key, "_digest"])
-    return own.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    kept = kept.where("kept").where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_digest")
+    own = docs.where(F.col(key).isNotNull()).select(F.struct("*").alias("_row"), F.col(key).alias("_key"), _digest(text).alias("_digest"))
+    own = own.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"])
+    return own.select("_row.*").unionByName(docs.where(F.col(key).isNull()))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,9 +59,10 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     """
     weight = quality_weight(text) if weight is None else weight
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    kept = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
+    kept = [c for c in docs.columns if c.lower() not in ADDED and (keep_text or c != text)]
     s = F.coalesce(F.concat(F.lit("a"), F.col(source)), F.lit("b"))
-    sized = docs.select(*kept, n_words(text).alias("size"), (-F.log(u) / weight).alias("_k"), F.xxhash64(text).alias("_t"), s.alias("_s"))
+    # the row's own columns stay together, so none of them meets a name used here
+    sized = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_id"), n_words(text).alias("size"), (-F.log(u) / weight).alias("_k"), F.xxhash64(text).alias("_t"), s.alias("_s"))
     sized = sized.withColumn("_r", F.least(F.floor((1 - F.exp(-F.col("_k"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
     if not keep_text:
         sized = materialize(sized, "mix")
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     earlier = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     wanted = targets(ranges.groupBy("_s").agg(F.sum("_in").alias("source_size")), **plan)
     ranges = ranges.select("_s", "_r", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before")).join(wanted, "_s")
-    inside = Window.partitionBy("_s", "_r").orderBy("_k", key, "_t").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_s", "_r").orderBy("_k", "_id", "_t").rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["_s", "_r"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size") - F.col("_before") - F.col("_run")
@@ -77,13 +78,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         part = F.least(F.greatest(F.round(rest), F.lit(0.0)), F.col("size"))
     else:
         part = F.when(rest * 2 > F.col("size"), F.col("size")).otherwise(0)
-    return out.select(*kept, "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return out.select("_row.*", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def repeat_rows(mixed: DataFrame, *, text: str = "text") -> DataFrame:
     """The mix itself: each row as often as ``taken`` holds it whole (rows of no words: none)."""
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
-    return mixed.where(F.col("taken") >= F.greatest("size", F.lit(1))).withColumn("_n", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", *ADDED)
+    kept = [c for c in mixed.columns if c.lower() not in ADDED]
+    whole = mixed.where(F.col("taken") >= F.greatest("size", F.lit(1)))
+    return whole.select(F.struct(*kept).alias("_row"), F.explode(F.sequence(F.lit(1), times.cast("int")))).select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,8 +184,10 @@ def pseudonymize(docs: DataFrame, *, text: str = "text", key: str = KEY, count:
         F.size(F.filter(ps, lambda p: p["was"] != p["now"])).cast("long").alias("n"),
     )
     plain = F.struct(F.col(text).alias("text"), F.lit(0).cast("long").alias("n"))
-    out = docs.select("*", F.when(F.col(text).rlike(ANY), _let(pairs, joined)).otherwise(plain).alias("_out"))
-    kept = [F.col("_out.text").alias(text) if c == text else F.col(c) for c in docs.columns if c != count]
+    own = [c for c in docs.columns if count is None or c.lower() != count.lower()]
+    # the row's own columns stay together, so none of them meets a name used here
+    out = docs.select(F.struct(*own).alias("_row"), F.when(F.col(text).rlike(ANY), _let(pairs, joined)).otherwise(plain).alias("_out"))
+    kept = [F.col("_out.text").alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in own]
     return out.select(*kept, *([F.col("_out.n").alias(count)] if count else []))
 
 

@@ -63,9 +63,10 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    kept = [F.col(c) for c in docs.columns if c not in (text, "size", "text_crc32", "shard", "slot")]
-    slim = docs.select(*kept, size.alias("size"), crc.alias("text_crc32"))
-    numbered, n = row_numbers(slim, key, "text_crc32", "size")
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "size", "text_crc32", "shard", "slot")]
+    # the row's own columns stay together, so none of them meets a name used here
+    slim = docs.select(F.struct(*kept).alias("_own"), F.col(key).alias("_id"), size.alias("size"), crc.alias("text_crc32"))
+    numbered, n = row_numbers(slim, "_id", "text_crc32", "size")
 
     @F.pandas_udf("long")
     def permuted(rows: pd.Series) -> pd.Series:
@@ -73,7 +74,7 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
 
     placed = numbered.withColumn("_at", permuted("_row"))
     return placed.select(
-        *[c for c in numbered.columns if c != "_row"],
+        "_own.*", "size", "text_crc32",
         (F.col("_at") % n_shards).cast("int").alias("shard"),
         F.expr(f"_at div {n_shards}").cast("long").alias("slot"),
     )

@@ -404,3 +404,20 @@ def test_pipeline(spark, sf):
     packed = seen[4][2].collect()
     assert {p.doc_id for p in packed} == {r.doc_id for r in mixed}
     sequences(packed)
+
+
+def test_columns_named_like_inner_ones_stay(docs):
+    from steelyard.llm.minhash import keep_one
+    from steelyard.llm.mixing import mix, repeat_rows
+    from steelyard.llm.pii import pseudonymize
+    from steelyard.llm.quality_rules import cascade
+    from steelyard.llm.sharding import shard
+
+    names = ["_k", "_t", "_s", "_r", "_run", "_row", "_out", "_at", "_key", "_digest", "_own", "_bucket", "_n", "Size"]
+    from pyspark.sql import functions as F
+
+    wide = docs.select("doc_id", "text", "source", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for out in (keep_one(wide), repeat_rows(mix(wide, keep_text=True, split=False)), pseudonymize(wide), shard(wide, 3), cascade(wide)):
+        inner = [n for n in names if n != "Size"]
+        row = out.select(*inner).distinct().collect()
+        assert [tuple(r) for r in row] == [tuple(range(len(inner)))]
