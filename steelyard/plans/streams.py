@@ -93,10 +93,9 @@ def legacy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each customer as one JSON text, money as text."""
+    """Orders as lines of JSON, money as text."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
-    rows = store.as_text(o).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("orders"))
-    return rows.select("o_custkey", F.to_json("orders").alias("orders"))
+    return store.as_text(o).select(F.to_json(F.struct("*")).alias("line"))
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +121,7 @@ QUERIES = {
     "theme_tally": (theme_tally, TALLY_SQL),
     "narrative_summary": (narrative_summary, SUMMARY_SQL),
     "legacy_keys": (legacy_keys, "SELECT CASE p_type WHEN 'ECONOMY' THEN 'basic' WHEN 'PROMO' THEN 'special' ELSE p_type END AS metric_key, count(*) AS n, count(*) FILTER (p_type IN ('ECONOMY', 'PROMO')) AS moved FROM part GROUP BY 1"),
-    "snapshot": (snapshot, """SELECT o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"price":"' || CAST(o_totalprice AS DECIMAL(12,2)) || '"}', ',' ORDER BY o_orderkey) || ']' AS orders FROM orders GROUP BY 1"""),
+    "snapshot": (snapshot, """SELECT '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"price":"' || CAST(o_totalprice AS DECIMAL(12,2)) || '"}' AS line FROM orders"""),
     "token_totals": (token_totals, "SELECT role, count(*) AS calls, CAST(sum(CASE WHEN turn % 4 <> 3 THEN coalesce(length(text), 0) ELSE 0 END) AS BIGINT) AS tokens FROM conversations GROUP BY 1"),
     "running_share": (running_share, """WITH x AS (SELECT c_nationkey, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(20,6)) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
         SELECT n_name, revenue, CAST(round_even(CAST(revenue / sum(revenue) OVER (PARTITION BY n_regionkey) AS DECIMAL(38,18)), 6) AS DOUBLE) AS share FROM x JOIN nation ON c_nationkey = n_nationkey"""),
