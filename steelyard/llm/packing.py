@@ -16,8 +16,8 @@ CAPACITY = 2048
 #: Lengths are counted in units of so many tokens, so the program has CAPACITY / UNIT rows.
 UNIT = 8
 #: Ranks within a length class are counted in so many hash buckets.
-BUCKETS = 1024
-#: The program is solved once no pattern is worth more than this against its cost of 1.
+BUCKETS = 256
+#: The program is solved once it is within this factor of its bound.
 ENOUGH = 1 + 1e-4
 #: The id that ends each document.
 END = 1
@@ -69,56 +69,72 @@ def tokenized(docs: DataFrame, key: str, text: str, capacity: int, path: str) ->
     return docs.select(key, F.xxhash64(text).alias("text_hash"), text).mapInArrow(of, f"`{key}` {kind}, text_hash long, doc_tokens long, crcs array<long>")
 
 
-def best_pattern(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Knapsack dynamic programming: the most valuable multiset of weights within the capacity."""
+def best_patterns(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Knapsack dynamic programming over multisets of weights, which ascend: the worth of the best pattern
+    within the capacity, and for each weight the best pattern that has it, where that is worth over 1."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for c in range(1, capacity + 1):
-        fits = np.flatnonzero(weights <= c)
-        if len(fits):
-            got = best[c - weights[fits]] + values[fits]
-            k = int(got.argmax())
-            if got[k] > best[c - 1]:
-                best[c], last[c] = got[k], fits[k]
-                continue
+        n = int(np.searchsorted(weights, c, side="right"))
         best[c] = best[c - 1]
-    count, c = np.zeros(len(weights), dtype=np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            count[last[c]] += 1
-            c -= weights[last[c]]
-    return float(best[capacity]), count
-
-
-def plan(demand: dict[int, int], capacity: int, *, enough: float = ENOUGH, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+        if n:
+            got = best[c - weights[:n]] + values[:n]
+            k = int(got.argmax())
+            if got[k] > best[c]:
+                best[c], last[c] = got[k], k
+    out = []
+    for first in np.flatnonzero(values + best[capacity - weights] > 1 + 1e-9):
+        count, c = np.zeros(len(weights)), int(capacity - weights[first])
+        count[first] = 1
+        while c > 0:
+            if last[c] < 0:
+                c -= 1
+            else:
+                count[last[c]] += 1
+                c -= int(weights[last[c]])
+        out.append(count)
+    return float(best[capacity]), np.array(out).reshape(-1, len(weights))
+
+
+def plan(demand: dict[int, int], capacity: int, *, enough: float = ENOUGH, rounds: int = 200, pivots: int = 400) -> list[tuple[dict[int, int], int]]:
     """Patterns and how often each is used, rounded down: ``[({length: count}, times), ...]``.
 
     Column generation: the linear program min sum(x), sum(pattern * x) = demand, starts from one pattern
-    per length; its dual prices value the lengths, the knapsack finds the pattern that they value most,
-    and that pattern enters the basis, until none is worth more than ``enough``. Lengths and capacity are
-    whole units; sizes here depend on the capacity alone, never on the number of documents.
+    per length. Its dual prices value the lengths, the knapsack finds the patterns that they value most,
+    and those enter the basis one by one while they are worth more than their cost of 1; then lengths are
+    valued anew, until the program is within ``enough`` of the bound that the best pattern's worth gives.
+    Lengths and capacity are whole units; sizes here depend on the capacity, never on the number of documents.
     """
     sizes = np.array(sorted(k for k, v in demand.items() if v > 0), dtype=np.int64)
     if not len(sizes):
         return []
     want = np.array([demand[int(k)] for k in sizes], dtype=float)
     basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / (capacity // sizes))
+    inverse, pool, bound = np.diag(1 / (capacity // sizes)), np.zeros((0, len(sizes))), 0.0
     for _ in range(rounds):
-        worth, pattern = best_pattern(np.maximum(inverse.sum(axis=0), 0), sizes, capacity)
-        if worth <= enough:
+        x, prices = (inverse * want).sum(axis=1), np.maximum(inverse.sum(axis=0), 0)
+        worth, new = best_patterns(prices, sizes, capacity)
+        bound = max(bound, float((prices * want).sum()) / max(worth, 1.0))
+        if worth <= 1 + 1e-7 or x.sum() <= bound * enough:
+            break
+        pool = np.unique(np.concatenate([pool[-4 * len(sizes) :], new]), axis=0)
+        for turn in range(pivots):
+            worths = np.einsum("ij,j->i", pool, inverse.sum(axis=0))
+            pattern = pool[int(worths.argmax())]
+            if worths.max() <= 1 + 1e-6:
+                break
+            # the pattern takes the place of the one that runs out first; the inverse follows by one row step
+            step = (inverse * pattern).sum(axis=1)
+            ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.maximum(step, 1e-9), np.inf)
+            out = int(np.lexsort((-step, ratio > ratio.min() + 1e-12))[0])
+            x = x - ratio[out] * step
+            x[out] = ratio[out]
+            row = inverse[out] / step[out]
+            step[out] -= 1
+            inverse -= step[:, None] * row
+            basis[:, out] = pattern
+        if turn == 0:
             break
-        # the pattern takes the place of the one that runs out first; the inverse follows by one row step
-        x, step = (inverse * want).sum(axis=1), (inverse * pattern).sum(axis=1)
-        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.maximum(step, 1e-9), np.inf)
-        out = int(np.lexsort((-step, ratio > ratio.min() + 1e-12))[0])
-        row = inverse[out] / step[out]
-        step[out] -= 1
-        inverse -= step[:, None] * row
-        basis[:, out] = pattern
-    x = np.maximum((inverse * want).sum(axis=1), 0)
-    times = np.floor(x + 1e-9).astype(np.int64)
+    times = np.floor(np.maximum((inverse * want).sum(axis=1), 0) + 1e-9).astype(np.int64)
     out, left = [], want.astype(np.int64)
     for k in np.argsort(-times, kind="stable"):
         column = basis[:, k].astype(np.int64)
