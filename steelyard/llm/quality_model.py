@@ -16,7 +16,7 @@ from steelyard.llm.common import table
 #: Features are hashed to so many bits.
 BITS = 18
 #: Labelled rows of each class that are learned from, about; more are thinned evenly by their key's hash.
-ROWS_PER_CLASS = 4000
+ROWS_PER_CLASS = 2000
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 15
 
 _KIND = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 punctuation
@@ -85,15 +85,16 @@ def fit_margin(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
     of_class = lambda s: np.concatenate([np.zeros(0, dtype=np.int32), *(r for r, y in zip(rows, labels, strict=True) if y == s)])
     counts = [SMOOTHING + np.bincount(of_class(s), minlength=size) for s in (0, 1)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    xs = [ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-6) for r in rows]
+    scale = [1 / max(np.sqrt((ratio[r] ** 2).sum()), 1e-6) for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     w, bias, alpha, top = np.zeros(size), 0.0, np.zeros(len(rows)), cost * weights
-    norm = np.array([(x * x).sum() + 1 for x in xs])
+    norm = np.array([(ratio[r] ** 2).sum() * c * c + 1 for r, c in zip(rows, scale, strict=True)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, x = rows[i], xs[i]
+            r = rows[i]
+            x = ratio[r] * scale[i]
             gradient = y[i] * ((w[r] * x).sum() + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), top[i])
             step = (new - alpha[i]) * y[i]
@@ -152,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     # the sample is bounded by its parameter
     sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(known), key).select(F.xxhash64(F.lit(12), key, text).alias("k"), "_y", text)
-    found = sorted((r.k, r.y, bytes(r.ids)) for r in sample.mapInArrow(of, "k long, y int, ids binary").collect())
-    rows, y = [np.frombuffer(r[2], dtype=np.int32) for r in found], np.array([r[1] for r in found])
+    found = sample.mapInArrow(of, "k long, y int, ids binary").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    rows, y = [np.frombuffer(r.as_buffer(), dtype=np.int32) for r in found["ids"]], found["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0, -60.0 if 0 in y else 60.0)
     # classes weigh the same in the fit; the calibration has them as they are in the table
