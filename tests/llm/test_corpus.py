@@ -97,6 +97,23 @@ def test_ids_are_those_of_the_tokenizer():
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, "\u3000\r\n" * 400_000])
+def test_long_runs_of_white_space_are_encoded(spark, run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from steelyard.llm.packing import bpe_file, encoder, pack
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encode = encoder(bpe_file())
+    for text in (run, f"one{run}two <s>", run[:99_999], f"x{run[:100_000]}y"):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    pieces = pack(spark.createDataFrame([(1, f"one{run}two"), (2, "short")], "doc_id long, text string")).collect()
+    for key, text in ((1, f"one{run}two"), (2, "short")):
+        assert sum(p.length for p in pieces if p.doc_id == key) == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+
+
 def test_plan_covers_no_more_than_there_is():
     from steelyard.llm.packing import plan
 
