@@ -11,21 +11,30 @@ ROUNDS = 8
 #: The key of the queries; pass a secret one in production.
 KEY = "steelyard-demo-key"
 
+#: Countries by the length of their IBANs, which says where one in groups of four ends.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
+
 #: The shape of each kind, in the order in which they are tried.
 SHAPES = {
     "email": r"(?<![._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*+\.[\p{L}\p{N}][\p{L}\p{N}\-]*+)+",
     "secret": r"[0-9a-fA-F]{32,128}",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|" + _GROUPED,
     "ip": r"(?<![0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.[0-9])",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    "date": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)",
     "card": r"[0-9]{13,19}|[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}|(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|\+[0-9]{1,3}(?:[ \-]?[0-9]{2,4}){2,4}(?!\.[0-9])|\+[0-9]{8,15}",
+    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}|(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}|\+[0-9]{1,3}(?:[ \-]?[0-9]{2,4}){2,4}(?!\.[0-9])|\+[0-9]{8,15}|[0-9]{3} [0-9]{3} [0-9]{4}|0[0-9](?: [0-9]{2}){4}|0[0-9]{1,4}(?: [0-9]{2,4}){2}",
 }
 ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{p})" for p in SHAPES.values()) + r")(?![\p{L}\p{N}_])"
 
 #: 400 Gregorian years have 146097 = 773 * 189 days; dates are permuted among those from this day on.
 FIRST_DAY, DAYS = "1800-01-01", (773, 189)
+#: Of those, 88497 = 9833 * 9 are after the 12th of a month: only these can be told to be written month-first.
+LATE_DAYS = (9833, 9)
 
 
 def _prf(key: str, kind: str, i: Column, x: Column, below: Column) -> Column:
@@ -113,12 +122,38 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso = F.when(m.contains("-"), m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    first = F.to_date(F.lit(FIRST_DAY))
-    n = F.datediff(iso.try_cast("date"), first)
+    # what cannot be day-first is read month-first, and permuted among the dates that cannot be day-first,
+    # so that no pseudonym stands for two dates
+    first, iso, mark = F.to_date(F.lit(FIRST_DAY)), m.contains("-"), F.regexp_extract(m, "[/.]", 0)
+    read = lambda *p: F.datediff(F.concat_ws("-", *p).try_cast("date"), first)
     day = lambda x: F.date_add(first, feistel(x.cast("long"), F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date").cast("int"))
-    style = lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
-    return _let(n, lambda x: F.when(x.between(0, DAYS[0] * DAYS[1] - 1), _let(day(x), style)).otherwise(m))
+    start = lambda month: F.make_date((F.lit(int(FIRST_DAY[:4])) + F.floor(month / 12)).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+
+    def late(x: Column) -> Column:
+        """The permuted date of a late day: days are numbered without the first 12 of each month."""
+        d = F.date_add(first, x)
+        k = x - 12 * ((F.year(d) - int(FIRST_DAY[:4])) * 12 + F.month(d))
+
+        def back(k: Column) -> Column:
+            about = F.floor(k * 4800 / (LATE_DAYS[0] * LATE_DAYS[1]))
+            near = F.transform(F.sequence(F.greatest(about - 1, F.lit(0)), F.least(about + 1, F.lit(4799))), lambda i: F.struct(i.alias("i"), (k - F.datediff(start(i), first) + 12 * i).alias("left")))
+            return _let(F.array_max(F.filter(near, lambda c: c["left"] >= 0)), lambda c: F.date_add(start(c["i"]), (c["left"] + 12).cast("int")))
+
+        return _let(feistel(k.cast("long"), F.lit(LATE_DAYS[0]), F.lit(LATE_DAYS[1]), key, "late date"), back)
+
+    def new(p: Column) -> Column:
+        a, b, c = (F.get(p, i) for i in range(3))
+        short = F.exists(p, lambda x: F.length(x) == 1)
+        show = lambda v, like: F.when(short & ~like.startswith("0"), v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+        known = lambda x: x.between(0, DAYS[0] * DAYS[1] - 1)
+        usual = lambda d: F.when(iso, F.concat_ws("-", F.year(d), show(F.month(d), b), show(F.day(d), c))).otherwise(F.concat(show(F.day(d), a), mark, show(F.month(d), b), mark, F.year(d)))
+        turned = lambda d: F.concat(show(F.month(d), a), mark, show(F.day(d), b), mark, F.year(d))
+        return _let(
+            F.struct(F.when(iso, read(a, b, c)).otherwise(read(c, b, a)).alias("n"), F.when(~iso, read(c, a, b)).alias("t")),
+            lambda x: F.when(known(x["n"]), _let(day(x["n"]), usual)).when(x["n"].isNull() & known(x["t"]), _let(late(x["t"]), turned)).otherwise(m),
+        )
+
+    return _let(F.split(m, "[-/.]"), new)
 
 
 def _mod97(s: Column) -> Column:
@@ -129,17 +164,21 @@ def _mod97(s: Column) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     # digits of the account are permuted, in halves of up to 18 digits; the check digits follow
-    bank = F.substring(m, F.lit(5), F.length(m) - 4)
-    valid = _mod97(F.concat(bank, F.substring(m, 1, 4))) == 1
+    def of(m: Column, was: Column) -> Column:
+        bank = F.substring(m, F.lit(5), F.length(m) - 4)
+        valid = _mod97(F.concat(bank, F.substring(m, 1, 4))) == 1
+
+        def new(b: Column) -> Column:
+            d = _digits(b)
+            halves = F.concat(_permuted_digits(F.substring(d, 1, 18), key, "iban"), F.when(F.length(d) > 18, _permuted_digits(F.substring(d, 19, 18), key, "iban2")).otherwise(""))
+            body = F.when(F.length(d) > 1, _laid(halves, b)).otherwise(b)
+            country = F.substring(m, 1, 2)
+            return _let(body, lambda y: F.concat(country, F.lpad((98 - _mod97(F.concat(y, country, F.lit("00")))).cast("string"), 2, "0"), y))
 
-    def new(b: Column) -> Column:
-        d = _digits(b)
-        halves = F.concat(_permuted_digits(F.substring(d, 1, 18), key, "iban"), F.when(F.length(d) > 18, _permuted_digits(F.substring(d, 19, 18), key, "iban2")).otherwise(""))
-        body = F.when(F.length(d) > 1, _laid(halves, b)).otherwise(b)
-        country = F.substring(m, 1, 2)
-        return _let(body, lambda y: F.concat(country, F.lpad((98 - _mod97(F.concat(y, country, F.lit("00")))).cast("string"), 2, "0"), y))
+        grouped = lambda y: F.when(was.contains(" "), F.regexp_replace(y, "(.{4})(?=.)", "$1 ")).otherwise(y)
+        return F.when(valid, _let(_let(bank, new), grouped)).otherwise(was)
 
-    return F.when(valid, _let(bank, new)).otherwise(m)
+    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: of(x, m))
 
 
 def _hashed(m: Column, key: str, kind: str) -> Column:
@@ -171,7 +210,10 @@ def pseudonymize(docs: DataFrame, *, text: str = "text", key: str = KEY, count:
 
     Emails, IPv4 addresses, dates, social security numbers, payment cards (Luhn), phone numbers, IBANs
     (mod 97) and hexadecimal secrets are found by shape, and numbers and dates are validated; what fails
-    stays. Numbers and dates map by a keyed Feistel permutation within their format, so the pseudonym is
+    stays. Dates are year-month-day with dashes, or with slashes or dots day-first, month-first where day-first
+    is no date, of the years 1800 to 2199 in four digits. IBANs are in one piece, or in groups of four where
+    their country's length is known. Phones without a plus have three, three and four digits, or begin with
+    0 and have single spaces. Numbers and dates map by a keyed Feistel permutation within their format, so the pseudonym is
     valid too, differs for different values and is the same for equal values in any document; emails and
     secrets, which are no numbers, map by a keyed hash. Each text is cut at its matches once and joined
     again. A null text stays null, with 0 replaced; an input column named as ``count`` gives way.

@@ -317,6 +317,35 @@ def test_pseudonyms(spark):
     assert out[9].text == CASES[9] and out[10].text is None and out[11].text == ""
 
 
+def test_pseudonyms_of_other_spellings(spark):
+    import datetime
+
+    from steelyard.llm.pii import pseudonymize
+
+    ibans = ["DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"]
+    phones = ["555 123 4567", "01 23 45 67 89", "020 7946 0958", "0171 234 5678"]
+    dates = ["12/25/1990", "12.25.1990", "5/3/1990", "5.3.1990", "5/25/1990", "1990-5-3"]
+    values = [*ibans, *phones, *dates]
+    df = spark.createDataFrame([(i, f"see {v} EUR, {v}.") for i, v in enumerate(values)], "doc_id long, text string")
+    for r in pseudonymize(df).collect():
+        was, found = values[r.doc_id], re.fullmatch(r"see (.+) EUR, (.+)\.", r.text)
+        assert r.n_replaced == 2 and found[1] == found[2] != was, (was, r.text)
+        if was in dates:
+            p = [int(x) for x in re.split("[-/.]", found[1])]
+            datetime.date(*p) if "-" in was else datetime.date(p[2], p[0], p[1]) if "25" in was else datetime.date(p[2], p[1], p[0])
+            assert "25" not in was or p[1] > 12
+        else:
+            assert re.sub("[0-9]", "0", found[1]) == re.sub("[0-9]", "0", was)
+        if was in ibans:
+            x = found[1].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    # no two dates get one pseudonym, whichever way they are written
+    span = [datetime.date(1996, 1, 1) + datetime.timedelta(i) for i in range(1500)] + [datetime.date(1800, 1, 13), datetime.date(2199, 12, 31)]
+    spelt = [f"{d:%d/%m/%Y}" for d in span] + [f"{d:%m/%d/%Y}" for d in span if d.day > 12]
+    out = [r.text for r in pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(spelt)], "doc_id long, text string")).collect()]
+    assert len(set(out)) == len(spelt) and all(re.fullmatch("[0-9]{2}/[0-9]{2}/[0-9]{4}", x) for x in out)
+
+
 def test_feistel_permutes(spark):
     from pyspark.sql import functions as F
 
