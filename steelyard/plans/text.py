@@ -95,9 +95,17 @@ SELECT direction, intended, count(*) AS sentences FROM d GROUP BY 1, 2
 
 
 def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers in documents in base units, by unit."""
+    """Numbers in documents in base units, by unit: ``total`` is the exact sum of all that have at most 18
+    digits before and 10 after the point, ``unfit`` counts those that have more and aren't in it.
+
+    ``NUMBER_SQL`` has no ``unfit`` and sums only numbers of up to 7 characters, so it gives other totals."""
     n = table(spark, sf_dir, "documents").select(F.explode(text.numbers(F.col("text"), UNITS)).alias("x"))
-    return n.groupBy("x.unit").agg(F.count("*").alias("n"), F.sum(F.when(F.length("x.raw") <= 7, F.col("x.value"))).cast("decimal(38,6)").cast("double").alias("total"), F.max("x.places").alias("places"))
+    plain = F.regexp_replace("x.raw", ",", "")
+    written = F.when(~plain.rlike(r"\.[0-9]{10}[0-9]*[1-9]"), plain.try_cast("decimal(28,10)"))
+    factor = F.create_map(*[F.lit(x) for u, f in UNITS for x in (u, f)])
+    base = written * F.coalesce(F.try_element_at(factor, F.nullif(F.col("x.unit"), F.lit(""))), F.lit("1")).cast("decimal(6,2)")
+    n = n.select("x", F.when(F.col("x.sign") < 0, -base).otherwise(base).alias("base"))
+    return n.groupBy("x.unit").agg(F.count("*").alias("n"), F.try_sum("base").cast("double").alias("total"), F.max("x.places").alias("places"), F.count_if(F.col("base").isNull()).alias("unfit"))
 
 
 NUMBER_SQL = rf"""

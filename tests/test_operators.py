@@ -326,3 +326,30 @@ def test_registry():
     with pytest.raises(ValueError):
         tools.tool("facts.series")(series)
     assert tools.describe()[0]["required"] == ["spark", "sf_dir"]
+
+
+def test_totals_hold_numbers_of_any_length(spark, sf, tmp_path):
+    import re
+    from collections import defaultdict
+
+    from steelyard.plans.text import number_extract
+    from steelyard.sources import tables
+
+    def brute(texts):
+        out = defaultdict(lambda: [0, Decimal(0), 0])
+        for m in re.finditer(r"([-−+]?)([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)[ \t\n\x0b\f\r]*(km|%|m)?", "\x00".join(texts)):
+            sign, raw, unit = m[1], m[2], m[3] or ""
+            if unit or not re.fullmatch("(19|20)[0-9]{2}", raw):
+                whole, _, places = raw.replace(",", "").partition(".")
+                fits = len(whole.lstrip("0")) <= 18 and len(places.rstrip("0")) <= 10
+                out[unit][0] += 1
+                out[unit][1] += fits * Decimal(raw.replace(",", "")) * (-1 if sign in ("-", "−") else 1) * {"km": 1000, "%": Decimal("0.01")}.get(unit, 1)
+                out[unit][2] += not fits
+        return {u: (n, float(total), unfit) for u, (n, total, unfit) in out.items()}
+
+    texts = ["1,234,567 and 12345.678 or -123456789012345678", "12345678.25% or 0.12345678901 m or 1.00000000000 m", "-1,234,567.5 km", "1234567890123456789 km"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for path in (str(tmp_path), sf):
+        got = {r.unit: (r.n, r.total, r.unfit) for r in number_extract(spark, path).collect()}
+        assert got == brute([r.text for r in tables.table(spark, path, "documents").collect() if r.text is not None])
+    assert number_extract(spark, str(tmp_path)).where("unit = 'km'").first().total == -1234567500.0
