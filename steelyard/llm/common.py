@@ -20,15 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default where none is set (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """The folder all executors share, spark.checkpoint.dir. Where that is unset a local session, as in tests,
+    takes the folder of its warehouse; on a cluster it is an error."""
+    conf = spark.sparkContext.getConf()
+    if found := conf.get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/steelyard-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors. The
+    files go when the driver ends, or with :func:`drop`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/steelyard-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table of :func:`materialize` that nothing reads any more."""
+    system, where = _file_system(df.sparkSession, df._scratch)
+    system.delete(where, True)
 
 
 def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -72,7 +95,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour of u, and u itself, is hung below the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        es = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        was, es = es, materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        drop(was)
         now = es.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -18,16 +18,21 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
 #: A shingle in one document weighs 1 + IDF_GAIN, one in all documents 1, by the logarithm in between.
 IDF_GAIN = 0.25
-#: Candidates are verified from so many equal samples of BANDS * ROWS on; at the threshold fewer have odds under 1e-4.
-AGREE = 26
-#: Documents in a block that is shingled together, shingles in a bin that is counted together.
-BLOCK, BIN = 200, 1 << 20
-#: Members of a bucket that are compared together.
-CHUNK = 512
+#: Candidates are verified from so many equal samples of BANDS * ROWS on; at the threshold fewer have odds under 1e-8.
+AGREE = 20
+#: Documents in a block that is shingled together, shingles in a bin that is counted together, blocks whose
+#: counts in a bin are summed together.
+BLOCK, BIN, TOGETHER = 200, 1 << 20, 4096
+#: Members of a bucket that are compared together, from each side.
+CHUNK = 256
 #: Buckets of more members are verified in place, others pair by pair.
 SMALL = 8
 
 
+#: What a block, or a group of blocks, sends a bin: shingles, the places of those in several documents, in how many.
+DEALT = pa.schema([("_block", pa.int32()), ("_group", pa.int32()), ("_bin", pa.int32()), ("_hashes", pa.binary()), ("_more", pa.binary()), ("_counts", pa.binary())])
+
+
 def _tables(n: int, seed: int, size: int = 1 << 16) -> tuple[np.ndarray, ...]:
     """Per sample and slot: r, ln c of the Gamma(2, 1) variates and beta, uniform."""
     rng = np.random.default_rng(seed)
@@ -99,10 +104,12 @@ def _log_step(n: int) -> float:
 def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: int) -> DataFrame:
     """``(key, _md5, signature, hashes, weights)`` of the documents that can have a near-duplicate.
 
-    Shingles of a block of documents are dealt to bins by their hash, with 32 bits of it in one array
-    per block and bin; each bin counts in how many documents a shingle is and answers every block with
-    the places of the shared ones. So document frequencies cover all documents and no row is made per
-    shingle. A document can reach the threshold only if as much of its weight is in shared shingles.
+    Each block of documents has its shingles combined and dealt to bins by their hash, with 32 bits of it
+    in one array per block and bin and the counts over 1 beside it. A bin sums up in how many documents a
+    shingle is and answers every block with the places of the shared ones; of many blocks, groups are
+    summed first and then the groups' sums, so a shingle of all documents is one number per block and then
+    one per group. So document frequencies cover all documents and no row is made per shingle. A document
+    can reach the threshold only if as much of its weight is in shared shingles.
     """
     sizes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     n, blocks, bins = sizes[0], max(1, math.ceil(sizes[0] / BLOCK)), max(48, math.ceil(sizes[1] / 6 / BIN))
@@ -110,31 +117,58 @@ def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: in
     base = docs.select(F.col(key), _digest(text).alias("_md5"), F.col(text).alias("_text"))
     base = base.withColumn("_block", F.pmod(F.xxhash64(key, "_md5"), F.lit(blocks)).cast("int"))
 
+    def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles by bin and 32 bits, where each of ``h`` is among them, how often, and where bins begin."""
+        some, at, counts = np.unique((h >> np.uint64(32)) % np.uint64(bins) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)), return_inverse=True, return_counts=True)
+        return some, at, counts, np.searchsorted(some >> np.uint64(32), np.arange(bins + 1, dtype=np.uint64))
+
     def deal(block: pa.Table) -> pa.Table:
-        rows = {"_block": [], "_bin": [], "_hashes": []}
         parts = [h for _, _, h, _, _ in shingles(_ordered(block, key)["_text"])]
-        h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-        which = (h >> np.uint64(32)) % np.uint64(bins)
-        order = np.argsort(which, kind="stable")
-        low, edges = h[order].astype(np.uint32), np.searchsorted(which[order], np.arange(bins + 1))
+        some, _, counts, edges = places(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
+        low, own, rows = some.astype(np.uint32), block["_block"][0].as_py(), []
         for k in np.flatnonzero(np.diff(edges)):
-            rows["_block"].append(block["_block"][0].as_py())
-            rows["_bin"].append(int(k))
-            rows["_hashes"].append(low[edges[k] : edges[k + 1]].tobytes())
-        return pa.table({"_block": pa.array(rows["_block"], pa.int32()), "_bin": pa.array(rows["_bin"], pa.int32()), "_hashes": pa.array(rows["_hashes"], pa.binary())})
-
-    def count(bin_: pa.Table) -> pa.Table:
-        arrays = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in bin_["_hashes"]]
-        _, inverse, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-        codes = np.rint(np.log(counts) / step).clip(0, 255).astype(np.uint8)[inverse]
-        codes = np.where(counts[inverse] > 1, np.maximum(codes, 1), 0).astype(np.uint8)
-        at, answers = 0, []
-        for x in arrays:
-            part = codes[at : at + len(x)]
-            at += len(x)
+            n = counts[edges[k] : edges[k + 1]]
+            more = np.flatnonzero(n > 1)
+            rows.append((own, own // TOGETHER, int(k), low[edges[k] : edges[k + 1]].tobytes(), more.astype(np.uint32).tobytes(), n[more].astype(np.int64).tobytes()))
+        return pa.table(list(map(pa.array, zip(*rows, strict=True), DEALT.types)) if rows else [pa.array([], t) for t in DEALT.types], schema=DEALT)
+
+    def gathered(rows: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of the rows' arrays, the distinct shingles of all, where each is among them, and their sums."""
+        arrays = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in rows["_hashes"]]
+        counts = [np.ones(len(x), dtype=np.int64) for x in arrays]
+        for x, more, m in zip(counts, rows["_more"], rows["_counts"], strict=True):
+            x[np.frombuffer(more.as_py(), dtype=np.uint32)] = np.frombuffer(m.as_py(), dtype=np.int64)
+        some, at = np.unique(np.concatenate(arrays), return_inverse=True)
+        return [len(x) for x in arrays], some, at, np.bincount(at, weights=np.concatenate(counts), minlength=len(some)).astype(np.int64)
+
+    def answered(rows: pa.Table, lengths: list[int], at: np.ndarray, codes: np.ndarray) -> pa.Array:
+        """For each row the places of its shared shingles and their codes."""
+        out, edges = [], np.concatenate([[0], np.cumsum(lengths)])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = codes[at[a:b]]
             shared = np.flatnonzero(part)
-            answers.append(shared.astype(np.uint32).tobytes() + part[shared].tobytes())
-        return pa.table({"_block": bin_["_block"], "_bin": bin_["_bin"], "_shared": pa.array(answers, pa.binary())})
+            out.append(shared.astype(np.uint32).tobytes() + part[shared].tobytes())
+        return pa.array(out, pa.binary())
+
+    def coded(counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 1, np.rint(np.log(np.maximum(counts, 1)) / step).clip(1, 255), 0).astype(np.uint8)
+
+    def count(rows: pa.Table) -> pa.Table:
+        lengths, _, at, sums = gathered(rows)
+        return pa.table({"_block": rows["_block"], "_bin": rows["_bin"], "_shared": answered(rows, lengths, at, coded(sums))})
+
+    def group(rows: pa.Table) -> pa.Table:
+        _, some, _, sums = gathered(rows)
+        more = np.flatnonzero(sums > 1)
+        one = (rows["_group"][0].as_py(), rows["_group"][0].as_py(), rows["_bin"][0].as_py(), some.tobytes(), more.astype(np.uint32).tobytes(), sums[more].tobytes())
+        return pa.table([pa.array([x], t) for x, t in zip(one, DEALT.types, strict=True)], schema=DEALT)
+
+    def answer(rows: pa.Table, total: pa.Table) -> pa.Table:
+        lengths, some, at, _ = gathered(rows)
+        codes, found = np.zeros(len(some), dtype=np.uint8), total["_shared"][0].as_py()
+        m = len(found) // 5
+        codes[np.frombuffer(found, dtype=np.uint32, count=m)] = np.frombuffer(found, dtype=np.uint8, offset=4 * m)
+        return pa.table({"_block": rows["_block"], "_bin": rows["_bin"], "_shared": answered(rows, lengths, at, codes)})
 
     def sketch(block: pa.Table, answers: pa.Table) -> pa.Table:
         block = _ordered(block, key)
@@ -142,13 +176,12 @@ def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: in
         h = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, dtype=np.uint64)
         tf = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0)
         length = np.concatenate([np.diff(p[4]) for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-        which = (h >> np.uint64(32)) % np.uint64(bins)
-        order = np.argsort(which, kind="stable")
-        edges = np.searchsorted(which[order], np.arange(bins + 1))
-        code = np.zeros(len(h), dtype=np.uint8)
-        for k, answer in zip(answers["_bin"].to_pylist(), answers["_shared"].to_pylist(), strict=True):
-            m = len(answer) // 5
-            code[order[edges[k] + np.frombuffer(answer, dtype=np.uint32, count=m)]] = np.frombuffer(answer, dtype=np.uint8, offset=4 * m)
+        some, at, _, edges = places(h)
+        code = np.zeros(len(some), dtype=np.uint8)
+        for k, found in zip(answers["_bin"].to_pylist(), answers["_shared"].to_pylist(), strict=True):
+            m = len(found) // 5
+            code[edges[k] + np.frombuffer(found, dtype=np.uint32, count=m)] = np.frombuffer(found, dtype=np.uint8, offset=4 * m)
+        code = code[at]
         idf = 1 + IDF_GAIN * (1 - np.arange(256) / 255)
         w = (tf * idf[code]).astype(np.float32)
         first = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
@@ -164,8 +197,15 @@ def sketched(docs: DataFrame, key: str, text: str, *, threshold: float, seed: in
         out |= {"signature": pa.array([x.tobytes() for x in signature], pa.binary()), "hashes": pa.array([h[s].tobytes() for s in spans], pa.binary()), "weights": pa.array([w[s].tobytes() for s in spans], pa.binary())}
         return pa.table(out)
 
-    dealt = base.groupBy("_block").applyInArrow(deal, "_block int, _bin int, _hashes binary")
-    answers = dealt.groupBy("_bin").applyInArrow(count, "_block int, _bin int, _shared binary")
+    dealt = base.groupBy("_block").applyInArrow(deal, "_block int, _group int, _bin int, _hashes binary, _more binary, _counts binary")
+    shared = "_block int, _bin int, _shared binary"
+    if blocks <= TOGETHER:
+        answers = dealt.groupBy("_bin").applyInArrow(count, shared)
+    else:
+        dealt = materialize(dealt, "minhash")
+        groups = dealt.groupBy("_bin", "_group").applyInArrow(group, "_block int, _group int, _bin int, _hashes binary, _more binary, _counts binary")
+        totals = groups.groupBy("_bin").applyInArrow(count, shared).withColumnRenamed("_block", "_group")
+        answers = dealt.groupBy("_bin", "_group").cogroup(totals.groupBy("_bin", "_group")).applyInArrow(answer, shared)
     kind = dict(docs.dtypes)[key]
     return base.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(sketch, f"`{key}` {kind}, _md5 string, signature binary, hashes binary, weights binary")
 
@@ -213,16 +253,26 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
 def compared(members: DataFrame, agree: int, threshold: float | None = None) -> DataFrame:
     """Pairs ``(a, b)`` across components in one bucket that agree in enough samples, each in the first
-    bucket that it shares. ``members`` has ``h, band, n, id, component, signature``; the members of a
-    bucket are compared in chunks, two by two, so no task gathers a bucket.
+    bucket that it shares. ``members`` has ``h, band, id, component, signature`` and of its bucket ``big``,
+    the largest component, with its ``n_big`` members, and the number ``n_rest`` of the others.
+
+    The others, in chunks, are compared with the chunks of the largest component and with each other;
+    members of the largest are never compared among themselves. So a bucket of n copies and a few strays
+    makes about 2 n rows, and no task gathers a bucket.
 
     With a ``threshold``, ``members`` has ``hashes, weights`` too, pairs are verified in place, best
     agreement first, and only those that join two components are returned.
     """
-    rows = members.withColumn("_s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    columns = ["band", "c", "id", "component", "signature", *(["hashes", "weights"] if threshold else [])]
-    rows = rows.select("h", F.least("c", "_o").alias("i"), F.greatest("c", "_o").alias("j"), *columns)
+    pieces = lambda n: F.greatest(F.ceil(F.col(n) / CHUNK), F.lit(1)).cast("int")
+    place = lambda i, j, left: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(left).alias("left"))
+    own, bigs, rests = F.col("_c"), F.col("_bigs"), F.col("_rests")
+    rows = members.withColumn("_bigs", pieces("n_big")).withColumn("_rests", pieces("n_rest")).withColumn("_c", F.pmod(F.xxhash64("id"), F.when(F.col("component") == F.col("big"), F.col("_bigs")).otherwise(F.col("_rests"))).cast("int"))
+    # j counts the chunks of the largest component and then those of the others; a chunk with itself is -1
+    with_rest = F.transform(F.sequence(F.lit(0), rests - 1), lambda i: place(i, own, False))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0), bigs + rests - 1), lambda j: (j < bigs) | (j >= bigs + own)), lambda j: place(own, F.when(j == bigs + own, -1).otherwise(j), True))
+    as_right = F.transform(F.filter(F.sequence(F.lit(0), rests - 1), lambda i: i < own), lambda i: place(i, bigs + own, False))
+    columns = ["h", "band", "id", "component", "signature", *(["hashes", "weights"] if threshold else [])]
+    rows = rows.select(*columns, F.explode(F.when(F.col("component") == F.col("big"), with_rest).otherwise(F.concat(as_left, as_right))).alias("p")).select("h", "p.*", *columns[1:])
     rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def joining(group: pd.DataFrame, a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> list[int]:
@@ -243,23 +293,21 @@ def compared(members: DataFrame, agree: int, threshold: float | None = None) ->
         return out
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, chunk, band = (group[c].to_numpy() for c in ("id", "component", "c", "band"))
+        ids, comp, band, left = (group[c].to_numpy() for c in ("id", "component", "band", "left"))
         s = np.frombuffer(b"".join(group["signature"]), dtype=np.uint32).reshape(len(group), BANDS, ROWS)
-        apart = group["i"].iloc[0] != group["j"].iloc[0]
+        itself, right = group["j"].iloc[0] < 0, np.flatnonzero(~left)
         a, b, equal = [], [], []
-        for k in range(len(ids)):
-            same = s[k + 1 :] == s[k]
+        for k in np.flatnonzero(left):
+            others = np.arange(k + 1, len(ids)) if itself else right
+            same = s[others] == s[k]
             count = same.sum(axis=(1, 2))
-            fit = (count >= agree) & (comp[k + 1 :] != comp[k]) & (same.all(axis=2).argmax(axis=1) == band[k])
-            if apart:
-                fit &= chunk[k + 1 :] != chunk[k]
-            found = np.flatnonzero(fit)
+            found = np.flatnonzero((count >= agree) & (comp[others] != comp[k]) & (same.all(axis=2).argmax(axis=1) == band[k]))
             a.append(np.full(len(found), k))
-            b.append(found + k + 1)
+            b.append(others[found])
             equal.append(count[found])
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b, equal = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b, equal))
         if threshold and len(a):
-            keep = joining(group, a, b, np.concatenate(equal))
+            keep = joining(group, a, b, equal)
             a, b = a[keep], b[keep]
         return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}).drop_duplicates()
 
@@ -273,12 +321,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Equal texts share a class by their digest; of each text the smallest key is compared. Documents that
     share a band of samples are candidates, and every pair counts only once it is verified. First each
-    bucket's members are compared with its smallest; after that only members of different components,
-    and where a bucket is large inside the task, best agreement first, so a group of copies is never
-    expanded into its pairs, yet no pair of different components stays uncompared.
+    bucket's members are compared with its smallest; after that only members outside a bucket's largest
+    component with all of other components, and where a bucket is large inside the task, best agreement
+    first, so a group of copies is never expanded into its pairs, yet no pair of different components
+    stays uncompared.
 
     A null text is an empty one; texts without a word equal only themselves; a text of fewer than five
-    words is one shingle; rows without a key get a null class and are kept; repeated rows share a class;
+    words is one shingle; a very long text is shingled whole, by itself; rows without a key get a null class and are kept; repeated rows share a class;
     an empty table gives no rows. ``key`` is a whole number. ``digest`` names a column with each row's
     digest of its text.
     """
@@ -294,8 +343,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     edges = materialize(verified(tested, firsts, threshold), "minhash")
     labels = components(edges)
     marked = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = marked.groupBy("h").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("n")).where("_lo < _hi").select("h", "n")
-    members = materialize(marked.join(split, "h"), "minhash")
+    parts = marked.groupBy("h", "component").agg(F.count("*").alias("_m"))
+    split = parts.groupBy("h").agg(F.max_by("component", F.struct("_m", -F.col("component"))).alias("big"), F.max("_m").alias("n_big"), F.sum("_m").alias("n")).where("n > n_big")
+    members = materialize(marked.join(split.withColumn("n_rest", F.col("n") - F.col("n_big")), "h"), "minhash")
     few = compared(members.where(F.col("n") <= SMALL).join(firsts.select("id", "signature"), "id"), AGREE)
     more = verified(few.join(tested, ["a", "b"], "left_anti"), firsts, threshold)
     many = compared(members.where(F.col("n") > SMALL).join(firsts, "id"), AGREE, threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,12 +18,14 @@ from steelyard.llm.common import materialize, table
 CAPACITY = 2048
 #: Lengths are counted in units of so many tokens, so the program has CAPACITY / UNIT rows.
 UNIT = 8
-#: Ranks within a length class are counted in so many hash buckets.
-BUCKETS = 256
+#: Ranks within a length class are counted in so many hash buckets at least, and in one for so many rows.
+BUCKETS, BUCKET_ROWS = 256, 1 << 20
 #: The program is solved once it is within this factor of its bound.
 ENOUGH = 1 + 1e-4
 #: The id that ends each document.
 END = 1
+#: The columns of a piece beside its document's key.
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 #: A run of white space from which on ``tokenizers`` encodes a text; the lookbehind tries each run once.
 LONG_RUN = re.compile(r"(?<!\s)\s{100000}")
 
@@ -34,28 +37,30 @@ def bpe_file() -> str:
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the vocabulary at ``path``, whose ids are those of the ``.json`` file beside it;
-    strings of special tokens in a text are ordinary text. (tests/llm compare it with ``tokenizers``, which
-    takes three times as long for the same ids.) The fast library steps back over a run of white space
-    one by one and panics on a million, so texts with a long run go to ``tokenizers``."""
+    """Ids of a text as ``tokenizers`` makes them from the ``.json`` file beside the vocabulary at ``path``,
+    without the special tokens that a template would add; a special token's string in a text is that token.
+
+    The ids of other texts come from a library that takes a third of the time (tests/llm compare the two).
+    It knows no special tokens, and it steps back over a run of white space one by one and panics on a
+    million, so texts with either go to ``tokenizers``."""
     import base64
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    file = Path(path).with_suffix(".json")
+    special = [x["content"] for x in json.loads(file.read_text("utf-8"))["added_tokens"]]
     slow = []
 
     def encode(text: str) -> list[int]:
-        if not LONG_RUN.search(text):
+        if not LONG_RUN.search(text) and not any(x in text for x in special):
             return fast(text)
         if not slow:
-            from tokenizers import Tokenizer
-
-            slow.append(Tokenizer.from_file(str(Path(path).with_suffix(".json"))))
-            slow[0].encode_special_tokens = True
+            slow.append(Tokenizer.from_file(str(file)))
         return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
@@ -183,18 +188,26 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     documents that rounding down leaves over are laid end to end and cut at the capacity, the last part
     at powers of two, so it needs no padding either.
 
-    A null or empty text is the end id alone; repeated rows are packed each; a null key is a key; an
-    empty table gives no rows. Other columns of ``docs`` are not read.
+    A null or empty text is the end id alone; repeated rows are packed each; a null key is a key; a very
+    long text is cut into as many sequences as it fills; equal keys rank by the text's hash, and rows that
+    agree in both are alike, so either may take either place; an empty table gives no rows. Other columns
+    of ``docs`` are not read, and a ``key`` that is named as one of the six other columns comes out with ``_key`` behind its name.
     """
     spark, path = docs.sparkSession, path or bpe_file()
-    classes = capacity // unit
-    source = docs.select(key, text)
+    classes, name = capacity // unit, key
+    if name.lower() in PIECE:
+        name = f"{name}_key"
+    # the key has a name of its own inside, so no name of a column of the table meets one used here
+    docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text"
+    source = docs
     tok = materialize(tokenized(source, key, text, capacity, path), "pack")
     tok = tok.withColumn("_tail", (F.col("doc_tokens") % capacity).cast("int")).withColumn("_full", F.floor(F.col("doc_tokens") / capacity)).withColumn("_class", F.ceil(F.col("_tail") / unit).cast("int"))
 
+    buckets = max(BUCKETS, -(-tok.count() // BUCKET_ROWS))
+
     # sequences of one piece
     spread = lambda n: F.pmod(F.xxhash64(key, "text_hash"), F.lit(n)).cast("int")
-    long = tok.where("_full > 0").select(key, "text_hash", "doc_tokens", "crcs", "_full", spread(4096).alias("_bucket"))
+    long = tok.where("_full > 0").select(key, "text_hash", "doc_tokens", "crcs", "_full", spread(16 * buckets).alias("_bucket"))
     sums = long.groupBy("_bucket").agg(F.sum("_full").alias("_sum"))
     first = sums.select("_bucket", (F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")).alias("_first"))
     n_full = tok.agg(F.coalesce(F.sum("_full"), F.lit(0))).first()[0]
@@ -204,7 +217,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     wholes = long.select(key, (F.col("_j").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("_from") + F.col("_j")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     # the plan, from one number per class
-    tails = tok.where("_tail > 0").select(key, "text_hash", "doc_tokens", "_tail", "_class", F.element_at("crcs", -1).alias("ids_crc32"), spread(BUCKETS).alias("_bucket"))
+    tails = tok.where("_tail > 0").select(key, "text_hash", "doc_tokens", "_tail", "_class", F.element_at("crcs", -1).alias("ids_crc32"), spread(buckets).alias("_bucket"))
     counts = tails.groupBy("_class", "_bucket").count()
     places, taken, at = [], {}, n_full
     for pattern, times in plan({r[0]: r[1] for r in counts.groupBy("_class").sum("count").collect()}, classes):
@@ -258,7 +271,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     cut = again.select(key, text, "spans").mapInArrow(checksums, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     # rows repeated in the table each bring the spans of all of them
     cut = cut.dropDuplicates(["sequence_id", "offset"])
-    return wholes.unionByName(planned).unionByName(cut)
+    return wholes.unionByName(planned).unionByName(cut).withColumnRenamed("_id", name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
