@@ -48,6 +48,17 @@ def _blocks(n: int) -> list[np.ndarray]:
     return np.array_split(np.arange(n), max(1, min(BLOCKS, n // GRID)))
 
 
+def _limit(radius2: float, block: np.ndarray, dim: int) -> float:
+    """A block's share of the squared distance."""
+    return radius2 * len(block) / dim + SLACK
+
+
+def _within(y: np.ndarray, a: np.ndarray, b: np.ndarray, block: np.ndarray, limit: float) -> np.ndarray:
+    """Whether a block admits the pairs: the one test of it, the same for either order of a pair."""
+    d = y[a][:, block] - y[b][:, block]
+    return (d * d).sum(axis=1) <= limit
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,kj->ik", a, b)
 
@@ -65,7 +76,7 @@ def dealt(vectors: DataFrame, dim: int, radius2: float, seed: int) -> DataFrame:
                 y = np.einsum("ij,jk->ik", x, turn)
                 rows, cells, homes = [], [], []
                 for k, block in enumerate(parts):
-                    r = math.sqrt(radius2 * len(block) / dim) + SLACK
+                    r = math.sqrt(_limit(radius2, block, dim)) * (1 + SLACK)
                     z = y[:, block[:GRID]] / (WIDTH * r)
                     home, lo, hi = np.floor(z), np.floor(z - 1 / WIDTH), np.floor(z + 1 / WIDTH)
                     rows.append(np.arange(len(x)))
@@ -108,7 +119,7 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
     and a vector ``to`` that the part's links reach from it."""
     radius2 = 2 - 2 * cosine + SLACK
     turn, parts = rotation(dim, seed), _blocks(dim)
-    limits = [radius2 * len(b) / dim + SLACK for b in parts]
+    limits = [_limit(radius2, b, dim) for b in parts]
     cells = dealt(vectors, dim, radius2, seed)
     counts = materialize(cells.groupBy("label", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g")).where("_h > 0"), "vectors")
     few = counts.count() <= CELLS
@@ -133,14 +144,14 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
         for at in range(0, len(hs), 256):
             some = hs[at : at + 256]
             u = y[some][:, parts[k]]
-            r, c = np.nonzero((u * u).sum(axis=1)[:, None] + norms - 2 * _product(u, guests) <= limits[k])
+            # with room for rounding: what it lets through is tested again
+            r, c = np.nonzero((u * u).sum(axis=1)[:, None] + norms - 2 * _product(u, guests) <= limits[k] + SLACK)
             for lo in range(0, len(r), 1 << 14):
                 a, b = some[r[lo : lo + (1 << 14)]], gs[c[lo : lo + (1 << 14)]]
                 # a pair counts in the first block that admits it, if the whole vectors do
-                keep = ids[a] != ids[b]
+                keep = (ids[a] != ids[b]) & _within(y, a, b, parts[k], limits[k])
                 for q in range(k):
-                    d = y[a][:, parts[q]] - y[b][:, parts[q]]
-                    keep &= (d * d).sum(axis=1) > limits[q] - SLACK / 2
+                    keep &= ~_within(y, a, b, parts[q], limits[q])
                 keep &= (x[a] * x[b]).sum(axis=1) >= cosine
                 found.append((a[keep], b[keep]))
         a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (hs[:0], hs[:0])
@@ -165,7 +176,8 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
 
     Vectors that are null, empty, zero or hold a null or non-finite number link with nothing, nor do
     those without a label; vectors of different length are not compared. Repeated rows link with each
-    other; rows without a key link with nothing; an empty table gives no rows.
+    other; rows without a key link with nothing; a very long vector is read whole; of equal vectors the
+    smallest key is compared; an empty table gives no rows; other columns are not read.
     """
     single = np.float32 if dict(vectors.dtypes)[vector] == "array<float>" else np.float64
     x = F.transform(vector, lambda v: v.cast("float" if single is np.float32 else "double"))

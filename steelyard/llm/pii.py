@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from steelyard.llm.common import table
 
 ROUNDS = 8
-#: The key of the queries; pass a secret one in production.
-KEY = "steelyard-demo-key"
+#: The setting that holds the secret key of the queries, and the key of demonstrations where it is unset.
+KEY_SETTING, DEMO_KEY = "spark.steelyard.pseudonym.key", "steelyard-demo-key"
 
 #: Countries by the length of their IBANs, which says where one in groups of four ends.
 IBANS = {
@@ -205,7 +205,11 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymize(docs: DataFrame, *, text: str = "text", key: str = KEY, count: str | None = "n_replaced") -> DataFrame:
+def secret_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
+def pseudonymize(docs: DataFrame, *, key: str, text: str = "text", count: str | None = "n_replaced") -> DataFrame:
     """Replace personal data in ``text`` by pseudonyms of the same format; add how many were replaced.
 
     Emails, IPv4 addresses, dates, social security numbers, payment cards (Luhn), phone numbers, IBANs
@@ -216,7 +220,11 @@ def pseudonymize(docs: DataFrame, *, text: str = "text", key: str = KEY, count:
     0 and have single spaces. Numbers and dates map by a keyed Feistel permutation within their format, so the pseudonym is
     valid too, differs for different values and is the same for equal values in any document; emails and
     secrets, which are no numbers, map by a keyed hash. Each text is cut at its matches once and joined
-    again. A null text stays null, with 0 replaced; an input column named as ``count`` gives way.
+    again. ``key`` is the secret that the pseudonyms depend on.
+
+    A null text stays null and an empty one empty, with 0 replaced; a very long text is one row like others;
+    of shapes that match at one place the first in :data:`SHAPES` is taken; repeated rows get the same
+    pseudonyms; an empty table gives no rows; an input column named as ``count`` gives way.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     pairs = F.transform(found, lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now")))
@@ -234,4 +242,4 @@ def pseudonymize(docs: DataFrame, *, text: str = "text", key: str = KEY, count:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=secret_key(spark))

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steelyard.llm import texthash
-from steelyard.llm.common import table
+from steelyard.llm.common import materialize, table
 
 #: Features are hashed to so many bits.
 BITS = 18
 #: Labelled rows of each class that are learned from, about; more are thinned evenly by their key's hash.
 ROWS_PER_CLASS = 2000
+#: Bytes of features that go to the driver, about: of more, rows are thinned by their hash.
+SAMPLE_BYTES = 64 << 20
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 15
 
 _KIND = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 punctuation
@@ -131,11 +133,13 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """Fit the model on labelled rows that are not held out, ``rows_per_class`` of each class at most, about.
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows_per_class: int = ROWS_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit the model on labelled rows that are not held out, ``rows_per_class`` of each class at most, about,
+    and ``sample_bytes`` of features in all, about (a text, however long, has 1 MiB at most).
 
-    Rows without a key, label or text count as unlabelled; of repeated label rows each counts. With one
-    class alone, or none, every text gets that class's share as its score, or 1.
+    Rows without a key, label or text count as unlabelled; of repeated label rows each counts, and so do
+    repeated documents; rows are taken in the order of their hash, so ties don't matter. With one class
+    alone every text scores near 0 or 1 for it; without labels, or from an empty table, near 1.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("_y"))
@@ -153,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     # the sample is bounded by its parameter
     sample = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(known), key).select(F.xxhash64(F.lit(12), key, text).alias("k"), "_y", text)
-    found = sample.mapInArrow(of, "k long, y int, ids binary").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
+    found = materialize(sample.mapInArrow(of, "k long, y int, ids binary"), "quality")
+    thinned = F.lit(sample_bytes) / F.greatest(F.lit(found.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]), F.lit(1))
+    kept = found.where(F.pmod(F.xxhash64(F.lit(13), "k"), F.lit(1 << 30)) < thinned * (1 << 30))
+    found = kept.toArrow().sort_by([("k", "ascending"), ("y", "ascending"), ("ids", "ascending")])
     rows, y = [np.frombuffer(r.as_buffer(), dtype=np.int32) for r in found["ids"]], found["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 1.0, -60.0 if 0 in y else 60.0)
@@ -172,8 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
-    """Add ``score``, 0 to 1, of each text alone. A null or empty text gets the score of no features; an
-    input column of that name gives way; an empty table gives no rows."""
+    """Add ``score``, 0 to 1, of each text alone. A null or empty text gets the score of no features; a very
+    long one is scored whole, by itself; repeated rows score alike, whatever their keys; an input column of
+    that name gives way; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != name]
 

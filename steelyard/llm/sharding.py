@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from steelyard.llm.common import table
 
 ROUNDS = 6
-#: Buckets that number the rows; a bucket is sorted by itself, so it bounds what one task sorts.
-BUCKETS = 4096
+#: Buckets that number the rows, at least, and one for so many rows; a bucket is sorted by itself, so it
+#: bounds what one task sorts.
+BUCKETS, BUCKET_ROWS = 4096, 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,18 +39,20 @@ def feistel(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def row_numbers(docs: DataFrame, key: str, *ties: str, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def row_numbers(docs: DataFrame, key: str, *ties: str, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_row``, a gapless global number from 0 that depends on the rows alone, and return the count.
 
     Rows go to ``buckets`` by a hash of key and ties, are numbered inside their bucket by a window, and
-    the bucket's first number is the running sum over the ``buckets`` counts, a table of fixed size.
+    the bucket's first number is the running sum over the buckets' counts, one row for a million rows.
     """
+    n = docs.count()
+    buckets = buckets or max(BUCKETS, -(-n // BUCKET_ROWS))
     slim = docs.withColumn("_bucket", F.pmod(F.xxhash64(key, *ties), F.lit(buckets)).cast("int"))
     counts = slim.groupBy("_bucket").count()
     first = counts.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_first"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties)) - 1
     out = slim.withColumn("_inside", inside).join(F.broadcast(first), "_bucket").withColumn("_row", F.col("_first") + F.col("_inside"))
-    return out.drop("_bucket", "_first", "_inside"), counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return out.drop("_bucket", "_first", "_inside"), n
 
 
 def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
@@ -57,8 +60,9 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
 
     The global row number is permuted by :func:`feistel`; ``shard = permuted mod n_shards`` and ``slot =
     permuted div n_shards``, so counts differ by one at most, slots are gapless, and the place of any row
-    is computed from its number without a sort or shuffle of texts. A null text counts as empty; repeated rows get places of their own; equal keys are ordered by
-    the text's checksum and size. An empty table gives no rows. Other columns are kept if their names
+    is computed from its number without a sort or shuffle of texts. A null text counts as empty, a null key
+    as a key, and a very long text is one row like others; repeated rows get places of their own; equal keys
+    are ordered by the text's checksum and size. An empty table gives no rows. Other columns are kept if their names
     do not clash with those added (a clashing input column gives way).
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
