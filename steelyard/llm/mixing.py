@@ -93,7 +93,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     return sized.select("_n", "_row").join(out, "_n").select("_row.*", *ADDED)
 
 
-def repeat_rows(mixed: DataFrame, *, text: str = "text") -> DataFrame:
+def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as ``taken`` holds it whole (rows of no words: none)."""
     times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
     kept = [c for c in mixed.columns if c.lower() not in ADDED]

@@ -20,6 +20,10 @@ CAPACITY = 2048
 UNIT = 8
 #: Ranks within a length class are counted in so many hash buckets at least, and in one for so many rows.
 BUCKETS, BUCKET_ROWS = 256, 1 << 20
+#: A pattern that leaves more of a sequence open is not used: its documents are laid end to end and cut.
+OPEN = 0.01
+#: Up to so many documents that are laid end to end their places are broadcast; more are joined by shuffle.
+FEW = 20_000
 #: The program is solved once it is within this factor of its bound.
 ENOUGH = 1 + 1e-4
 #: The id that ends each document.
@@ -184,9 +188,9 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
 
     Whole runs of ``capacity`` ids of a long document are sequences of their own. What is left of each
     document has a length class; the histogram of classes (at most ``capacity / unit`` numbers) goes to
-    :func:`plan`, and the ranked documents of a class fill that class's places in the patterns. The few
-    documents that rounding down leaves over are laid end to end and cut at the capacity, the last part
-    at powers of two, so it needs no padding either.
+    :func:`plan`, and the ranked documents of a class fill that class's places in the patterns. The
+    documents that rounding down and patterns with much left open leave over, few as a rule, are laid end
+    to end and cut at the capacity, the last part at powers of two, so it needs no padding either.
 
     A null or empty text is the end id alone; repeated rows are packed each; a null key is a key; a very
     long text is cut into as many sequences as it fills; equal keys rank by the text's hash, and rows that
@@ -221,6 +225,8 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     counts = tails.groupBy("_class", "_bucket").count()
     places, taken, at = [], {}, n_full
     for pattern, times in plan({r[0]: r[1] for r in counts.groupBy("_class").sum("count").collect()}, classes):
+        if sum(size * n for size, n in pattern.items()) < (1 - OPEN) * classes:
+            continue
         for order, (size, n) in enumerate(sorted(pattern.items(), reverse=True)):
             was = taken.get(size, 0)
             places.append((size, was, was + n * times, n, at, order))
@@ -239,10 +245,13 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     begun = (F.col("doc_tokens") - F.col("_tail")).alias("start")
     planned = planned.select(key, begun, F.col("_tail").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("_tail").over(inner), F.lit(0)).alias("offset"))
 
-    # what rounding left over: fewer documents than patterns have places, laid end to end and cut
-    line = Window.orderBy(F.col("_class").desc(), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = placed.where("_lo IS NULL").withColumn("_at", F.coalesce(F.sum("_tail").over(line), F.lit(0)))
-    total = placed.where("_lo IS NULL").agg(F.coalesce(F.sum("_tail"), F.lit(0))).first()[0]
+    # what rounding and open patterns left over, laid end to end and cut; sums as for ranks
+    rest = placed.where("_lo IS NULL")
+    sums = rest.groupBy("_class", "_bucket").agg(F.sum("_tail").alias("_sum"))
+    sums = sums.select("_class", "_bucket", (F.sum("_sum").over(Window.orderBy(F.col("_class").desc(), "_bucket")) - F.col("_sum")).alias("_line"))
+    line = Window.partitionBy("_class", "_bucket").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("_run", F.coalesce(F.sum("_tail").over(line), F.lit(0))).join(sums, ["_class", "_bucket"]).withColumn("_at", F.col("_line") + F.col("_run"))
+    left, total = placed.where("_lo IS NULL").agg(F.count("*"), F.coalesce(F.sum("_tail"), F.lit(0))).first()
     whole, ends = total // capacity, _powers(total % capacity)
     last = F.array(*[F.lit(whole * capacity + e).cast("long") for e in ends]) if ends else F.expr("cast(array() as array<bigint>)")
     to = F.col("_at") + F.col("_tail")
@@ -256,7 +265,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", capacity:
     rest = rest.select(key, "text_hash", "doc_tokens", (F.col("start") + F.col("p.a") - F.col("_at")).alias("start"), (F.col("p.b") - F.col("p.a")).alias("length"), (number(F.col("p.a")) + at).alias("sequence_id"), (F.col("p.a") - origin(F.col("p.a"))).alias("offset"))
     spans = rest.groupBy(key, "text_hash").agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("spans"))
     spans = spans.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "spans")
-    again = source.withColumn("_h", F.xxhash64(text)).join(F.broadcast(spans), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")))
+    again = source.withColumn("_h", F.xxhash64(text)).join(F.broadcast(spans) if left <= FEW else spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")))
 
     def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
