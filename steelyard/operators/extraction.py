@@ -13,7 +13,8 @@ SECTION = r"^第([一二三四五六七八九十]+)[节章](.{1,30})$"
 MDNA = "管理层讨论与分析|董事会报告|经营情况讨论与分析"
 SUBSECTION = r"^([一二三四五六七八九十]+)、.{1,38}$"
 OUTLOOK = "未来发展|经营计划|展望"
-PLAN_HEADING = r"^\s*(?:[一二三四五六七八九十]+[、.]|[0-9]+[、.]|[（(][一二三四五六七八九十0-9]+[）)])?\s*(20[0-9]{2})\s*年(?:度)?(?:的)?(?:经营|生产经营)?(?:计划|预算)"
+PLAN_HEADING = r"^\s*(?:\d+[、.]|[（(]?[一二三四五六七八九十]+[）)、.])\s*(20\d{2})\s*年[^。！？；，：]{0,8}经营计划"
+BUDGET = ("营业收入", "营业总收入", "主营业务收入")
 TOP_HEADING = r"^\s*(?:[一二三四五六七八九十]+[、.]|[0-9]+[、.])[^。！？；，：]{0,40}$"
 LOSS_NEGATIVE, LOSS_POSITIVE, BALANCE = "损失以[“\"'「]?[-－—][”\"'」]?号填列|损失以负号填列", "损失以正数列示|减[:：].{0,10}减值损失", "减值准备|坏账准备余额"
 AGING_TOTAL, AGING_WITHIN, AGING_OVER = "^合计|^小计", "^1年以内|^一年以内", "^[1-5一二三四五]至[1-5一二三四五]年|^[1-5一二三四五]年以上"
@@ -49,10 +50,16 @@ def plan_years(lines: DataFrame) -> DataFrame:
     return lines.withColumn("plan_year", F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit("")))
 
 
+def is_budget(sentence: Column, plan_year: Column) -> Column:
+    """Whether a sentence is a budget: it names revenue and stands under a plan's heading, never without one."""
+    return F.coalesce(plan_year.isNotNull() & text.any_of(sentence, BUDGET), F.lit(False))
+
+
 def claims(sentences: DataFrame, aliases: dict[str, list[str]] | None = None, extractor: str = "rule-v1") -> DataFrame:
     """Sentences ``project_id, section_id, n, sentence, paragraph, report_period, plan_year`` to claims.
 
-    The theme comes first; a budget is a plan's sentence with its metric under a plan's heading. Then
+    A budget is a sentence under a plan's heading that names the company's revenue; other sentences are claims
+    of their theme. Then
     direction, magnitude and period; text about the industry isn't about the company. The id is a hash of
     place and text, so a rerun makes the same claims. Confidence is .8 with a magnitude, .7 with a
     direction, else .5, and .2 less for intentions.
@@ -61,9 +68,9 @@ def claims(sentences: DataFrame, aliases: dict[str, list[str]] | None = None, ex
     s = F.col("sentence")
     theme = text.match_theme(s)
     triggers = F.create_map(*[x for t in text.THEMES for x in (F.lit(t.name), F.array(*map(F.lit, t.triggers)))])
-    budget = F.col("plan_year").isNotNull() & text.any_of(s, ("营业收入", "营业总收入", "营业成本"))
+    budget = is_budget(s, F.col("plan_year"))
     x = sentences.withColumn("_m", theme).where(budget | F.col("_m").isNotNull()).where(~text.industry_scope(F.coalesce("paragraph", "sentence")))
-    x = x.withColumns({"claim_type": F.when(budget, "management_budget").otherwise(F.col("_m.theme")), "primary_metric": F.when(budget, F.when(s.contains("营业成本") & ~text.any_of(s, ("营业收入", "营业总收入")), "operating_cost").otherwise("revenue")).otherwise(F.when(F.col("_m.usable"), F.col("_m.metric")))})
+    x = x.withColumns({"claim_type": F.when(budget, "management_budget").otherwise(F.col("_m.theme")), "primary_metric": F.when(budget, "revenue").otherwise(F.when(F.col("_m.usable"), F.col("_m.metric")))})
     names = F.create_map(*[y for k, v in (aliases or {"": [""]}).items() for y in (F.lit(k), F.array(*map(F.lit, v)))])
     x = x.withColumns({"_d": text.direction(s, F.try_element_at(triggers, F.col("claim_type"))), "_g": text.magnitude(s, F.try_element_at(names, F.col("primary_metric")))})
     period = F.when(budget, F.col("plan_year")).otherwise(text.claim_period(s, F.col("report_period")))

@@ -58,15 +58,16 @@ def unique_prefix(left: DataFrame, right: DataFrame, key: str, name: str, prefix
     """Match names exactly, else by being a prefix of exactly one other name: ``key, match, how``. Names
     shorter than ``prefix`` characters match exactly or not at all.
 
-    In sorted order the names that a name begins follow it, so each looks at the next two; nothing meets
-    all others of its beginning.
+    In sorted order the names that a name begins follow it, so each looks at the next two, which a frame that
+    only grows carries along from the end: nothing meets all others of its beginning. Names with one
+    beginning of ``prefix`` characters are sorted in one task.
     """
     r = right.where(F.col(name).isNotNull()).select(F.lit(None).cast(dict(left.dtypes)[key]).alias("_k"), F.col(name).alias("_n"), F.lit(1).alias("_r")).distinct()
     both = left.where(F.col(name).isNotNull()).select(F.col(key).alias("_k"), F.col(name).alias("_n"), F.lit(0).alias("_r")).unionByName(r)
-    w = Window.partitionBy(F.substring("_n", 1, prefix)).orderBy("_n", "_r").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(F.substring("_n", 1, prefix)).orderBy(F.col("_n").desc(), F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col("_r") == 1, F.col("_n"))
-    both = both.withColumn("_next", F.first(own, ignorenulls=True).over(w))
-    pair = F.first(F.when(F.col("_r") == 1, F.struct(F.col("_n").alias("a"), F.col("_next").alias("b"))), ignorenulls=True).over(w)
+    both = both.withColumn("_next", F.last(own, ignorenulls=True).over(w))
+    pair = F.last(F.when(F.col("_r") == 1, F.struct(F.col("_n").alias("a"), F.col("_next").alias("b"))), ignorenulls=True).over(w)
     found = both.withColumn("_p", pair).where("_r = 0")
     begins = lambda c: F.coalesce((F.length("_n") >= prefix) & F.col(c).startswith(F.col("_n")), F.lit(False))
     how = F.when(F.col("_p.a") == F.col("_n"), "exact").when(begins("_p.a") & begins("_p.b"), "ambiguous").when(begins("_p.a"), "prefix").otherwise("none")

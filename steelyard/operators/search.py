@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def trigram_search(pages: DataFrame, query: str, *, key: str = "page_id", text: str = "text", limit: int | None = 20) -> DataFrame:
-    """Pages that contain the query (three characters or more, any case), best BM25 score first.
+def trigram_search(pages: DataFrame, query: str, *, key: str = "page_id", text: str = "text", limit: int | None = 20, snippets: bool = False) -> DataFrame:
+    """Pages that contain the query (three characters or more, any case), best BM25 score first; with
+    ``snippets`` each with its :func:`marked_snippet`.
 
     The query's trigrams are few and known, so their frequencies are counted page by page without an
     index: one scan, then sums of a row per page that has one. Of equal scores the smaller key leads.
@@ -37,14 +40,15 @@ def trigram_search(pages: DataFrame, query: str, *, key: str = "page_id", text:
     # overlapping occurrences count: as many places as there are
     occurs = lambda g: F.regexp_count(t, F.concat(F.lit(r"(?=\Q"), F.lit(g), F.lit(r"\E)")))
     length = F.greatest(F.char_length(t) - 2, F.lit(0))
-    counted = pages.select(key, t.contains(q).alias("_hit"), length.alias("_len"), *[occurs(g).alias(f"_{i}") for i, g in enumerate(grams)])
+    shown = [marked_snippet(F.col(text), query).alias("snippet")] if snippets else []
+    counted = pages.select(key, *shown, t.contains(q).alias("_hit"), length.alias("_len"), *[occurs(g).alias(f"_{i}") for i, g in enumerate(grams)])
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_d{i}") for i in range(len(grams))])
     both = counted.where("_hit").crossJoin(F.broadcast(totals))  # one row of totals
     norm = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
     score = F.lit(0.0)
     for i in range(len(grams)):
         score = score + idf(F.col("_n"), F.col(f"_d{i}")) * F.col(f"_{i}") * (K1 + 1) / (F.col(f"_{i}") + norm)
-    out = both.select(key, F.round(score, 6).alias("score"))
+    out = both.select(key, F.round(score, 6).alias("score"), *["snippet"] * snippets)
     return out.orderBy(F.col("score").desc(), key).limit(limit) if limit else out
 
 
@@ -54,6 +58,20 @@ def snippet(text: Column, query: str, before: int = 30, size: int = 120) -> Colu
     return F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(size))
 
 
+def marked_snippet(text: Column, query: str, tokens: int = 16, marks: tuple[str, str, str] = ("【", "】", "…")) -> Column:
+    """``tokens`` trigrams of the text with the query's first occurrence in their middle, as near as the text's
+    ends allow; its occurrences stand between marks, and where text is left out there is another mark."""
+    open_, close, more = marks
+    q, n = query.lower(), max(len(query) - 2, 1)
+    wide = max(tokens, n)
+    at = F.instr(F.lower(text), q) - 1
+    last = F.char_length(text) - 2 - wide
+    start = F.greatest(F.lit(0), F.least(at - (wide - n) // 2, last))
+    inside = F.regexp_replace(F.substring(text, start + 1, F.lit(wide + 2)), F.lit("(?i)" + re.escape(query)), F.lit(open_ + "$0" + close))
+    shown = F.concat(F.when(start > 0, more).otherwise(""), inside, F.when(start < last, more).otherwise(""))
+    return F.when(at >= 0, shown)
+
+
 def scan_search(pages: DataFrame, query: str, *, key: str = "page_id", text: str = "text", order: list[str] | None = None, limit: int | None = 20) -> DataFrame:
     """Pages that contain the query literally, in order of file and page, with an excerpt."""
     hits = pages.where(F.lower(F.coalesce(F.col(text), F.lit(""))).contains(query.lower())).select(*(order or [key]), *([key] if order and key not in order else []), snippet(F.col(text), query).alias("excerpt"))

@@ -121,8 +121,8 @@ def budget_attainment(claims: DataFrame, scope_break: str | None = None) -> Data
 
 
 def narrative_judge(claims: DataFrame) -> DataFrame:
-    """The other judge, without bands: any change has a direction, none is incomparable, and forward claims
-    are held against the next year. ``claims`` has ``direction, current_value, base_value``."""
+    """The other judge, without bands: any change has a direction, equal values can't be compared, and a claim
+    with a value missing is missing. ``claims`` has ``direction, current_value, base_value``."""
     cur, base = F.col("current_value"), F.col("base_value")
     change = F.when(cur > base, "up").when(cur < base, "down").when(cur == base, "flat")
     verdict = F.when(change.isNull(), "missing").when(change == "flat", "incomparable").when(F.col("direction") == change, "consistent").when(F.col("direction").isin("up", "down"), "conflict").otherwise("undirected")

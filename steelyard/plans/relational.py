@@ -30,7 +30,9 @@ def semi_join_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers who never placed an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def scalar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +79,13 @@ def adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents, looked for in the documents within two of the number they are filed under."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    needles = d.where("length(text) >= 60").select((F.col("doc_id")).alias("needle"), (F.col("doc_id") + F.col("doc_id") % 4 - 1).alias("page"), F.substring("text", 20, 40).alias("snippet"))
+    needles = d.select((F.col("doc_id")).alias("needle"), (F.col("doc_id") + F.col("doc_id") % 4 - 1).alias("page"), F.substring("text", 20, 40).alias("snippet"))
     return rel.nearest_containing(needles, d.select(F.col("doc_id").alias("page"), "text"), "needle", "page", "snippet", "text")
 
 
 def unique_prefix_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of documents, re-keyed to whole texts."""
-    d = table(spark, sf_dir, "documents").where("length(text) >= 24")
+    """Beginnings of documents, re-keyed to whole texts; short ones match whole or not at all."""
+    d = table(spark, sf_dir, "documents")
     left = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.substring("text", 1, 24)).alias("name"))
     out = rel.unique_prefix(left, d.select(F.col("text").alias("name")), "id", "name", 24)
     return out.select("id", F.sha2("match", 256).alias("match"), "how")
@@ -144,17 +146,19 @@ def adopt_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users by the events of the table's first half of days, and of its second."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    first = e.agg(F.min("day").alias("d0"))
-    e = e.join(F.broadcast(first), F.lit(True))
-    day = lambda k: e.where(F.datediff("day", "d0") == k).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
-    return day(0), day(1)
+    ends = e.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
+    e = e.join(F.broadcast(ends), F.lit(True)).withColumn("early", F.datediff("day", "d0") * 2 <= F.datediff("d1", "d0"))
+    part = lambda early: e.where(F.col("early") == early).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+    return part(True), part(False)
 
 
 DAYS_SQL = """
-e AS (SELECT *, date_diff('day', CAST((SELECT min(ts) FROM events) AS DATE), CAST(ts AS DATE)) AS k FROM events),
-o AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM e WHERE k = 0 GROUP BY 1),
-n AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM e WHERE k = 1 GROUP BY 1)"""
+b AS (SELECT min(CAST(ts AS DATE)) AS d0, max(CAST(ts AS DATE)) AS d1 FROM events),
+e AS (SELECT user_id, event_id, date_diff('day', d0, CAST(ts AS DATE)) * 2 <= date_diff('day', d0, d1) AS early FROM events CROSS JOIN b),
+o AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM e WHERE early GROUP BY 1),
+n AS (SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM e WHERE NOT early GROUP BY 1)"""
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +170,11 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents as the earlier extraction, those divisible by three as the fresh one."""
+    """All documents as the earlier extraction and as a fresh one, in which every third has a new id and every
+    fifth another text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), (F.col("doc_id") % 4 == 0).alias("confirmed"))
-    return rel.prune_stale(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0").select("doc_id", "digest"), "doc_id", "digest", "confirmed")
+    fresh = d.select(F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 5 == 0, F.concat("digest", F.lit("x"))).otherwise(F.col("digest")).alias("digest"))
+    return rel.prune_stale(d, fresh, "doc_id", "digest", "confirmed")
 
 
 def streak_max(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +185,10 @@ def streak_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by week: in both of the first two, in one alone, and all together."""
+    """Users by half of the month: in both, in one alone, and all together."""
     e = table(spark, sf_dir, "events")
     w = lambda a, b: e.where(F.dayofmonth("ts").between(a, b)).select("user_id")
-    one, two = w(1, 7), w(8, 14)
+    one, two = w(1, 15), w(16, 31)
     tag = lambda df, name: df.select("user_id", F.lit(name).alias("part"))
     return tag(one.intersect(two), "both").unionByName(tag(one.subtract(two), "left")).unionByName(tag(two.subtract(one), "joined")).unionByName(tag(one.union(two).distinct(), "any"))
 
@@ -232,20 +238,20 @@ QUERIES = {
     "top1_per_group": (top1_per_group, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1"),
     "dedup_priority": (dedup_priority, "SELECT doc_id, source, digest FROM (SELECT doc_id, source, sha256(text) AS digest, row_number() OVER (PARTITION BY text ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) AS n FROM documents) WHERE n = 1"),
     "semi_join_scope": (semi_join_scope, "SELECT p_partkey, p_brand FROM part WHERE p_type LIKE 'PROMO%' AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')"),
-    "anti_join_missing": (anti_join_missing, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "anti_join_missing": (anti_join_missing, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
     "scalar_counts": (scalar_counts, "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS debtors FROM nation"),
     "left_join_on_condition": (left_join_on_condition, "SELECT o.o_orderkey, t.twin FROM orders o LEFT JOIN (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS twin FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1, 2) t ON t.k = o.o_custkey AND t.d = CAST(o.o_orderdate AS DATE)"),
     "fallback_metric": (fallback_metric, f"WITH {FACTS_SQL} SELECT a.project_id, a.period, coalesce(f.value, a.revenue) AS value, CASE WHEN f.value IS NOT NULL THEN 'steel_sales_volume' ELSE 'revenue' END AS metric_used, f.value IS NULL AS substituted FROM annual a LEFT JOIN facts f ON f.project_id = a.project_id AND f.period = a.period AND f.metric_key = 'steel_sales_volume'"),
     "base_year_join": (base_year_join, f"WITH {FACTS_SQL} SELECT f.project_id, f.metric_key, f.period, f.value, b.value AS base FROM facts f LEFT JOIN facts b ON b.project_id = f.project_id AND b.metric_key = f.metric_key AND CAST(b.period AS INT) = CAST(f.period AS INT) - 1"),
     "asof_backward_marker": (asof_backward_marker, "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS signup_id FROM events"),
     "adjacent_turns": (adjacent_turns, "SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS next, min(turn) OVER (PARTITION BY conv_id) AS first, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
-    "nearest_containment": (nearest_containment, """WITH n AS (SELECT doc_id AS needle, doc_id + doc_id % 4 - 1 AS page, substr(text, 20, 40) AS snippet FROM documents WHERE length(text) >= 60),
+    "nearest_containment": (nearest_containment, """WITH n AS (SELECT doc_id AS needle, doc_id + doc_id % 4 - 1 AS page, substr(text, 20, 40) AS snippet FROM documents),
         h AS (SELECT needle, abs(d.doc_id - page) AS distance, d.doc_id AS found FROM n JOIN documents d ON d.doc_id BETWEEN page - 2 AND page + 2 AND contains(d.text, snippet)),
         b AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY distance, found) AS k FROM h)
         SELECT n.needle, n.page, b.distance, b.found FROM n LEFT JOIN b ON b.needle = n.needle AND k = 1"""),
-    "unique_prefix_rekey": (unique_prefix_rekey, """WITH d AS (SELECT * FROM documents WHERE length(text) >= 24), r AS (SELECT DISTINCT text FROM d),
+    "unique_prefix_rekey": (unique_prefix_rekey, """WITH d AS (SELECT * FROM documents), r AS (SELECT DISTINCT text FROM d),
         l AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text ELSE substr(text, 1, 24) END AS name FROM d),
-        m AS (SELECT id, count(*) AS n, min(r.text) AS m FROM l JOIN r ON starts_with(r.text, l.name) GROUP BY 1)
+        m AS (SELECT id, count(*) AS n, min(r.text) AS m FROM l JOIN r ON starts_with(r.text, l.name) AND length(l.name) >= 24 GROUP BY 1)
         SELECT l.id, CASE WHEN e.text IS NOT NULL THEN sha256(e.text) WHEN n = 1 THEN sha256(m.m) END AS match,
                CASE WHEN e.text IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'prefix' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how
         FROM l LEFT JOIN r e ON e.text = l.name LEFT JOIN m ON m.id = l.id"""),
@@ -268,14 +274,15 @@ QUERIES = {
                CASE WHEN observation_id = bo THEN NULL WHEN value = bv THEN 'same value' ELSE 'adopted ' || bv END AS note FROM b"""),
     "upsert_merge": (upsert_merge, f"WITH {DAYS_SQL} SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.n, o.n) AS n FROM o FULL JOIN n ON o.user_id = n.user_id"),
     "insert_ignore": (insert_ignore, f"WITH {DAYS_SQL} SELECT * FROM o UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM o)"),
-    "stale_prune": (stale_prune, """WITH d AS (SELECT doc_id, text, doc_id % 4 = 0 AS c FROM documents), t AS (SELECT text, count(*) AS n, min(doc_id) AS t FROM d WHERE doc_id % 3 = 0 GROUP BY 1),
-        a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'keep' WHEN NOT c THEN 'delete' WHEN n = 1 THEN 'repoint' ELSE 'demote' END AS action, t FROM d LEFT JOIN t ON t.text = d.text WHERE doc_id % 2 = 0)
+    "stale_prune": (stale_prune, """WITH d AS (SELECT doc_id, text, doc_id % 4 = 0 AS c FROM documents),
+        f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, text FROM d WHERE doc_id % 5 <> 0), t AS (SELECT text, count(*) AS n, min(doc_id) AS t FROM f GROUP BY 1),
+        a AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 <> 0 THEN 'keep' WHEN NOT c THEN 'delete' WHEN n = 1 THEN 'repoint' ELSE 'demote' END AS action, t FROM d LEFT JOIN t ON t.text = d.text)
         SELECT doc_id, action, CASE WHEN action = 'repoint' THEN t END AS target FROM a"""),
     "streak_max": (streak_max, """WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(12,2))) AS v FROM events GROUP BY 1, 2),
         f AS (SELECT *, v * count(*) OVER (PARTITION BY event_type) < sum(v) OVER (PARTITION BY event_type) AS low, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM e),
         g AS (SELECT *, i - sum(CAST(low AS INT)) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS g FROM f)
         SELECT event_type, max(n) AS longest FROM (SELECT event_type, g, count(*) FILTER (low) AS n FROM g GROUP BY 1, 2) GROUP BY 1"""),
-    "set_operations": (set_operations, """WITH a AS (SELECT DISTINCT user_id FROM events WHERE day(ts) BETWEEN 1 AND 7), b AS (SELECT DISTINCT user_id FROM events WHERE day(ts) BETWEEN 8 AND 14)
+    "set_operations": (set_operations, """WITH a AS (SELECT DISTINCT user_id FROM events WHERE day(ts) BETWEEN 1 AND 15), b AS (SELECT DISTINCT user_id FROM events WHERE day(ts) BETWEEN 16 AND 31)
         SELECT user_id, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT user_id, 'left' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT user_id, 'joined' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT user_id, 'any' FROM (SELECT * FROM a UNION SELECT * FROM b)"""),
     "union_by_name": (union_by_name, "SELECT c_name AS name, c_nationkey AS nation, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_name, s_nationkey, NULL, s_acctbal FROM supplier"),

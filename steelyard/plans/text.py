@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steelyard.functions import numeric, text
-from steelyard.operators import constraints, search
+from steelyard.operators import constraints, extraction, narrative, search
 from steelyard.sources import store
 from steelyard.sources.tables import table
 from steelyard.streaming import events as ev
@@ -96,9 +96,7 @@ SELECT direction, intended, count(*) AS sentences FROM d GROUP BY 1, 2
 
 def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in documents in base units, by unit: ``total`` is the exact sum of all that have at most 18
-    digits before and 10 after the point, ``unfit`` counts those that have more and aren't in it.
-
-    ``NUMBER_SQL`` has no ``unfit`` and sums only numbers of up to 7 characters, so it gives other totals."""
+    digits before and 10 after the point, ``unfit`` counts those that have more and aren't in it."""
     n = table(spark, sf_dir, "documents").select(F.explode(text.numbers(F.col("text"), UNITS)).alias("x"))
     plain = F.regexp_replace("x.raw", ",", "")
     written = F.when(~plain.rlike(r"\.[0-9]{10}[0-9]*[1-9]"), plain.try_cast("decimal(28,10)"))
@@ -111,9 +109,10 @@ def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBER_SQL = rf"""
 WITH m AS (SELECT unnest(regexp_extract_all(text, '[-−+]?{_NUM}[ \t\n\x0b\f\r]*(?:km|%|m)?')) AS m FROM documents),
 x AS (SELECT regexp_extract(m, '{_NUM}') AS raw, regexp_extract(m, '(km|%|m)$', 1) AS unit, CASE WHEN regexp_matches(m, '^[-−]') THEN -1 ELSE 1 END AS sign FROM m)
-SELECT unit, count(*) AS n, CAST(sum(CASE WHEN length(raw) <= 7 THEN CAST(replace(raw, ',', '') AS DECIMAL(20,6)) * sign * CASE unit WHEN 'km' THEN 1000 WHEN '%' THEN 0.01 ELSE 1 END END) AS DOUBLE) AS total,
-       max(CASE WHEN contains(raw, '.') THEN length(string_split(raw, '.')[-1]) ELSE 0 END) AS places
-FROM x WHERE NOT (unit = '' AND regexp_matches(raw, '^(19|20)[0-9][0-9]$')) GROUP BY 1
+SELECT unit, count(*) AS n, CAST(sum(v * sign * CASE unit WHEN 'km' THEN 1000 WHEN '%' THEN 0.01 ELSE 1 END) AS DOUBLE) AS total,
+       max(CASE WHEN contains(raw, '.') THEN length(string_split(raw, '.')[-1]) ELSE 0 END) AS places, count(*) FILTER (v IS NULL) AS unfit
+FROM (SELECT *, CASE WHEN NOT regexp_matches(raw, '\.[0-9]{{10}}[0-9]*[1-9]') THEN TRY_CAST(replace(raw, ',', '') AS DECIMAL(28,10)) END AS v FROM x) AS x
+WHERE NOT (unit = '' AND regexp_matches(raw, '^(19|20)[0-9][0-9]$')) GROUP BY 1
 """
 
 
@@ -186,10 +185,71 @@ def search_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index against its pages, from which every tenth source was taken away after indexing."""
+    """The index against its pages: some were empty when it was made, others were emptied since."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blank = lambda k: d.withColumn("text", F.when(F.col("doc_id") % 10 == k, "").otherwise(F.col("text")))
+    return search.index_drift(blank(7), search.postings(blank(3), key="doc_id"), key="doc_id")
+
+
+def trigram_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a query, each with 16 trigrams around its first occurrence."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = search.postings(d.where("doc_id % 10 <> 3"), key="doc_id")
-    return search.index_drift(d.where("doc_id % 10 <> 7"), index, key="doc_id")
+    return search.trigram_search(d, "The And", key="doc_id", limit=None, snippets=True).select("doc_id", "snippet")
+
+
+SNIPPET_SQL = """
+WITH d AS (SELECT doc_id, text, strpos(lower(text), 'the and') - 1 AS a, length(text) - 18 AS last FROM documents WHERE contains(lower(text), 'the and')),
+s AS (SELECT *, greatest(0, least(a - 5, last)) AS b FROM d)
+SELECT doc_id, CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(substr(text, b + 1, 18), '(?i)(the and)', '【\\1】', 'g') || CASE WHEN b < last THEN '…' ELSE '' END AS snippet FROM s
+"""
+
+
+#: Lines of a made-up report; which one stands where follows from the given orders.
+LINES = (
+    "（一）2025年度经营计划", "3、2024年经营计划", "4、可能面对的风险", "2025年经营计划", "公司实现营业总收入1,181.42亿元。", "计划主营业务收入327亿元，同比下降。", "计划营业成本2,420亿元。",
+    "全年需求旺盛，订单饱满。", "工序成本下降，降本增效明显。", "品种钢比例提升，高端产品占比提高。", "回款改善，两金压降。", "满负荷生产，稳产高产。", "项目达产，产能利用率提升。",
+    "预计需求向好。", "市场压力大，需求旺盛难以持续。", "原材料结构升级。", "现金流改善，成本上升。", "",
+)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    line = F.element_at(F.array(*map(F.lit, LINES)), (F.col("o_orderkey") * 7 % len(LINES) + 1).cast("int"))
+    return o.select((F.col("o_custkey") % 20).cast("string").alias("project_id"), F.col("o_orderkey").alias("n"), line.alias("text"), (F.col("o_custkey") % 5).cast("int").alias("page_no"), F.year("o_orderdate").cast("string").alias("period"), (F.col("o_orderkey") % 3 == 0).alias("forward"))
+
+
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+LINES_SQL = f"""u AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS project_id, o_orderkey AS n, {_list(LINES)}[o_orderkey * 7 % {len(LINES)} + 1] AS text, CAST(o_custkey % 5 AS INT) AS page_no,
+            CAST(year(o_orderdate) AS VARCHAR) AS period, o_orderkey % 3 = 0 AS forward FROM orders)"""
+
+
+def narrative_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of management in made-up reports."""
+    return narrative.find_claims(_lines(spark, sf_dir)).select("project_id", "theme_key", "metric", "matched", "page_no", "period", "verify_period", "n")
+
+
+_TOPICS = " UNION ALL ".join(f"SELECT {i} AS i, '{t.key}' AS theme_key, '{t.metric}' AS metric, {_list(t.keywords)} AS words, {_list(t.exclude)} AS never" for i, t in enumerate(narrative.TOPICS))
+NARRATIVE_SQL = f"""
+WITH {LINES_SQL}, t AS ({_TOPICS}),
+h AS (SELECT u.*, theme_key, metric, list_filter(words, lambda w: contains(text, w))[1] AS matched, row_number() OVER (PARTITION BY project_id, theme_key, period, page_no ORDER BY n) AS k FROM u CROSS JOIN t
+      WHERE text <> '' AND len(list_filter({_list(narrative.DENIAL)}, lambda w: contains(text, w))) = 0 AND len(list_filter(never, lambda w: contains(text, w))) = 0 AND len(list_filter(words, lambda w: contains(text, w))) > 0)
+SELECT project_id, theme_key, metric, matched, page_no, period, CASE WHEN forward THEN CAST(CAST(period AS INT) + 1 AS VARCHAR) ELSE period END AS verify_period, n FROM h WHERE k = 1
+"""
+
+
+def plan_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of made-up reports that are budgets, with the year of the plan that they stand under."""
+    lines = _lines(spark, sf_dir).select(F.concat_ws("-", "project_id", "period").alias("file_id"), "page_no", F.col("n").alias("line_no"), F.col("text").alias("line"))
+    return extraction.plan_years(lines).where(extraction.is_budget(F.col("line"), F.col("plan_year"))).select("file_id", "line_no", "plan_year", "line")
+
+
+BUDGET_SQL = f"""
+WITH {LINES_SQL}, m AS (SELECT project_id || '-' || period AS file_id, page_no, n AS line_no, text AS line,
+     CASE WHEN regexp_matches(text, '^\\s*([0-9]+[、.]|[（(]?[一二三四五六七八九十]+[）)、.])\\s*20[0-9]{{2}}\\s*年[^。！？；，：]{{0,8}}经营计划') THEN regexp_extract(text, '(20[0-9]{{2}})\\s*年', 1)
+          WHEN regexp_matches(text, '^\\s*([一二三四五六七八九十]+[、.]|[0-9]+[、.])[^。！？；，：]{{0,40}}$') THEN '' END AS mark FROM u),
+p AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY page_no, line_no ROWS UNBOUNDED PRECEDING) AS plan_year FROM m)
+SELECT file_id, line_no, plan_year, line FROM p WHERE plan_year <> '' AND (contains(line, '营业收入') OR contains(line, '营业总收入') OR contains(line, '主营业务收入'))
+"""
 
 
 def content_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +376,9 @@ QUERIES = {
     "trigram_search": (trigram_search, TRIGRAM_SQL),
     "short_query_search": (short_query_search, "SELECT doc_id, substr(text, greatest(strpos(lower(text), '%') - 30, 1), 120) AS excerpt FROM documents WHERE contains(text, '%')"),
     "search_dispatch": (search_dispatch, "SELECT q AS query, doc_id FROM documents CROSS JOIN (SELECT unnest(['zz', 'the and', '_|', ' eau ']) AS q) WHERE contains(lower(text), trim(q)) AND source IN ('src1', 'src2', 'src3')"),
+    "trigram_snippets": (trigram_snippets, SNIPPET_SQL),
+    "narrative_claims": (narrative_claims, NARRATIVE_SQL),
+    "plan_budgets": (plan_budgets, BUDGET_SQL),
     "postings_consistency": (postings_consistency, "SELECT doc_id, 'not_indexed' AS side FROM documents WHERE length(text) >= 3 AND doc_id % 10 = 3 UNION ALL SELECT doc_id, 'no_page' FROM documents WHERE length(text) >= 3 AND doc_id % 10 = 7"),
     "content_hash_ids": (content_hash_ids, """SELECT doc_id, 'f-' || substr(sha256(source || chr(0) || text), 1, 12) AS file_id, sha1(text) AS text_sha1, sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS props FROM documents"""),
     "basenames": (basenames, "SELECT page_id, CAST(page_id AS VARCHAR) AS name FROM pages"),

@@ -25,28 +25,105 @@ SCHEMAS = {
     "event": "task_id string, seq int, ts string, step_id string, type string, payload map<string,string>",
 }
 
-# The metric dictionary, by statement, type, unit and industry. A star marks derived metrics, a
-# tilde those that don't recur.
-DICTIONARY = """
-income flow currency -: total_revenue revenue operating_cost gross_profit* taxes_and_surcharges selling_expense admin_expense rd_expense finance_expense interest_expense interest_income operating_profit profit_before_tax income_tax net_income net_income_parent minority_interest_pl non_gaap_net_income non_recurring_gain_loss~ government_grant~ asset_disposal_gain_loss~ impairment_loss~ credit_impairment_loss~ goodwill_impairment~ fair_value_gain_loss~ investment_income~ ebit* ebitda*
-balance stock currency -: total_assets total_liabilities total_equity equity_parent minority_interest cash_and_equivalents accounts_receivable notes_and_ar notes_receivable inventory contract_liabilities accounts_payable ppe cip goodwill short_term_borrowing long_term_borrowing bonds_payable lease_liability interest_bearing_debt* net_debt* operating_working_capital*
-cashflow flow currency -: cfo cfi cff depreciation_amortization amortization_intangible capex cash_net_increase right_of_use_asset_depreciation
-cashflow stock currency -: cash_begin cash_end
-balance stock shares -: diluted_shares
-indicator flow currency -: eps_basic eps_diluted
-indicator stock currency -: bvps
-indicator ratio percent -: ebit_margin* ebitda_margin* gross_margin* net_margin* roe* roic* cash_conversion* nonrecurring_share*
-industry flow ton steel: steel_output crude_steel_output steel_sales_volume industry_sales_volume
-industry flow ton energy: coal_output coal_sales_volume
-industry ratio currency steel: steel_price_avg* steel_spread* steel_gross_profit_per_ton* steel_ebitda_per_ton*
-industry ratio currency energy: coal_price_avg* ton_coal_gross_margin*
-industry stock ton steel: effective_capacity crude_steel_effective_capacity steel_effective_capacity crude_steel_capacity
-industry ratio percent steel: capacity_utilization* reported_capacity_utilization
-industry flow currency energy: safety_production_expense
-industry flow currency -: environmental_protection_expense
-disclosure text text -: audit_opinion accounting_policy_change
-balance flow currency -: safety_production_fee_increase safety_production_fee_provision
-"""
+# The metric dictionary, as key, statement, value type, unit kind, derived, nonrecurring, industry.
+DICTIONARY = (
+    ("total_revenue", "income", "flow", "currency", False, False, ""),
+    ("revenue", "income", "flow", "currency", False, False, ""),
+    ("operating_cost", "income", "flow", "currency", False, False, ""),
+    ("gross_profit", "income", "flow", "currency", True, False, ""),
+    ("taxes_and_surcharges", "income", "flow", "currency", False, False, ""),
+    ("selling_expense", "income", "flow", "currency", False, False, ""),
+    ("admin_expense", "income", "flow", "currency", False, False, ""),
+    ("rd_expense", "income", "flow", "currency", False, False, ""),
+    ("finance_expense", "income", "flow", "currency", False, False, ""),
+    ("interest_expense", "income", "flow", "currency", False, False, ""),
+    ("interest_income", "income", "flow", "currency", False, False, ""),
+    ("operating_profit", "income", "flow", "currency", False, False, ""),
+    ("profit_before_tax", "income", "flow", "currency", False, False, ""),
+    ("income_tax", "income", "flow", "currency", False, False, ""),
+    ("net_income", "income", "flow", "currency", False, False, ""),
+    ("net_income_parent", "income", "flow", "currency", False, False, ""),
+    ("minority_interest_pl", "income", "flow", "currency", False, False, ""),
+    ("non_gaap_net_income", "income", "flow", "currency", False, False, ""),
+    ("non_recurring_gain_loss", "income", "flow", "currency", False, True, ""),
+    ("government_grant", "income", "flow", "currency", False, True, ""),
+    ("asset_disposal_gain_loss", "income", "flow", "currency", False, True, ""),
+    ("impairment_loss", "income", "flow", "currency", False, True, ""),
+    ("credit_impairment_loss", "income", "flow", "currency", False, True, ""),
+    ("goodwill_impairment", "income", "flow", "currency", False, True, ""),
+    ("fair_value_gain_loss", "income", "flow", "currency", False, True, ""),
+    ("investment_income", "income", "flow", "currency", False, True, ""),
+    ("ebit", "income", "flow", "currency", True, False, ""),
+    ("ebitda", "income", "flow", "currency", True, False, ""),
+    ("total_assets", "balance", "stock", "currency", False, False, ""),
+    ("total_liabilities", "balance", "stock", "currency", False, False, ""),
+    ("total_equity", "balance", "stock", "currency", False, False, ""),
+    ("equity_parent", "balance", "stock", "currency", False, False, ""),
+    ("minority_interest", "balance", "stock", "currency", False, False, ""),
+    ("cash_and_equivalents", "balance", "stock", "currency", False, False, ""),
+    ("accounts_receivable", "balance", "stock", "currency", False, False, ""),
+    ("notes_and_ar", "balance", "stock", "currency", False, False, ""),
+    ("notes_receivable", "balance", "stock", "currency", False, False, ""),
+    ("inventory", "balance", "stock", "currency", False, False, ""),
+    ("contract_liabilities", "balance", "stock", "currency", False, False, ""),
+    ("accounts_payable", "balance", "stock", "currency", False, False, ""),
+    ("ppe", "balance", "stock", "currency", False, False, ""),
+    ("cip", "balance", "stock", "currency", False, False, ""),
+    ("goodwill", "balance", "stock", "currency", False, False, ""),
+    ("short_term_borrowing", "balance", "stock", "currency", False, False, ""),
+    ("long_term_borrowing", "balance", "stock", "currency", False, False, ""),
+    ("bonds_payable", "balance", "stock", "currency", False, False, ""),
+    ("lease_liability", "balance", "stock", "currency", False, False, ""),
+    ("interest_bearing_debt", "balance", "stock", "currency", True, False, ""),
+    ("net_debt", "balance", "stock", "currency", True, False, ""),
+    ("operating_working_capital", "balance", "stock", "currency", True, False, ""),
+    ("cfo", "cashflow", "flow", "currency", False, False, ""),
+    ("cfi", "cashflow", "flow", "currency", False, False, ""),
+    ("cff", "cashflow", "flow", "currency", False, False, ""),
+    ("depreciation_amortization", "cashflow", "flow", "currency", False, False, ""),
+    ("amortization_intangible", "cashflow", "flow", "currency", False, False, ""),
+    ("capex", "cashflow", "flow", "currency", False, False, ""),
+    ("cash_net_increase", "cashflow", "flow", "currency", False, False, ""),
+    ("right_of_use_asset_depreciation", "cashflow", "flow", "currency", False, False, ""),
+    ("cash_begin", "cashflow", "stock", "currency", False, False, ""),
+    ("cash_end", "cashflow", "stock", "currency", False, False, ""),
+    ("diluted_shares", "balance", "stock", "shares", False, False, ""),
+    ("eps_basic", "indicator", "flow", "currency", False, False, ""),
+    ("eps_diluted", "indicator", "flow", "currency", False, False, ""),
+    ("bvps", "indicator", "stock", "currency", False, False, ""),
+    ("ebit_margin", "indicator", "ratio", "percent", True, False, ""),
+    ("ebitda_margin", "indicator", "ratio", "percent", True, False, ""),
+    ("gross_margin", "indicator", "ratio", "percent", True, False, ""),
+    ("net_margin", "indicator", "ratio", "percent", True, False, ""),
+    ("roe", "indicator", "ratio", "percent", True, False, ""),
+    ("roic", "indicator", "ratio", "percent", True, False, ""),
+    ("cash_conversion", "indicator", "ratio", "percent", True, False, ""),
+    ("nonrecurring_share", "indicator", "ratio", "percent", True, False, ""),
+    ("steel_output", "industry", "flow", "ton", False, False, "steel"),
+    ("crude_steel_output", "industry", "flow", "ton", False, False, "steel"),
+    ("steel_sales_volume", "industry", "flow", "ton", False, False, "steel"),
+    ("industry_sales_volume", "industry", "flow", "ton", False, False, "steel"),
+    ("coal_output", "industry", "flow", "ton", False, False, "energy"),
+    ("coal_sales_volume", "industry", "flow", "ton", False, False, "energy"),
+    ("steel_price_avg", "industry", "ratio", "currency", True, False, "steel"),
+    ("steel_spread", "industry", "ratio", "currency", True, False, "steel"),
+    ("steel_gross_profit_per_ton", "industry", "ratio", "currency", True, False, "steel"),
+    ("steel_ebitda_per_ton", "industry", "ratio", "currency", True, False, "steel"),
+    ("coal_price_avg", "industry", "ratio", "currency", True, False, "energy"),
+    ("ton_coal_gross_margin", "industry", "ratio", "currency", True, False, "energy"),
+    ("effective_capacity", "industry", "stock", "ton", False, False, "steel"),
+    ("crude_steel_effective_capacity", "industry", "stock", "ton", False, False, "steel"),
+    ("steel_effective_capacity", "industry", "stock", "ton", False, False, "steel"),
+    ("crude_steel_capacity", "industry", "stock", "ton", False, False, "steel"),
+    ("capacity_utilization", "industry", "ratio", "percent", True, False, "steel"),
+    ("reported_capacity_utilization", "industry", "ratio", "percent", False, False, "steel"),
+    ("safety_production_expense", "industry", "flow", "currency", False, False, "energy"),
+    ("environmental_protection_expense", "industry", "flow", "currency", False, False, ""),
+    ("audit_opinion", "disclosure", "text", "text", False, False, ""),
+    ("accounting_policy_change", "disclosure", "text", "text", False, False, ""),
+    ("safety_production_fee_increase", "balance", "flow", "currency", False, False, ""),
+    ("safety_production_fee_provision", "balance", "flow", "currency", False, False, ""),
+)
 
 # Rule parameters and their defaults.
 RULES = {
@@ -66,13 +143,7 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def metrics(spark: SparkSession, aliases: dict[str, list[str]] | None = None, exclusions: dict[str, list[str]] | None = None) -> DataFrame:
     """The metric dictionary, with the aliases and exclusion terms of those that have some."""
-    rows = []
-    for line in DICTIONARY.strip().splitlines():
-        head, keys = line.split(":")
-        statement, value_type, unit, industry = head.split()
-        for key in keys.split():
-            name = key.rstrip("*~")
-            rows.append((name, statement, value_type, unit, key.endswith("*"), key.endswith("~"), "" if industry == "-" else industry, (aliases or {}).get(name, []), (exclusions or {}).get(name, []), None))
+    rows = [(*row, (aliases or {}).get(row[0], []), (exclusions or {}).get(row[0], []), None) for row in DICTIONARY]
     return spark.createDataFrame(rows, SCHEMAS["metric_definition"])
 
 

@@ -95,3 +95,26 @@ def replayed(requests: DataFrame, cassettes: DataFrame, body: str = "request") -
     keyed = requests.withColumn("key", F.substring(F.sha2(F.col(body), 256), 1, 32))
     found = keyed.join(cassettes.select("key", "response"), "key", "left")
     return found.withColumn("response", F.when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("no recording "), F.col("key"))).cast("string")).otherwise(F.col("response")))
+
+
+def template(declared: DataFrame, recorded: DataFrame, key: list[str]) -> DataFrame:
+    """What a reviewer fills in: all declared keys with what is recorded, the others as ``pending`` rows, which
+    :func:`import_decided` leaves out again. ``recorded`` has a ``status``."""
+    from steelyard.operators.grid import pad
+
+    return pad(declared, recorded, key).drop("declared")
+
+
+def q2_template(projects: DataFrame, recorded: DataFrame, scope: str = "consolidated") -> DataFrame:
+    """Receivables by age: a row per project and declared year."""
+    return template(projects.select("project_id", F.explode("fiscal_years").alias("period"), F.lit(scope).alias("scope")), recorded, ["project_id", "period", "scope"])
+
+
+def r_template(projects: DataFrame, items: list[str], recorded: DataFrame) -> DataFrame:
+    """Risk disclosures: a row per project, declared year and item of the checklist."""
+    return template(projects.select("project_id", F.explode("fiscal_years").alias("period")).select("*", F.explode(F.array(*map(F.lit, items))).alias("item")), recorded, ["project_id", "period", "item"])
+
+
+def p_template(claims: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Confirmations of claims: a row per claim, with its text beside it."""
+    return template(claims.select("claim_id"), recorded, ["claim_id"]).join(claims.select("claim_id", "claim_text"), "claim_id", "left")

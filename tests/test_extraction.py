@@ -21,14 +21,22 @@ def test_sections_and_plan_years(spark):
     assert [r.plan_year for r in own] == [None, None, None, "2025", "2025", None, None]
 
 
+def test_headings_of_plans(spark):
+    lines = ["3、2018年经营计划", "（二）2021年度经营计划", "2024年经营计划", "二、2024年度生产计划", "（一）2024年预算", "1.2025年公司经营计划"]
+    df = spark.createDataFrame([(str(i), 1, 1, x) for i, x in enumerate(lines)], "file_id string, page_no int, line_no int, line string")
+    assert {r.line: r.plan_year for r in ex.plan_years(df).collect()} == dict(zip(lines, ["2018", "2021", None, None, None, "2025"], strict=True))
+
+
 def test_claims(spark):
-    rows = [("p", "s", 0, "全年销量同比增长5%。", None), ("p", "s", 1, "计划营业成本2,420亿元。", "2025"), ("p", "s", 2, "国家统计局数据显示，粗钢产量下降。", None), ("p", "s", 3, "天气晴朗宜人。", None), ("p", "s", 4, "力争高端产品占比提高。", None)]
+    rows = [("p", "s", 0, "全年销量同比增长5%。", None), ("p", "s", 1, "计划营业成本2,420亿元。", "2025"), ("p", "s", 2, "国家统计局数据显示，粗钢产量下降。", None), ("p", "s", 3, "天气晴朗宜人。", None), ("p", "s", 4, "力争高端产品占比提高。", None), ("p", "s", 5, "主营业务收入1,200亿元。", "2025"), ("p", "s", 6, "主营业务收入1,200亿元实现。", None)]
     df = spark.createDataFrame([(*r[:4], r[3], "2024", r[4]) for r in rows], "project_id string, section_id string, n int, sentence string, paragraph string, report_period string, plan_year string")
-    got = {r.claim_text[:4]: r for r in ex.claims(df, {"operating_cost": ["营业成本"]}).collect()}
-    assert len(got) == 3
-    a, b, c = got["全年销量"], got["计划营业"], got["力争高端"]
+    got = {r.claim_text[:4]: r for r in ex.claims(df, {"revenue": ["营业收入", "主营业务收入"], "operating_cost": ["营业成本"]}).collect()}
+    assert len(got) == 4
+    a, b, c, d = got["全年销量"], got["计划营业"], got["力争高端"], got["主营业务"]
     assert (a.claim_type, a.primary_metric, a.direction, a.period_norm, a.magnitude_value, a.confidence) == ("demand_sales", "steel_sales_volume", "up", "2024", 5, 0.8)
-    assert (b.claim_type, b.primary_metric, b.period_norm, b.magnitude_value, b.is_plan, b.target_metric_aligned, b.confidence) == ("management_budget", "operating_cost", "2025", 2420, True, True, 0.6)
+    # costs are no budget, whatever they stand under; revenue is one under a plan's heading alone
+    assert (b.claim_type, b.primary_metric, b.magnitude_value, b.is_plan, b.target_metric_aligned, b.confidence) == ("cost_reduction", "operating_cost", 2420, True, True, 0.6)
+    assert (d.claim_type, d.primary_metric, d.period_norm, d.magnitude_value, d.claim_text) == ("management_budget", "revenue", "2025", 1200, "主营业务收入1,200亿元。")
     assert c.primary_metric is None and c.confidence == 0.5
     assert {r.claim_id for r in ex.claims(df).collect()} == {r.claim_id for r in got.values()}
 

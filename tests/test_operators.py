@@ -353,3 +353,49 @@ def test_totals_hold_numbers_of_any_length(spark, sf, tmp_path):
         got = {r.unit: (r.n, r.total, r.unfit) for r in number_extract(spark, path).collect()}
         assert got == brute([r.text for r in tables.table(spark, path, "documents").collect() if r.text is not None])
     assert number_extract(spark, str(tmp_path)).where("unit = 'km'").first().total == -1234567500.0
+
+
+def test_registered_tools(spark):
+    from steelyard.plans.tools import TOOLS
+    from steelyard.sources import schema
+
+    facts = [("p", k, str(y), v) for y, r, c in ((2022, 100, 80), (2023, 110, 85), (2025, 120, 90)) for k, v in (("revenue", r), ("operating_cost", c), ("cfo", 5))] + [("q", "revenue", "2023", 7)]
+    rows = [(p, k, y, Decimal(v), True, "validated") for p, k, y, v in facts] + [("p", "revenue", "2021", Decimal(1), True, "pending")]
+    facts = spark.createDataFrame(rows, "project_id string, metric_key string, period string, value decimal(20,6), comparable boolean, status string")
+    said = [("p", 0, "订单饱满，需求旺盛。", 3, "2023", False), ("p", 1, "需求旺盛。", 3, "2023", False), ("p", 2, "成本下降。", 4, "2023", False), ("p", 3, "需求旺盛但有风险。", 9, "2023", False), ("p", 4, "现款现货。", 4, "2022", True), ("p", 5, "稳产高产。", 4, "2024", True), ("q", 6, "产销两旺。", 1, "x", True)]
+    said = spark.createDataFrame(said, "project_id string, n int, text string, page_no int, period string, forward boolean")
+    got = {r.project_id: (r.years, r.metrics, r.facts) for r in TOOLS.call("facts.coverage", facts=facts).collect()}
+    assert got == {"p": (["2022", "2023", "2025"], 3, 9), "q": (["2023"], 1, 1)}
+    series = TOOLS.call("facts.series", facts=facts, metric_key="revenue", project_id="p").orderBy("period").collect()
+    assert [(r.period, r.yoy.value, r.yoy.refused) for r in series] == [("2022", None, "first"), ("2023", Decimal("0.1"), None), ("2025", None, "gap")]
+    margins = {r.period: r.margin.value for r in TOOLS.call("facts.margin", facts=facts, project_id="p").collect()}
+    assert margins["2022"] == 20 and margins["2025"] == 25
+    claims = {(r.project_id, r.theme_key, r.n): r.verify_period for r in TOOLS.call("narrative.claims", utterances=said).collect()}
+    assert claims == {("p", "demand", 0): "2023", ("p", "cost", 2): "2023", ("p", "cash", 4): "2023", ("p", "capacity", 5): "2025", ("q", "demand", 6): "x"}
+    judged = {(r.project_id, r.theme_key): r.verdict for r in TOOLS.call("narrative.consistency", utterances=said, facts=facts).collect()}
+    assert judged == {("p", "demand"): "consistent", ("p", "cost"): "consistent", ("p", "cash"): "incomparable", ("p", "capacity"): "missing", ("q", "demand"): "missing"}
+    assert {r.theme_key for r in TOOLS.call("narrative.consistency", utterances=said, facts=facts, theme_key="cash", forward_next_year=False).collect()} == {"cash"}
+    assert {r.name: r.rows for r in TOOLS.call("system.db_stats", spark=spark, tables={"facts": facts, "said": said}).collect()} == {"facts": 11, "said": 7}
+    assert TOOLS.call("system.dictionary_check", metrics=schema.metrics(spark)).count() == 0
+    assert TOOLS.call("system.rule_config_check", rules=schema.rules(spark)).count() == 0
+    assert TOOLS.route("毛利率怎样") == "facts.margin" and len(TOOLS.describe()) == 8
+
+
+def test_templates_and_pending_observations(spark, tmp_path):
+    from steelyard.sources import store
+
+    projects = spark.createDataFrame([("p", ["2023", "2024"])], "project_id string, fiscal_years array<string>")
+    done = spark.createDataFrame([("p", "2024", "consolidated", 5, "confirmed")], "project_id string, period string, scope string, receivable int, status string")
+    grid = store.q2_template(projects, done)
+    assert {(r.period, r.receivable, r.status) for r in grid.collect()} == {("2023", None, "pending"), ("2024", 5, "confirmed")}
+    store.write_csv(grid, f"{tmp_path}/q2")
+    back = store.import_decided(store.read_csv(spark, f"{tmp_path}/q2", grid.schema))
+    assert [tuple(r) for r in back.select("period", "receivable").collect()] == [("2024", 5)]
+    items = spark.createDataFrame([("p", "2024", "price", "no risk", "confirmed")], "project_id string, period string, item string, conclusion string, status string")
+    assert store.r_template(projects, ["price", "fx"], items).where("status = 'pending'").count() == 3
+    claims = spark.createDataFrame([("c1", "one"), ("c2", "two")], "claim_id string, claim_text string")
+    kept = spark.createDataFrame([("c2", True, "confirmed")], "claim_id string, is_template boolean, status string")
+    assert {(r.claim_id, r.claim_text, r.status) for r in store.p_template(claims, kept).collect()} == {("c1", "one", "pending"), ("c2", "two", "confirmed")}
+    store.append_pending(spark.createDataFrame([("o1", 1)], "observation_id string, value int"), f"{tmp_path}/seen")
+    store.append_pending(spark.createDataFrame([("o2", 2)], "observation_id string, value int"), f"{tmp_path}/seen")
+    assert {(r.observation_id, r.resolution) for r in spark.read.parquet(f"{tmp_path}/seen").collect()} == {("o1", "pending"), ("o2", "pending")}
