@@ -18,14 +18,21 @@ from steelyard.streaming import events as ev
 
 
 def _shared(spark: SparkSession) -> str:
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints'}/steelyard-stream-{uuid.uuid4().hex}"
+    """A new folder where all executors can write: in spark.checkpoint.dir, or where that is unset and the
+    session is a local one, as in tests, in its warehouse. It goes when the driver ends."""
+    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: streams need a folder that all executors share")
+    path = f"{home or spark.conf.get('spark.sql.warehouse.dir')}/steelyard-stream-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of files; a folder of them is what a stream reads, so the table is put in one."""
-    rows, home = table(spark, sf_dir, name), _shared(spark)
-    rows.write.parquet(home)
-    return spark.readStream.schema(rows.schema).parquet(home)
+    """A table as a stream of its files. A stream reads a folder or a pattern, and the pattern fits a table that
+    is one file as well."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _ended(df: DataFrame) -> DataFrame:
