@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steelyard.sources import store
+
 
 def top1(df: DataFrame, by: list[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group; the order has to end with a key."""
@@ -59,16 +61,26 @@ def unique_prefix(left: DataFrame, right: DataFrame, key: str, name: str, prefix
     shorter than ``prefix`` characters match exactly or not at all.
 
     In sorted order the names that a name begins follow it, so each looks at the next two, which a frame that
-    only grows carries along from the end: nothing meets all others of its beginning. Names with one
-    beginning of ``prefix`` characters are sorted in one task.
+    only grows carries along from the end: nothing meets all others of its beginning. Rows are cut into
+    ranges of that order by Spark's own sampled borders, with the key last so that equal names are cut as
+    well, and what lies beyond a range is carried over in two names for each range.
     """
     r = right.where(F.col(name).isNotNull()).select(F.lit(None).cast(dict(left.dtypes)[key]).alias("_k"), F.col(name).alias("_n"), F.lit(1).alias("_r")).distinct()
     both = left.where(F.col(name).isNotNull()).select(F.col(key).alias("_k"), F.col(name).alias("_n"), F.lit(0).alias("_r")).unionByName(r)
-    w = Window.partitionBy(F.substring("_n", 1, prefix)).orderBy(F.col("_n").desc(), F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("_n").desc(), F.col("_r").desc(), F.col("_k")]
+    # written, since borders that are sampled again may differ
+    both = store.written(both.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "names")
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.when(F.col("_r") == 1, F.col("_n"))
     both = both.withColumn("_next", F.last(own, ignorenulls=True).over(w))
+    ends = both.groupBy("_p").agg(F.min(F.when(F.col("_r") == 1, F.struct(F.col("_n").alias("a"), F.col("_next").alias("b")))).alias("_e")).select("_p", "_e.*")
+    over = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ends = ends.withColumn("_a", F.last("a", ignorenulls=True).over(over))
+    ends = ends.withColumn("_b", F.last(F.when(F.col("a").isNotNull(), F.struct(F.coalesce("b", "_a").alias("b"))), ignorenulls=True).over(over)["b"]).select("_p", "_a", "_b")
     pair = F.last(F.when(F.col("_r") == 1, F.struct(F.col("_n").alias("a"), F.col("_next").alias("b"))), ignorenulls=True).over(w)
-    found = both.withColumn("_p", pair).where("_r = 0")
+    found = both.withColumn("_in", pair).where("_r = 0").join(ends, "_p")
+    near = F.struct(F.coalesce("_in.a", "_a").alias("a"), F.when(F.col("_in").isNull(), F.col("_b")).otherwise(F.coalesce("_in.b", "_a")).alias("b"))
+    found = found.withColumn("_p", near)
     begins = lambda c: F.coalesce((F.length("_n") >= prefix) & F.col(c).startswith(F.col("_n")), F.lit(False))
     how = F.when(F.col("_p.a") == F.col("_n"), "exact").when(begins("_p.a") & begins("_p.b"), "ambiguous").when(begins("_p.a"), "prefix").otherwise("none")
     found = found.withColumn("how", how)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +15,6 @@ from steelyard.sources.tables import table
 from steelyard.streaming import events as ev
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder where all executors can write: in spark.checkpoint.dir, or where that is unset and the
-    session is a local one, as in tests, in its warehouse. It goes when the driver ends."""
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not home and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: streams need a folder that all executors share")
-    path = f"{home or spark.conf.get('spark.sql.warehouse.dir')}/steelyard-stream-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files. A stream reads a folder or a pattern, and the pattern fits a table that
     is one file as well."""
@@ -37,7 +23,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _ended(df: DataFrame) -> DataFrame:
     """Run a stream over all there is, into the shared folder, and read what it wrote."""
-    home = _shared(df.sparkSession)
+    home = store.scratch(df.sparkSession, "stream")
     writer = df.writeStream.format("parquet").outputMode("append").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state")
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()

@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write: in spark.checkpoint.dir, or where that is unset and the
+    session is a local one, as in tests, in its warehouse. It goes when the driver ends."""
+    home = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: intermediate data need a folder that all executors share")
+    path = f"{home or spark.conf.get('spark.sql.warehouse.dir')}/steelyard-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: what is not determined stays as it came out."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def content_id(prefix: str, *parts: Column, size: int = 12) -> Column:
     """A deterministic id from the parts, which a zero character keeps apart."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, size))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = 1000
+#: Rows that a checked task gives out at a time.
+ROWS = 10_000
 TERMINAL = ("task_completed", "task_failed", "task_cancelled")
 
 # Legal steps of tasks and of their steps, from and to.
@@ -51,17 +54,30 @@ def transitions(events: DataFrame, task: str, order: list[str], state: str, lega
 
 
 def transition_stream(events: DataFrame, task: str, state: str, legal: tuple[tuple[str, str], ...]) -> DataFrame:
-    """The same over a stream whose events of a task come in order of ``seq``: ``task, seq, previous, state,
-    legal``. The last state of each task is kept as Spark state."""
+    """The same over a stream whose events of a task come in order of ``seq`` from batch to batch: ``task, seq,
+    previous, state, legal``. The last state of each task is kept as Spark state. A shuffle mixes the rows of
+    one batch, so a task's seqs and codes of states, 12 bytes an event, are put in order in memory, and rows
+    are given out ``ROWS`` at a time. The source's limit of files a batch bounds what that is."""
     allowed = set(legal)
 
     def of(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
+        names: dict[str | None, int] = {}
+        seqs, codes = [], []
+        for frame in frames:
+            local, seen = pd.factorize(frame["state"], use_na_sentinel=False)
+            seqs.append(frame["seq"].to_numpy())
+            codes.append(np.array([names.setdefault(None if pd.isna(s) else s, len(names)) for s in seen], dtype=np.int32)[local])
+        seq, code, labels = np.concatenate(seqs), np.concatenate(codes), list(names)
+        order = np.argsort(seq, kind="stable")
         before = kept.get[0] if kept.exists else None
-        previous = [before, *rows["state"].tolist()[:-1]]
-        ok = [p is None or (p, s) in allowed for p, s in zip(previous, rows["state"], strict=True)]
-        kept.update((rows["state"].iloc[-1],))
-        yield pd.DataFrame({"task": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(), "previous": previous, "state": rows["state"].to_numpy(), "legal": ok})
+        for at in range(0, len(order), ROWS):
+            some = order[at : at + ROWS]
+            states = [labels[c] for c in code[some]]
+            previous = [before, *states[:-1]]
+            ok = [p is None or (p, s) in allowed for p, s in zip(previous, states, strict=True)]
+            before = states[-1]
+            yield pd.DataFrame({"task": [key[0]] * len(states), "seq": seq[some], "previous": previous, "state": states, "legal": ok})
+        kept.update((before,))
 
     rows = events.select(F.col(task).cast("string").alias("task"), F.col("seq").cast("long").alias("seq"), F.col(state).alias("state"))
     return rows.groupBy("task").applyInPandasWithState(of, "task string, seq long, previous string, state string, legal boolean", "state string", "append", GroupStateTimeout.NoTimeout)

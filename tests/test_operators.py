@@ -120,6 +120,54 @@ def test_quantiles(spark):
     assert (r.a, r.b, r.c) == (1, 2, 3)
 
 
+def test_quantiles_of_many_values_with_outliers(spark):
+    """Groups larger than the parts they are cut into, one with an outlier that spans nearly all of its width."""
+    import numpy as np
+
+    values = {"wide": [*range(9000), 10**9], "tied": [k // 3 for k in range(7000)], "one": [5] * 40, "few": [-3, 0, 8]}
+    df = spark.createDataFrame([(g, float(v)) for g, some in values.items() for v in some], "g string, v double")
+    qs = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.999, "e": 1.0}
+    for r in quantiles.interpolated_quantile(df, ["g"], "v", qs).collect():
+        assert [round(r[n], 6) for n in qs] == [round(float(np.quantile(values[r.g], q)), 6) for q in qs.values()], r.g
+    weighted = df.withColumn("w", F.lit(1).cast("decimal(10,2)"))
+    for r in quantiles.weighted_quantiles(weighted, ["g"], "v", "w", {"m": "0.5", "h": "0.9"}).collect():
+        some = sorted(values[r.g])
+        assert (r.m, r.h) == (some[-(-len(some) // 2) - 1], some[-(-len(some) * 9 // 10) - 1]), r.g
+
+
+def test_unique_prefix_across_ranges(spark):
+    """One beginning that all names share, equal names and nested names, against all pairs."""
+    import random
+
+    draw = random.Random(3)
+    stem = "the same beginning of all of them "
+    right = [stem + "".join(draw.choice("ab") for _ in range(draw.randint(0, 9))) for _ in range(400)] + ["short", None]
+    left = [n if n is None else n[: draw.randint(4, len(n))] if draw.random() < 0.7 else n for n in right] + [stem + "zz"] * 150 + [right[0]] * 150
+    want = []
+    for i, n in enumerate(left):
+        begun = {r for r in right if n is not None and r is not None and r.startswith(n)}
+        if n in begun:
+            want.append((i, n, "exact"))
+        elif n is None or len(n) < 24 or not begun:
+            want.append((i, None, "none"))
+        else:
+            want.append((i, min(begun), "prefix") if len(begun) == 1 else (i, None, "ambiguous"))
+    frame = lambda some, name: spark.createDataFrame(list(enumerate(some)), f"id long, {name} string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for parts in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+            got = relational.unique_prefix(frame(left, "name"), frame(right, "name"), "id", "name", 24)
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    empty = frame([], "name")
+    assert relational.unique_prefix(empty, frame(right, "name"), "id", "name", 24).count() == 0
+    assert {r.how for r in relational.unique_prefix(frame(left, "name"), empty, "id", "name", 24).collect()} == {"none"}
+
+
 CLAIM = "primary_metric string, period_norm string, direction string, magnitude_value decimal(20,6), magnitude_unit string, bound string, is_plan boolean, metric_kind string, current_value decimal(20,6), current_comparable boolean, current_period string, base_value decimal(20,6), base_comparable boolean, base_period string"
 
 
@@ -312,6 +360,20 @@ def test_transition_stream_equals_batch(spark, tmp_path):
     assert [r[4] for r in want if r[0] == "t1"] == [True, True, True, True, False]
 
 
+def test_transition_stream_gives_out_parts(spark, tmp_path, monkeypatch):
+    """A task with more events than are given out at a time, in no order within its batch, and with null states."""
+    rows = [("t", i, [None, "pending", "running", "completed"][i * 7 % 4]) for i in range(1, 100)]
+    df = spark.createDataFrame(rows, "task string, seq long, state string")
+    df.orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(events, "ROWS", 10)
+    out = events.transition_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "task", "state", events.TASK_STEPS)
+    q = out.writeStream.format("memory").queryName("parts").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = [s for _, _, s in rows]
+    want = [("t", i + 1, p, s, p is None or (p, s) in events.TASK_STEPS) for i, (p, s) in enumerate(zip([None, *states], states))]
+    assert sorted(map(tuple, spark.table("parts").collect()), key=lambda r: r[1]) == want
+
+
 def test_registry():
     tools = Registry()
 
