@@ -13,31 +13,35 @@ AMPLITUDE = "0.02"
 CROSSCHECK = "0.05"
 
 
-#: Parts into which a group's values are cut at each level, and the levels, before any of them are put in order.
-PARTS, LEVELS = 64, 2
+#: Parts into which a group's values are cut, and how often, before any of them are put in order.
+PARTS, LEVELS = 1024, 2
 
 
 def _crossed(x: DataFrame, by: list[str], value: str, weight: str, reach: dict[str, Column]) -> DataFrame:
     """``by`` and for each name the first value, in order, at which the cumulative weight satisfies the
     condition on ``_c`` (that weight) and ``_t`` (the group's total).
 
-    Values are summed by value, and a group's distinct values cut into ``PARTS`` of about equal number by
-    approximate quantiles of themselves, so an outlier moves no border. The running sum over the parts
-    finds the one in which each condition first holds, only that part is cut again, and what the last level
-    leaves, about a 4096th of the group for each condition, is put in order.
+    Values are summed by value, then by equal parts of the group's span. The running sum over at most
+    ``PARTS`` parts finds the one in which each condition first holds, and that part is cut again by the span
+    of its own values, so outliers that stretch the group's span leave the second cut alone. What remains is put
+    in order: of a group with outliers or without a thousandth or less, but of values that crowd at every scale
+    more.
     """
     x = x.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    x = x.join(x.groupBy(*by).agg(F.sum("_w").alias("_t")), by).withColumns({"_p": F.lit(0).cast("long"), "_before": F.lit(0).cast(dict(x.dtypes)["_w"])})
-    group = [*by, "_p"]
+    span = x.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_w").alias("_t"))
+    x = x.join(span, by).withColumns({"_p": F.lit(0).cast("long"), "_before": F.lit(0).cast(dict(x.dtypes)["_w"])})
+    v, lo, hi = (F.col(c).cast("double") for c in (value, "_lo", "_hi"))
     for _ in range(LEVELS):
-        cuts = x.groupBy(*group).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)]).alias("_s"))
-        x = x.join(cuts, group).withColumn("_q", F.col("_p") * PARTS + F.size(F.filter("_s", lambda s: s < F.col(value)))).drop("_s")
-        parts = x.groupBy(*group, "_q", "_before", "_t").agg(F.sum("_w").alias("_w"))
-        parts = parts.withColumn("_c", F.col("_before") + F.sum("_w").over(Window.partitionBy(*group).orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)))
-        hit = parts.groupBy(*by).agg(*[F.min(F.when(c, F.struct(F.col("_q").alias("p"), (F.col("_c") - F.col("_w")).alias("c")))).alias(f"_at_{n}") for n, c in reach.items()])
-        wanted = hit.select(*by, F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"_at_{n}") for n in reach])))).alias("_a")).select(*by, F.col("_a.p").alias("_p"), F.col("_a.c").alias("_before"))
-        x = x.drop("_p", "_before").withColumnRenamed("_q", "_p").join(wanted, group)
-    inside = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        part = F.coalesce(F.least(F.floor(F.try_divide(v - lo, hi - lo) * PARTS), F.lit(PARTS - 1)), F.lit(0))
+        x = x.withColumn("_q", F.col("_p") * PARTS + part)
+        parts = x.groupBy(*by, "_p", "_q", "_before", "_t").agg(F.sum("_w").alias("_w"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        w = Window.partitionBy(*by, "_p").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("_c", F.col("_before") + F.sum("_w").over(w))
+        found = F.struct(F.col("_q").alias("_p"), (F.col("_c") - F.col("_w")).alias("_before"), "_lo", "_hi")
+        hit = parts.groupBy(*by).agg(*[F.min(F.when(c, found)).alias(f"_at_{n}") for n, c in reach.items()])
+        wanted = hit.select(*by, F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"_at_{n}") for n in reach])))).alias("_a")).select(*by, "_a.*")
+        x = x.select(*by, value, "_w", "_t", F.col("_q").alias("_p")).join(wanted, [*by, "_p"])
+    inside = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     near = x.withColumn("_c", F.col("_before") + F.sum("_w").over(inside))
     return near.groupBy(*by).agg(*[F.min(F.when(c, F.col(value))).alias(n) for n, c in reach.items()])
 
