@@ -16,13 +16,20 @@ from steelyard.llm.common import components, materialize, runs, table
 COSINE = 0.98
 #: Low-dimensional blocks of the rotated vector.
 BLOCKS = 8
-#: Leading coordinates of a block that make its grid, and the width of a cell in block radii.
-GRID, WIDTH = 2, 2.0
+#: Leading coordinates of a block that make its grid for up to FEW vectors of a label, one more for each tripling
+#: beyond, and the width of a cell in block radii.
+GRID, FEW, WIDTH = 2, 10_000, 2.0
 #: Rows of either side that one group compares, about.
 CHUNK = 2048
 #: Up to so many cells their counts are broadcast; more are joined by shuffle.
 CELLS = 100_000
 SLACK = 1e-9
+#: Room for rounding where squared distances are taken in single precision.
+LOOSE = 1e-5
+#: Odd multiplier that names cells (fixed value).
+MIX = np.int64(-7046029254386353131)
+CELL = ["label", "block", "cell", "home", "id", "m", "vector"]
+KEYS = ["label", "block", "cell", "i", "j"]
 
 
 def rotation(n: int, seed: int) -> np.ndarray:
@@ -63,39 +70,104 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,kj->ik", a, b)
 
 
-def dealt(vectors: DataFrame, dim: int, radius2: float, seed: int) -> DataFrame:
-    """``(label, cell, home, id, m, vector)``: each vector at home in one cell of each block's grid, and as a
-    guest in all cells that its ball of the block's share of the squared distance reaches."""
+def _grid(n: float) -> int:
+    """Coordinates of a block's grid where a vector has about ``n`` others of its label."""
+    return GRID + max(0, math.ceil(math.log(n / FEW, 3))) if n > FEW else GRID
+
+
+def _cells(z: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The home cells of points, and for each step ``(rows, cells)`` the cells that a ball of 1 / WIDTH reaches."""
+    lo, reach = np.floor(z - 1 / WIDTH), (1 + SLACK) / WIDTH**2
+    guests = []
+    for step in np.indices((math.ceil(2 / WIDTH) + 1,) * z.shape[1]).reshape(z.shape[1], -1).T:
+        gap = np.maximum(np.maximum(lo + step - z, z - lo - step - 1), 0)
+        inside = np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+        guests.append((inside, (lo + step)[inside]))
+    return np.floor(z), guests
+
+
+def _name(cells: np.ndarray) -> np.ndarray:
+    """One number for each cell. The cells that one vector reaches never share it (their coordinates differ by one
+    at most, see the test); far cells that do are only compared in vain."""
+    out = np.zeros(len(cells), dtype=np.int64)
+    for column in cells.astype(np.int64).T:
+        out = out * MIX + column
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    flat = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, flat]).cast(pa.binary())
+
+
+def dealt(vectors: DataFrame, dim: int, radius2: float, seed: int, grid: int, light: bool) -> DataFrame:
+    """``(label, block, cell, home, id, m, vector)``: each vector of ``(id, label, m, mask, vector)`` at home in one cell
+    of the grid of each block in its mask, and as a guest in all cells that its ball of the block's share of the squared
+    distance reaches. ``light``: the block's coordinates in single precision stand for the vector."""
     turn, parts = rotation(dim, seed), _blocks(dim)
+    size = max(32, 4096 >> grid)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = _unit(_stack(part.column(3), dim))
-                y = np.einsum("ij,jk->ik", x, turn)
-                rows, cells, homes = [], [], []
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                y = np.einsum("ij,jk->ik", _unit(_stack(part.column(4), dim)), turn)
+                mask = part.column(3).to_numpy()
                 for k, block in enumerate(parts):
+                    own = np.flatnonzero(mask >> k & 1)
                     r = math.sqrt(_limit(radius2, block, dim)) * (1 + SLACK)
-                    z = y[:, block[:GRID]] / (WIDTH * r)
-                    home, lo, hi = np.floor(z), np.floor(z - 1 / WIDTH), np.floor(z + 1 / WIDTH)
-                    rows.append(np.arange(len(x)))
-                    cells.append(np.column_stack([np.full(len(x), k), home]))
-                    homes.append(np.ones(len(x), dtype=bool))
-                    steps = np.indices((math.ceil(2 / WIDTH) + 1,) * z.shape[1]).reshape(z.shape[1], -1).T
-                    for step in steps:
-                        inside = (lo + step <= hi).all(axis=1)
-                        rows.append(np.flatnonzero(inside))
-                        cells.append(np.column_stack([np.full(inside.sum(), k), (lo + step)[inside]]))
-                        homes.append(np.zeros(inside.sum(), dtype=bool))
-                rows_, cell = np.concatenate(rows), np.concatenate(cells).astype(np.int64)
-                key = cell[:, 0]
-                for c in range(1, cell.shape[1]):
-                    key = key * (1 << 20) + cell[:, c] + (1 << 19)
-                take = pa.array(rows_)
-                yield pa.RecordBatch.from_arrays([part.column(1).take(take), pa.array(key), pa.array(np.concatenate(homes)), *(part.column(c).take(take) for c in (0, 2, 3))], ["label", "cell", "home", "id", "m", "vector"])
-
-    return vectors.select("id", "label", "m", "vector").mapInArrow(of, f"label {dict(vectors.dtypes)['label']}, cell long, home boolean, id long, m long, vector binary")
+                    home, guests = _cells(y[own][:, block[:grid]] / (WIDTH * r))
+                    rows = pa.array(np.concatenate([own, *(own[i] for i, _ in guests)]))
+                    cell = pa.array(_name(np.concatenate([home, *(c for _, c in guests)])))
+                    homes = pa.array(np.arange(len(rows)) < len(own))
+                    payload = (_binary(y[:, block].astype(np.float32)) if light else part.column(4)).take(rows)
+                    where = pa.array(np.full(len(rows), k, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(rows), where, cell, homes, *(part.column(c).take(rows) for c in (0, 2)), payload], CELL)
+
+    kind = dict(vectors.dtypes)["label"]
+    return vectors.select("id", "label", "m", "mask", "vector").mapInArrow(of, f"label {kind}, block int, cell long, home boolean, id long, m long, vector binary")
+
+
+def _placed(cells: DataFrame) -> DataFrame:
+    """The rows of each cell that someone is at home in, by cell and piece: homes and guests are cut into pieces of
+    about CHUNK, and each piece of the ones meets each of the others in ``(i, j)``."""
+    where = ["label", "block", "cell"]
+    counts = materialize(cells.groupBy(*where).agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g")).where("_h > 0"), "vectors")
+    few = counts.count() <= CELLS
+    pieces = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    counts = counts.select(*where, pieces("_h").alias("_hs"), pieces("_g").alias("_gs"))
+    placed = cells.join(F.broadcast(counts) if few else counts, where)
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = placed.withColumn("i", F.explode(F.when(F.col("home"), own("_hs")).otherwise(every("_hs"))))
+    placed = placed.withColumn("j", F.explode(F.when(F.col("home"), every("_gs")).otherwise(own("_gs"))))
+    return placed.select(*KEYS, "home", "id", "m", "vector").repartition(*KEYS).sortWithinPartitions(*KEYS)
+
+
+def near_blocks(vectors: DataFrame, dim: int, radius2: float, seed: int, grid: int) -> DataFrame:
+    """``(id, label, mask)``: the blocks, as bits, in which a vector has another one within the block's share, and some
+    in which it is only nearly so; vectors without any are left out. Reads the block's coordinates alone."""
+    limits = [_limit(radius2, b, dim) for b in _blocks(dim)]
+    placed = _placed(dealt(vectors.withColumn("mask", F.lit((1 << len(limits)) - 1)), dim, radius2, seed, grid, True))
+
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        home, k = group["home"].to_numpy(), int(group["block"].iloc[0])
+        y = np.frombuffer(b"".join(group["vector"]), dtype=np.float32).reshape(len(group), -1)
+        ids, guests, hosts = group["id"].to_numpy()[home], y[~home], y[home]
+        # one product for the squared distance: |u|2 + |v|2 - 2uv
+        wide = np.column_stack([-2 * guests, np.ones(len(guests), np.float32), (guests * guests).sum(axis=1)]).T
+        others = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, len(ids), 256):
+            u = hosts[at : at + 256]
+            near = np.column_stack([u, (u * u).sum(axis=1), np.ones(len(u), np.float32)]) @ wide <= limits[k] + LOOSE
+            others[at : at + 256] = np.bincount(np.flatnonzero(near) // max(1, len(guests)), minlength=len(u))
+        found = others > np.isin(ids, group["id"].to_numpy()[~home])
+        return pd.DataFrame({"id": ids[found], "label": group["label"].to_numpy()[home][found], "mask": np.int32(1 << k)})
+
+    kind = dict(vectors.dtypes)["label"]
+    found = placed.mapInPandas(lambda frames: (of(g) for g in runs(frames, KEYS)), f"id long, label {kind}, mask int")
+    return found.groupBy("id", "label").agg(F.bit_or("mask").alias("mask"))
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -120,22 +192,13 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
     radius2 = 2 - 2 * cosine + SLACK
     turn, parts = rotation(dim, seed), _blocks(dim)
     limits = [_limit(radius2, b, dim) for b in parts]
-    cells = dealt(vectors, dim, radius2, seed)
-    counts = materialize(cells.groupBy("label", "cell").agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_g")).where("_h > 0"), "vectors")
-    few = counts.count() <= CELLS
-    pieces = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    counts = counts.select("label", "cell", pieces("_h").alias("_hs"), pieces("_g").alias("_gs"))
-    placed = cells.join(F.broadcast(counts) if few else counts, ["label", "cell"])
-    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    placed = placed.withColumn("i", F.explode(F.when(F.col("home"), own("_hs")).otherwise(every("_hs"))))
-    placed = placed.withColumn("j", F.explode(F.when(F.col("home"), every("_gs")).otherwise(own("_gs"))))
-    keys = ["label", "cell", "i", "j"]
-    placed = placed.select(*keys, "home", "id", "m", "vector").repartition(*keys).sortWithinPartitions(*keys)
+    grid = _grid(vectors.groupBy("label").count().agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count"))).first()[0] or 1)
+    masks = near_blocks(vectors, dim, radius2, seed, grid)
+    placed = _placed(dealt(materialize(vectors.join(masks, ["id", "label"]), "vectors"), dim, radius2, seed, grid, False))
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         home, ids, m = (group[c].to_numpy() for c in ("home", "id", "m"))
-        k = int(group["cell"].iloc[0]) >> (20 * min(GRID, dim))
+        k = int(group["block"].iloc[0])
         x = _unit(_stack(group["vector"], dim))
         y = np.einsum("ij,jk->ik", x, turn)
         hs, gs = np.flatnonzero(home), np.flatnonzero(~home)
@@ -160,7 +223,7 @@ def linked(vectors: DataFrame, dim: int, cosine: float, seed: int) -> DataFrame:
         out = pd.DataFrame({"id": ids, "m": n, "to": ids[root]})
         return out[(n > 0) | (out["id"] != out["to"])]
 
-    return placed.mapInPandas(lambda frames: (of(g) for g in runs(frames, keys)), "id long, m long, to long")
+    return placed.mapInPandas(lambda frames: (of(g) for g in runs(frames, KEYS)), "id long, m long, to long")
 
 
 def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, seed: int = 3) -> DataFrame:
@@ -169,9 +232,11 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
 
     Unit vectors with that cosine have a squared distance of at most 2 - 2 cosine. The vectors are turned
     by one rotation and split into blocks; some block must have no more than its share of the squared
-    distance, so each block is joined by range on a grid, the union of what the blocks admit is verified
-    on the whole vectors, and a pair counts in the first block that admits it. Full cells are compared
-    chunk by chunk, and only counts and one row per vector leave a group, never its pairs. Equal vectors
+    distance, so each block is joined by range on a grid. A first pass over the blocks' own coordinates finds
+    the vectors that have a neighbour in a block; only these go whole to that block's cells, where the union of
+    what the blocks admit is verified, and a pair counts in the first block that admits it. The grid takes more
+    coordinates the more vectors a label has. Full cells are compared chunk by chunk, and only counts and one
+    row per vector leave a group, never its pairs. Equal vectors
     are compared once and count as often as they occur.
 
     Vectors that are null, empty, zero or hold a null or non-finite number link with nothing, nor do
@@ -202,7 +267,7 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     linked_ = None
     for (dim,) in classes.select("_n").distinct().collect():  # one length, as a rule
         part = firsts.where(F.col("_n") == dim).select("id", "label", "m", "_x").mapInArrow(packed, f"id long, label {kind}, m long, vector binary")
-        part = linked(part, dim, cosine, seed)
+        part = linked(materialize(part, "vectors"), dim, cosine, seed)
         linked_ = part if linked_ is None else linked_.unionByName(part)
     if linked_ is None:
         linked_ = named.sparkSession.createDataFrame([], "id long, m long, to long")

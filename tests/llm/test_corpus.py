@@ -292,13 +292,34 @@ def test_samples_collide_by_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - want) < 0.04
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("dim", [1, 4, 8])
+def test_cells_of_a_vector_have_names_of_their_own(dim):
+    from steelyard.llm.embeddings import _cells, _name
+
+    steps = np.indices((2,) * dim).reshape(dim, -1).T
+    for base in np.random.default_rng(dim).integers(-5000, 5000, (20, dim)):
+        assert len(np.unique(_name(base + steps))) == len(steps)
+    z = np.random.default_rng(6).uniform(-4, 4, (40, dim))
+    home, guests = _cells(z)
+    near = {(i, *c) for rows, cells in guests for i, c in zip(rows.tolist(), cells.tolist(), strict=True)}
+    assert all((i, *c) in near for i, c in enumerate(home.tolist()))
+    # whoever is within the ball is at home in a cell that it reaches
+    turn = np.random.default_rng(7).standard_normal((40, 50, dim))
+    others = z[:, None] + 0.4999 * turn / np.linalg.norm(turn, axis=2, keepdims=True)
+    assert all((i, *c) in near for i in range(40) for c in np.floor(others[i]).tolist())
+
+
+@pytest.mark.parametrize(("dim", "few"), [(16, 10_000), (64, 1)])
+def test_vectors(spark, monkeypatch, dim, few):
+    from steelyard.llm import embeddings
     from steelyard.llm.embeddings import near_vectors
 
+    monkeypatch.setattr(embeddings, "FEW", few)  # few: a grid of more coordinates
+
     r = np.random.default_rng(4)
-    base = r.standard_normal((12, 16))
-    vectors = [(i, [float(v) for v in base[i % 12] * (1 + i) + 0.05 * i / 60 * r.standard_normal(16) * (1 + i)], i % 2 if i % 5 else 0) for i in range(60)]
-    vectors += [(60, None, 0), (61, [0.0] * 16, 0), (62, [float("nan")] * 16, 0), (63, [None] * 16, 0), (64, [1.0, float("inf")], 0), (65, [], 1), (66, vectors[3][1], None), (67, vectors[3][1], vectors[3][2]), (68, vectors[3][1], vectors[3][2]), (69, [1.0, 2.0], 1), (70, [2.0, 4.0], 1), (71, [1e-300, 2e-300], 1)]
+    base = r.standard_normal((12, dim))
+    vectors = [(i, [float(v) for v in base[i % 12] * (1 + i) + 0.05 * i / 60 * r.standard_normal(dim) * (1 + i)], i % 2 if i % 5 else 0) for i in range(60)]
+    vectors += [(60, None, 0), (61, [0.0] * dim, 0), (62, [float("nan")] * dim, 0), (63, [None] * dim, 0), (64, [1.0, float("inf")], 0), (65, [], 1), (66, vectors[3][1], None), (67, vectors[3][1], vectors[3][2]), (68, vectors[3][1], vectors[3][2]), (69, [1.0, 2.0], 1), (70, [2.0, 4.0], 1), (71, [1e-300, 2e-300], 1)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").selectExpr("*", "'x' AS n_links", "1 AS component_id", "true AS kept", "2 AS m", "3 AS id", "4 AS _d")
     ok = {i: (np.array(v), lab) for i, v, lab in vectors if v and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {i: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for i, (v, _) in ok.items()}
