@@ -1,4 +1,4 @@
-"""Tables from the characters of pages: lines, wrapped lines, cells, columns and periods.
+"""Tables from the characters of pages: lines, wrapped lines, cells and columns.
 
 Input is one row per character, ``file_id, page_no, c, x0, x1, y0, height``, as any reader of page
 descriptions gives it. Steps that look at neighbours are windows over a page; a page is the largest
@@ -7,9 +7,6 @@ thing that is looked at together.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,24 +27,23 @@ def body(chars: DataFrame, *, skip_header_footer: bool = True) -> DataFrame:
 
 def lines(chars: DataFrame) -> DataFrame:
     """Add ``line``: characters up to 3 points below the first of their physical line share it, and a
-    physical line less than 10 points below the one before it is wrapped and joins its line."""
-
-    def of(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        physical, tops, top = [], [], None
-        for y in page["y0"]:
-            if top is None or y - top > LINE:
-                top = y
-                tops.append(y)
-            physical.append(len(tops) - 1)
-        logical, number = [], -1
-        for k, y in enumerate(tops):
-            number += k == 0 or y - tops[k - 1] >= WRAP
-            logical.append(number)
-        page["line"] = [logical[p] for p in physical]
-        return page
-
-    return chars.groupBy(*PAGE).applyInPandas(of, chars.select("*", F.lit(0).alias("line")).schema)
+    physical line less than 10 points below the one before it is wrapped and joins its line.
+
+    A page's heights are put in order and folded over once, so what a page holds at a time is a number for each
+    height that occurs on it; characters then find their line by their height.
+    """
+    state = "struct<top:double,line:int,found:array<struct<y0:double,line:int>>>"
+    start = F.struct(F.lit(None).alias("top"), F.lit(-1).alias("line"), F.array().alias("found")).cast(state)
+
+    def step(s, y):
+        first = s["top"].isNull()
+        new = first | (y - s["top"] > LINE)
+        line = s["line"] + F.when(new & (first | (y - s["top"] >= WRAP)), 1).otherwise(0)
+        return F.struct(F.when(new, y).otherwise(s["top"]).alias("top"), line.alias("line"), F.array_append(s["found"], F.struct(y.alias("y0"), line.alias("line"))).alias("found")).cast(state)
+
+    ys = chars.groupBy(*PAGE).agg(F.array_sort(F.collect_set("y0")).alias("_ys"))
+    found = ys.select(*PAGE, F.explode(F.aggregate("_ys", start, step, lambda s: s["found"])).alias("_l")).select(*PAGE, "_l.*")
+    return chars.join(found, [*PAGE, "y0"]).select(*chars.columns, "line")
 
 
 def cells(lined: DataFrame) -> DataFrame:
@@ -59,72 +55,16 @@ def cells(lined: DataFrame) -> DataFrame:
     return g.select(*PAGE, "line", "cell", F.array_join(F.transform("_c", lambda s: s["c"]), "").alias("text"), "x0", "x1", "y")
 
 
-def columns(cells_: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``column, left, right_min, right_max`` of each page: figures are aligned right, so cells whose right
-    ends follow each other within 15 points make a column, if there are three. Columns of bare small whole
-    numbers are note numbers and go, unless all are."""
+def columns(cells_: DataFrame, min_rows: int = MIN_ROWS, by: list[str] = PAGE) -> DataFrame:
+    """``column, left, right_min, right_max`` of each page, or of what ``by`` names: figures are aligned right, so
+    cells whose right ends follow each other within 15 points make a column, if there are three. Columns of bare
+    small whole numbers are note numbers and go, unless all are."""
     figure = parse_figure(F.col("text"))
     x = cells_.where(figure["value"].isNotNull() | figure["is_dash"])
-    w = Window.partitionBy(*PAGE).orderBy("x1", "line", "cell")
+    w = Window.partitionBy(*by).orderBy("x1", "line", "cell")
     x = x.withColumn("_new", F.when(F.col("x1") - F.lag("x1").over(w) > COLUMN, 1).otherwise(0)).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     note = F.col("text").rlike("^[0-9]{1,4}$")
-    g = x.groupBy(*PAGE, "column").agg(F.count("*").alias("_n"), F.min(note.cast("int")).alias("_note"), F.min("x0").alias("left"), F.min("x1").alias("right_min"), F.max("x1").alias("right_max")).where(F.col("_n") >= min_rows)
-    g = g.withColumn("_all", F.min("_note").over(Window.partitionBy(*PAGE))).where((F.col("_note") == 0) | (F.col("_all") == 1))
-    order = Window.partitionBy(*PAGE).orderBy("right_min")
-    return g.select(*PAGE, (F.row_number().over(order) - 1).alias("column"), "left", "right_min", "right_max")
-
-
-def table_rows(cells_: DataFrame, columns_: DataFrame) -> DataFrame:
-    """``line, label, column, value, is_dash``: each figure in its column, with its line's words before the
-    first column as label."""
-    figure = parse_figure(F.col("text"))
-    edge = columns_.groupBy(*PAGE).agg(F.min("left").alias("_edge"))
-    words = figure["value"].isNull() & ~figure["is_dash"] & (F.col("x0") < F.col("_edge") - COLUMN)
-    label = cells_.join(edge, PAGE).where(words).groupBy(*PAGE, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda s: s["text"]), "").alias("label"))
-    inside = (F.col("x1") >= F.col("right_min") - COLUMN) & (F.col("x1") <= F.col("right_max") + COLUMN)
-    hit = cells_.join(columns_, PAGE).where(inside & (figure["value"].isNotNull() | figure["is_dash"]))
-    return hit.select(*PAGE, "line", "column", figure["value"].alias("value"), figure["is_dash"].alias("is_dash")).join(label, [*PAGE, "line"], "left")
-
-
-def periods(header: DataFrame, columns_: DataFrame, document_year: str | None = None) -> DataFrame:
-    """``column, label, period`` of each page: header cells go to the columns from left to right, each to the
-    nearest centre behind the one before. If a label has no year the document's year counts down from the
-    first column; without one there is no period, never a guess.
-
-    ``header`` has the cells of the header line, ``text, x0, x1``.
-    """
-    other = re.compile("项目|附注|注释")
-
-    def of(key: tuple, heads: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
-        cols = cols.sort_values("column")
-        heads = heads[~heads["text"].str.contains(other)].sort_values("x0")
-        centre = ((heads["x0"] + heads["x1"]) / 2).tolist()
-        words, labels, last = heads["text"].tolist(), [], -1
-        for a, b in zip(cols["left"], cols["right_max"], strict=True):
-            left = range(last + 1, len(words))
-            best = min(left, key=lambda j: abs(centre[j] - (a + b) / 2), default=None)
-            labels.append("" if best is None else words[best])
-            last = last if best is None else best
-        years = [m[0] if (m := re.search(r"20\d\d", x)) else None for x in labels]
-        if None in years:
-            years = [str(int(document_year) - k) if document_year else None for k in range(len(labels))]
-        return pd.DataFrame({"file_id": key[0], "page_no": key[1], "column": cols["column"], "label": labels, "period": years})
-
-    kinds = dict(columns_.dtypes)
-    header = header.select(*[F.col(c).alias(c) for c in (*PAGE, "text", "x0", "x1")])  # the two may come from one frame
-    return header.groupBy(*PAGE).cogroup(columns_.groupBy(*PAGE)).applyInPandas(of, f"file_id {kinds['file_id']}, page_no {kinds['page_no']}, column int, label string, period string")
-
-
-def statement(chars: DataFrame, titles: str, document_year: str | None = None) -> DataFrame:
-    """``file_id, page_no, label, period, value, is_dash`` of the pages with one line that is a title (a
-    pattern); a page with more than one is a table of contents. The line below the title with a header
-    word or a year is the header; the unit has to stand on the page."""
-    c = cells(lines(body(chars)))
-    text = c.groupBy(*PAGE, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda s: s["text"]), "").alias("t"))
-    pages = text.groupBy(*PAGE).agg(F.count_if(F.col("t").rlike(titles)).alias("_titles"), F.min(F.when(F.col("t").rlike(titles), F.col("line"))).alias("_at"), F.max(F.regexp_extract("t", "单位[:：](?:人民币)?(百万元|万元|千元|元)", 1)).alias("unit")).where("_titles = 1 AND unit <> ''")
-    heads = text.join(pages, PAGE).where((F.col("line") > F.col("_at")) & F.col("t").rlike("项目|20[0-9]{2}")).groupBy(*PAGE, "unit").agg(F.min("line").alias("_head"))
-    own = c.join(heads, PAGE)
-    cols = columns(own.where(F.col("line") > F.col("_head")).select(*c.columns))
-    named = periods(own.where(F.col("line") == F.col("_head")).select(*c.columns), cols, document_year)
-    rows = table_rows(own.where(F.col("line") > F.col("_head")).select(*c.columns), cols)
-    return rows.join(named.select(*PAGE, "column", "period"), [*PAGE, "column"]).join(heads.select(*PAGE, "unit"), PAGE).where(F.col("period").isNotNull()).select(*PAGE, "label", "period", "value", "is_dash", "unit")
+    g = x.groupBy(*by, "column").agg(F.count("*").alias("_n"), F.min(note.cast("int")).alias("_note"), F.min("x0").alias("left"), F.min("x1").alias("right_min"), F.max("x1").alias("right_max")).where(F.col("_n") >= min_rows)
+    g = g.withColumn("_all", F.min("_note").over(Window.partitionBy(*by))).where((F.col("_note") == 0) | (F.col("_all") == 1))
+    order = Window.partitionBy(*by).orderBy("right_min")
+    return g.select(*by, (F.row_number().over(order) - 1).alias("column"), "left", "right_min", "right_max")

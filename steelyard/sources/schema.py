@@ -12,8 +12,8 @@ SCHEMAS = {
     "file": "file_id string, project_id string, role string, period string, rel_path string, sha256 string, bytes bigint, uploaded_at string",
     "document_page": "page_id string, file_id string, page_no int, printed_page_no string, text string, text_source string",
     "metric_definition": "metric_key string, statement string, value_type string, unit_kind string, is_derived boolean, is_nonrecurring boolean, industry string, aliases array<string>, exclusion_terms array<string>, parent_key string",
-    "financial_fact": f"fact_id string, project_id string, company_id string, is_primary boolean, metric_key string, value {MONEY}, unit string, period string, period_kind string, scope string, source_file_id string, source_page int, source_text string, confidence double, status string, restated boolean, comparable boolean, incomparable_reason string, extractor string, created_at string",
-    "fact_observation": f"observation_id string, project_id string, company_id string, metric_key string, value {MONEY}, value_raw string, raw_unit string, period string, period_kind string, scope string, source_file_id string, source_page int, report_year int, resolution string, resolved_fact_id string, rejection_note string",
+    "financial_fact": f"fact_id string, project_id string, company_id string, is_primary boolean, metric_key string, value {MONEY}, unit string, period string, period_kind string, scope string, source_file_id string, source_page int, source_text string, confidence double, status string, restated boolean, comparable boolean, incomparable_reason string, extractor string, created_at string, restatement_note string",
+    "fact_observation": f"observation_id string, project_id string, company_id string, metric_key string, value {MONEY}, value_raw string, raw_unit string, period string, period_kind string, scope string, source_file_id string, source_page int, source_text string, location string, report_year int, resolution string, resolved_fact_id string, rejection_note string",
     "check_result": f"project_id string, period string, scope string, rule_key string, status string, severity string, lhs {MONEY}, rhs {MONEY}, diff {MONEY}, tolerance {MONEY}, inputs array<string>",
     "section": "section_id string, file_id string, kind string, page_from int, page_to int, text string",
     "claim": f"claim_id string, project_id string, section_id string, claim_text string, claim_type string, primary_metric string, direction string, period_norm string, magnitude_value {MONEY}, magnitude_unit string, bound string, is_plan boolean, target_metric_aligned boolean, confidence double, extractor string, report_period string",

@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from steelyard.operators import extraction as ex
-from steelyard.sources import geometry
+from steelyard.sources import geometry, statements
 
 
 def report(spark):
@@ -87,9 +87,13 @@ def test_page_geometry(spark):
             chars += words(y + 1.5 * (k % 2), (label, 90, False)) + words(y, (note, 220, True), (a, 320, True), (b, 440, True))
     df = spark.createDataFrame(chars, "file_id string, page_no int, c string, x0 double, x1 double, y0 double, height double")
     assert geometry.body(df).where("c = '页'").count() == 0
-    got = geometry.statement(df, "^合并利润表$").collect()
+    reports = spark.createDataFrame([("f", None)], "file_id string, report_year string")
+    read = lambda chars: statements.tables(geometry.cells(geometry.lines(geometry.body(chars))), reports)
+    got = read(df)[1].collect()
     found = {(r.label, r.period): r.value for r in got}
     assert found["营业收入", "2024"] == 1000 and found["营业收入", "2023"] == 900 and found["净利润", "2023"] == 250 and {r.unit for r in got} == {"万元"}
     wrapped = [r for r in got if r.value == Decimal("-12.5")]
     assert len(wrapped) == 1 and set(wrapped[0].label) == set("购建固定资产支付") and any(r.is_dash for r in got)
-    assert geometry.statement(df.where("y0 <> 115"), "^合并利润表$").count() == 0
+    assert {r.note for r in got} == {"1", "2", "3", "4"} and {r.period_source for r in got} == {"header"}
+    found, rows = read(df.where("y0 <> 115"))
+    assert rows.count() == 0 and [r.refused for r in found.collect()] == ["no_unit"]

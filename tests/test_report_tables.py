@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 from pyspark.sql import functions as F
+from steelyard.functions.numeric import to_tonnes
 from steelyard.operators import report_tables as rt
 from test_extraction import words
 
@@ -72,7 +73,7 @@ def test_physical_sales(spark):
     table = lambda unit, *more: ["公司实物销售收入是否大于劳务收入", "是", (("行业分类", None), ("项目", 180), ("单位", 230), ("2024年", 330), ("2023年", 430), ("同比增减", 520)), (("钢铁行业", None), ("销售量", 180), (unit, 230), ("2,530.5", 330), ("2,500", 430), ("1.22%", 520)), (("生产量", 180), (unit, 230), ("9", 330), ("8", 430)), *more]
     cells = page("a", 11, *table("万吨")) + page("b", 11, *table("吨")) + page("c", 11, *table("元"))
     reports = spark.createDataFrame([("a", None)], "file_id string, report_year string")
-    got = {r.file_id: (r.period, r.t, r.unit) for r in rt.read_tables(spark.createDataFrame(cells, CELLS), reports, (rt.SALES,)).withColumn("t", rt.tonnes(F.col("value"), F.col("unit"))).collect()}
+    got = {r.file_id: (r.period, r.t, r.unit) for r in rt.read_tables(spark.createDataFrame(cells, CELLS), reports, (rt.SALES,)).withColumn("t", to_tonnes(F.col("value"), F.col("unit"))).collect()}
     assert got == {"a": ("2024", Decimal("25305000"), "万吨"), "b": ("2024", Decimal("2530.5"), "吨")}
 
 
@@ -85,11 +86,11 @@ def test_ingest_from_characters_to_facts(spark):
 
     chars = report("r24", "1,000.00", "900.00", "6") + report("r23", "1,001.00", "905.00", "7")
     df = spark.createDataFrame(chars, "file_id string, page_no int, c string, x0 double, x1 double, y0 double, height double")
-    reports = spark.createDataFrame([("r24", "p", "2024"), ("r23", "p", "2023")], "file_id string, project_id string, report_year string")
+    reports = spark.createDataFrame([("r24", "p", "c", "2024"), ("r23", "p", "c", "2023")], "file_id string, project_id string, company_id string, report_year string")
     names = spark.createDataFrame([("营业收入", "revenue"), ("净利润", "net_income")], "alias string, metric_key string")
-    seen, facts = rt.ingest(df, reports, names, "^合并利润表$")
-    got = {(r.metric_key, r.period): (r.value, r.file_id) for r in facts.collect()}
-    # each year's figures come from its own report
-    assert got["revenue", "2024"] == (1000, "r24") and got["revenue", "2023"] == (905, "r23") and got["net_income", "2024"][0] == 30
+    seen, facts, _ = rt.ingest(df, reports, names)
+    got = {(r.metric_key, r.period): (r.value, r.source_file_id) for r in facts.collect()}
+    # money in millions; each year's figures come from its own report
+    assert got["revenue", "2024"] == (10, "r24") and got["revenue", "2023"] == (Decimal("9.05"), "r23") and got["net_income", "2024"][0] == Decimal("0.3")
     assert got["industry_sales_volume", "2024"] == (60000, "r24") and ("operating_cost", "2024") not in got
     assert {r.resolution for r in seen.collect()} == {"adopted", "rejected"} and seen.select("observation_id").distinct().count() == seen.count()
