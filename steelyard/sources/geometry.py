@@ -55,16 +55,16 @@ def cells(lined: DataFrame) -> DataFrame:
     return g.select(*PAGE, "line", "cell", F.array_join(F.transform("_c", lambda s: s["c"]), "").alias("text"), "x0", "x1", "y")
 
 
-def columns(cells_: DataFrame, min_rows: int = MIN_ROWS, by: list[str] = PAGE) -> DataFrame:
+def columns(cells_: DataFrame, min_rows: int = MIN_ROWS, by: list[str] = PAGE, notes: bool = True) -> DataFrame:
     """``column, left, right_min, right_max`` of each page, or of what ``by`` names: figures are aligned right, so
     cells whose right ends follow each other within 15 points make a column, if there are three. Columns of bare
-    small whole numbers are note numbers and go, unless all are."""
+    small whole numbers are note numbers and go, unless all are or there are no ``notes``."""
     figure = parse_figure(F.col("text"))
     x = cells_.where(figure["value"].isNotNull() | figure["is_dash"])
     w = Window.partitionBy(*by).orderBy("x1", "line", "cell")
     x = x.withColumn("_new", F.when(F.col("x1") - F.lag("x1").over(w) > COLUMN, 1).otherwise(0)).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     note = F.col("text").rlike("^[0-9]{1,4}$")
     g = x.groupBy(*by, "column").agg(F.count("*").alias("_n"), F.min(note.cast("int")).alias("_note"), F.min("x0").alias("left"), F.min("x1").alias("right_min"), F.max("x1").alias("right_max")).where(F.col("_n") >= min_rows)
-    g = g.withColumn("_all", F.min("_note").over(Window.partitionBy(*by))).where((F.col("_note") == 0) | (F.col("_all") == 1))
+    g = g.withColumn("_all", F.min("_note").over(Window.partitionBy(*by))).where((F.col("_note") == 0) | (F.col("_all") == 1) | F.lit(not notes))
     order = Window.partitionBy(*by).orderBy("right_min")
     return g.select(*by, (F.row_number().over(order) - 1).alias("column"), "left", "right_min", "right_max")

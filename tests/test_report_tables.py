@@ -23,7 +23,7 @@ def page(file, number, *rows):
 def read(spark, cells, section, year="2024"):
     df = spark.createDataFrame(cells, CELLS)
     reports = spark.createDataFrame([(f, year) for f in {c[0] for c in cells}], "file_id string, report_year string")
-    return df, {(r.label, r.period): (r.value, r.unit) for r in rt.read_tables(df, reports, tuple(s for s in rt.SECTIONS if s.key == section)).collect()}
+    return df, {(r.label, r.period): (r.value, r.unit) for r in rt.read_tables(df, reports, (section,)).collect()}
 
 
 def test_years_of_the_header(spark):
@@ -64,7 +64,7 @@ def test_production_totals(spark):
     cells = page("new", 5, *production(True)) + page("old", 5, "单位：百万元", *production(False)) + page("none", 5, *production(False)[:1], *production(False)[2:]) + page("money", 5, *production(False, "元")) + page("split", 5, *production(True)[:3]) + page("split", 6, *production(True)[3:])
     df = spark.createDataFrame(cells, CELLS)
     reports = spark.createDataFrame([(f, "2024") for f in ("new", "old", "none", "money", "split")], "file_id string, report_year string")
-    got = {(r.file_id, r.label): (r.value, r.unit, r.period, r.page_no) for r in rt.read_tables(df, reports, (rt.PRODUCTION,)).collect()}
+    got = {(r.file_id, r.label): (r.value, r.unit, r.period, r.page_no) for r in rt.read_tables(df, reports, ("production",)).collect()}
     # on the page behind the title there are two lines above the total, as columns need
     assert got == {(f, q): (v, "万吨", "2024", p) for f, p in (("new", 5), ("old", 5), ("split", 6)) for q, v in (("生产量", 2000), ("销售量", 1980), ("库存量", 64))}
 
@@ -73,7 +73,7 @@ def test_physical_sales(spark):
     table = lambda unit, *more: ["公司实物销售收入是否大于劳务收入", "是", (("行业分类", None), ("项目", 180), ("单位", 230), ("2024年", 330), ("2023年", 430), ("同比增减", 520)), (("钢铁行业", None), ("销售量", 180), (unit, 230), ("2,530.5", 330), ("2,500", 430), ("1.22%", 520)), (("生产量", 180), (unit, 230), ("9", 330), ("8", 430)), *more]
     cells = page("a", 11, *table("万吨")) + page("b", 11, *table("吨")) + page("c", 11, *table("元"))
     reports = spark.createDataFrame([("a", None)], "file_id string, report_year string")
-    got = {r.file_id: (r.period, r.t, r.unit) for r in rt.read_tables(spark.createDataFrame(cells, CELLS), reports, (rt.SALES,)).withColumn("t", to_tonnes(F.col("value"), F.col("unit"))).collect()}
+    got = {r.file_id: (r.period, r.t, r.unit) for r in rt.read_tables(spark.createDataFrame(cells, CELLS), reports, ("physical_sales",)).withColumn("t", to_tonnes(F.col("value"), F.col("unit"))).collect()}
     assert got == {"a": ("2024", Decimal("25305000"), "万吨"), "b": ("2024", Decimal("2530.5"), "吨")}
 
 
