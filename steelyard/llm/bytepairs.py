@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steelyard.llm.common import table
+from steelyard.llm.common import key_name, table
 
 #: Pre-tokens that a worker remembers, and the longest of them; then it starts anew.
 REMEMBERED, LONGEST = 1 << 19, 64
@@ -243,8 +243,8 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: st
     however long it is. Workers remember short pre-tokens within a bound. No row is shuffled.
 
     A null or empty text has no ids; special tokens in a text are ordinary text; equal ranks merge from the
-    left; repeated rows are encoded each; an empty table gives no rows; other columns are not read, whatever
-    their names, and a key of any name is kept.
+    left; repeated rows are encoded each; an empty table gives no rows; other columns are not read, and a
+    key named as one that is added comes out with ``_key`` behind its name.
     """
     path, split = path or rank_file(), split or pattern()
 
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: st
                     at, size, some = n, 0, []
 
     out = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(of, f"_k {dict(docs.dtypes)[key]}, ids array<int>")
-    return out.select(F.col("_k").alias(key), F.col("ids").alias("ids" if key.lower() != "ids" else "token_ids"))
+    return out.select(F.col("_k").alias(key_name(key, ("ids",))), "ids")
 
 
 def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -285,7 +285,7 @@ def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", path: s
 
     kinds = dict(encoded.dtypes)
     out = encoded.select(F.col(key).alias("_k"), F.col(ids).alias("_i")).mapInArrow(of, f"_k {kinds[key]}, _i {kinds[ids]}, bytes binary")
-    return out.select(F.col("_k").alias(key), F.col("_i").alias(ids), "bytes")
+    return out.select(F.col("_k").alias(key_name(key, (ids, "bytes"))), F.col("_i").alias(ids), "bytes")
 
 
 def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

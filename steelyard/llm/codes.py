@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steelyard.llm.common import drop, materialize, table
+from steelyard.llm.common import drop, key_name, materialize, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Integer components are smaller than this, so that squared distances of vectors of 1000 components fit 64 bits.
@@ -145,13 +145,15 @@ def compress(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embeddin
     Vectors that are null or hold a null or non-finite component go, and those without a key; all others have one
     length, a multiple of 16, or it is an error, as is a magnitude of 131,072 or more. With fewer than 64 vectors there are as many
     entries. Repeated rows count each and get a code each; an empty table gives no rows and no codebooks; a very long
-    vector is read whole; other columns are not read, whatever their names.
+    vector is read whole; other columns are not read, and a key named as
+    one that is added comes out with ``_key`` behind its name.
     """
+    name = key_name(key, (label, "code", "error"))
     kept = quantized(vectors.where(F.col(key).isNotNull()), vector, F.col(key).alias("_key"), F.col(label).alias("_label"))
     rows = materialize(kept.withColumn("code", F.lit(None).cast("binary")), "codes")
     lengths = rows.agg(F.min(F.length("q")), F.max(F.length("q"))).first()
     if lengths[0] is None:
-        return rows.select(F.col("_key").alias(key), F.col("_label").alias(label), "code", F.lit(None).cast("long").alias("error")), None
+        return rows.select(F.col("_key").alias(name), F.col("_label").alias(label), "code", F.lit(None).cast("long").alias("error")), None
     if lengths[0] != lengths[1] or lengths[0] == 0 or lengths[0] % (4 * PARTS):
         raise ValueError(f"vectors have {lengths[0] // 4} to {lengths[1] // 4} components: they need one length, a multiple of {PARTS}")
     unpacked = lambda b: np.frombuffer(b, dtype=np.int32).astype(np.int64)
@@ -164,7 +166,7 @@ def compress(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embeddin
         was, rows = rows, materialize(assign(rows, books).drop("error"), "codes")
         drop(was)
         books = moved(rows, books)
-    out = assign(rows, books).select(F.col("_key").alias(key), F.col("_label").alias(label), "code", "error")
+    out = assign(rows, books).select(F.col("_key").alias(name), F.col("_label").alias(label), "code", "error")
     return out, books
 
 

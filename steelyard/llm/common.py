@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def key_name(key: str, added: tuple[str, ...]) -> str:
+    """What a key is called in a result: its own name, or that with ``_key`` behind it where a column that is
+    added has it, in whatever case."""
+    return f"{key}_key" if key.lower() in {c.lower() for c in added} else key
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steelyard.llm.common import components, materialize, runs, table
+from steelyard.llm.common import components, key_name, materialize, runs, table
 
 COSINE = 0.98
 #: Low-dimensional blocks of the rotated vector.
@@ -277,7 +277,7 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     classes = classes.select(*by, (F.col("m") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = named.join(classes, by, "left")
     component = F.coalesce("component_id", "_key")
-    return out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_key"), F.lit(True)).alias("kept"))
+    return out.select(F.col("_key").alias(key_name(key, ("n_links", "component_id", "kept"))), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_key"), F.lit(True)).alias("kept"))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

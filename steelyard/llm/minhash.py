@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steelyard.llm import texthash
-from steelyard.llm.common import components, materialize, runs, table
+from steelyard.llm.common import components, key_name, materialize, runs, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -329,8 +329,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A null text is an empty one; texts without a word equal only themselves; a text of fewer than five
     words is one shingle; a very long text is shingled whole, by itself; rows without a key get a null class and are kept; repeated rows share a class;
     an empty table gives no rows. ``key`` is a whole number. ``digest`` names a column with each row's
-    digest of its text.
+    digest of its text. Other columns are not read, and a key named as one that is added comes out with ``_key``
+    behind its name.
     """
+    name = key_name(key, ("class_id", "kept", digest or "kept"))
+    docs, key, text = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_body")), "_doc", "_body"
     own = docs.where(F.col(key).isNotNull())
     sketches = materialize(sketched(own, key, text, threshold=threshold, seed=seed), "minhash")
     first = sketches.groupBy("_md5").agg(F.min(key).alias("id"))
@@ -359,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = classes.select("_md5", F.coalesce("component", "_first").alias("class_id"))
     out = rows.join(classes, "_md5", "left").withColumn("class_id", F.when(F.col(key).isNotNull(), F.col("class_id")))
     out = out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
-    return out.select(key, "class_id", "kept", *([F.col("_md5").alias(digest)] if digest else []))
+    return out.select(F.col(key).alias(name), "class_id", "kept", *([F.col("_md5").alias(digest)] if digest else []))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **plan) -> DataFrame:
@@ -367,8 +370,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **plan
 
     A row is known by its key and text; rows without a key all stay.
     """
-    kept = near_duplicates(docs.select(key, text), key=key, text=text, digest="_digest", **plan)
-    kept = kept.where("kept").where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_digest")
+    slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    kept = near_duplicates(slim, key="_key", text="_text", digest="_digest", **plan)
+    kept = kept.where("kept AND _key IS NOT NULL").select("_key", "_digest")
     own = docs.where(F.col(key).isNotNull()).select(F.struct("*").alias("_row"), F.col(key).alias("_key"), _digest(text).alias("_digest"))
     own = own.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"])
     return own.select("_row.*").unionByName(docs.where(F.col(key).isNull()))

@@ -181,18 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """Add ``score``, 0 to 1, of each text alone. A null or empty text gets the score of no features; a very
     long one is scored whole, by itself; repeated rows score alike, whatever their keys; an input column of
-    that name gives way; an empty table gives no rows."""
+    that name, in whatever case, gives way; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    slim = docs.select(*kept, *([] if text in kept else [F.col(text).alias("_scored")]))
+    at = slim.columns.index(text if text in kept else "_scored")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = kept.index(text)
         for batch in batches:
             out = [shared.value.score(ids, first) for _, _, ids, first in features(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, name])
 
     schema = docs.select(*kept).schema.add(name, "double")
-    return docs.select(*kept).mapInArrow(of, schema)
+    return slim.mapInArrow(of, schema)
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

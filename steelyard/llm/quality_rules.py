@@ -56,11 +56,11 @@ def measure(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Add the base metrics ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and
     ``base_failed`` (fewer than 20 words, or over 30 in 100 words in repeated windows).
 
-    A null or empty text has no words and fails; input columns of these names give way; rows are judged
+    A null or empty text has no words and fails; input columns of these names, in whatever case, give way; rows are judged
     one by one, so repeated rows agree, and an empty table gives no rows.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_lang_words")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in names]
     # words with their ends only once: the array feeds the window hashes, counts come from the text
     out = docs.select(
         *kept,

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steelyard.llm.common import table
+from steelyard.llm.common import key_name, table
 
 ROUNDS = 6
 #: Buckets that number the rows, at least, and one for so many rows; a bucket is sorted by itself, so it
@@ -63,11 +63,14 @@ def shard(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "t
     is computed from its number without a sort or shuffle of texts. A null text counts as empty, a null key
     as a key, and a very long text is one row like others; repeated rows get places of their own; equal keys
     are ordered by the text's checksum and size. An empty table gives no rows. Other columns are kept if their names
-    do not clash with those added (a clashing input column gives way).
+    do not clash with those added (a clashing input column gives way, a key gets ``_key`` behind its name).
     """
+    added = ("size", "text_crc32", "shard", "slot")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "size", "text_crc32", "shard", "slot")]
+    kept = [F.col(c) for c in docs.columns if c.lower() not in (text.lower(), *added)]
+    if key.lower() in added:
+        kept.append(F.col(key).alias(key_name(key, added)))
     # the row's own columns stay together, so none of them meets a name used here
     slim = docs.select(F.struct(*kept).alias("_own"), F.col(key).alias("_id"), size.alias("size"), crc.alias("text_crc32"))
     numbered, n = row_numbers(slim, "_id", "text_crc32", "size")

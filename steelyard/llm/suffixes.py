@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steelyard.llm import texthash
-from steelyard.llm.common import materialize, shuffle_partitions, table
+from steelyard.llm.common import key_name, materialize, shuffle_partitions, table
 
 LENGTH = 400
 #: Bytes of the leading token; of the LENGTH - TOKEN + 1 tokens inside a string the least leads.
@@ -251,8 +251,11 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     single strings. Strings are told apart by 64-bit fingerprints.
 
     A null text has no bytes; rows with a null key are handled by their text; repeated rows count as
-    occurrences of their own; an empty table gives no rows; other columns are not read.
+    occurrences of their own; an empty table gives no rows; other columns are not read, and a
+    key named as one that is added comes out with ``_key`` behind its name.
     """
+    name = key_name(key, ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    docs, key, text = docs.select(F.col(key).alias("_id"), F.col(text).alias("_body")), "_id", "_body"
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key), F.md5(t.cast("binary")).alias("_m"), F.xxhash64(t).alias("_t"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("_sha"))
@@ -282,7 +285,7 @@ def repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     out = slim.withColumn("_k", F.coalesce(F.xxhash64(key), F.lit(0))).join(many, "_m", "left").join(cut, ["_k", "_t"], "left")
     gone = F.coalesce(F.col("_copies") > 1, F.lit(False))
     return out.select(
-        key, "n_bytes",
+        F.col(key).alias(name), "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steelyard.llm.common import table
+from steelyard.llm.common import key_name, table
 
 #: Words whose counts a worker remembers; then it starts anew.
 REMEMBERED = 1 << 19
@@ -167,7 +167,8 @@ def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
 
     Spaces end words, as for the tokenizer, so a word's count is found once and remembered by the worker
     within a bound. No row is shuffled. A null or empty text has 0 tokens; a very long text is counted whole,
-    and a very long word piece by piece; equal paths follow the tokenizer's rule; repeated rows are counted each; an empty table gives no rows; other columns are not read.
+    and a very long word piece by piece; equal paths follow the tokenizer's rule; repeated rows are counted each; an empty table gives no rows;
+    other columns are not read, and a key named as one that is added comes out with ``_key`` behind its name.
     """
     path = path or piece_file()
 
@@ -184,9 +185,10 @@ def count_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
                     part, size = [], 0
             out += find.counts(part)
             n, s = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64())], [key, "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["_k", "n_tokens", "score"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(of, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, score double")
+    out = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInArrow(of, f"_k {dict(docs.dtypes)[key]}, n_tokens long, score double")
+    return out.withColumnRenamed("_k", key_name(key, ("n_tokens", "score")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

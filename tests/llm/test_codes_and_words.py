@@ -123,7 +123,7 @@ def test_byte_pairs_of_nothing_and_of_clashing_names(spark, docs):
 
     assert decode(encode(docs.limit(0))).count() == 0
     named = docs.select(docs.doc_id.alias("ids"), docs.text.alias("bytes"), docs.n.alias("_k"))
-    assert encode(named, key="ids", text="bytes").columns == ["ids", "token_ids"]
+    assert encode(named, key="ids", text="bytes").columns == ["ids_key", "ids"]
     assert encode(named, key="ids", text="bytes").count() == docs.count()
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.bytes for r in decode(nulls).orderBy("doc_id").collect()] == [None, b""]
@@ -314,3 +314,46 @@ def test_codes_equal_their_sql(spark, sf):
     df = op13_codes(spark, sf)
     want = con.execute(f"SELECT {','.join(df.columns)} FROM ({SQL_OP13})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+#: Operators with the columns that each adds.
+ADDED = {
+    "packing": "start length ids_crc32 doc_tokens sequence_id offset", "tokencount": "n_tokens score", "minhash": "class_id kept", "embeddings": "n_links component_id kept", "suffixes": "n_bytes n_removed n_spans kept_sha256",
+    "quality_rules": "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "mixing": "size source_size target taken", "sharding": "size text_crc32 shard slot", "quality_model": "score", "bytepairs": "ids", "codes": "code error",
+}
+
+
+def applied(name, df, key, labels):
+    import importlib
+
+    m = importlib.import_module(f"steelyard.llm.{name}")
+    if name == "quality_model":
+        return m.score(df, m.train(labels.select("doc_id", "text"), labels.select("doc_id", "quality")))
+    if name == "quality_rules":
+        return m.cascade(df)
+    f = {"packing": "pack", "tokencount": "count_tokens", "minhash": "near_duplicates", "embeddings": "near_vectors", "suffixes": "repeated_bytes", "mixing": "mix", "sharding": "shard", "bytepairs": "encode", "codes": "compress"}[name]
+    if name == "sharding":
+        return m.shard(df, 3, key=key)
+    out = getattr(m, f)(df, key=key)
+    return out[0] if name == "codes" else out
+
+
+@pytest.mark.parametrize("name", sorted(ADDED))
+@pytest.mark.parametrize("upper", [False, True])
+def test_names_that_clash_and_repeated_rows(spark, name, upper):
+    """A key named as a column that is added, in either case, and other columns of such names, with repeated rows."""
+    added = ADDED[name].split()
+    key = added[0].upper() if upper else added[0]
+    others = [c.upper() if upper else c for c in added[1:]]
+    rows = [(k, f"{k} some words of a text number {k} that goes on for a while so that it has more than twenty words in all, {k} and {k + 1} and so on", "s", [float(k)] * 16, 1, *("x" for _ in others)) for k in range(30)]
+    fields = ", ".join(f"`{c}` string" for c in others)
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], f"`{key}` long, text string, source string, embedding array<float>, label int" + (f", {fields}" if fields else ""))
+    labels = spark.createDataFrame([(k, ("good text here " if k % 2 else "bad thing there ") * 9, k % 2) for k in range(60)], "doc_id long, text string, quality int")
+    out = applied(name, df, key, labels)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {c.lower() for c in added} <= {c.lower() for c in out.columns}
+    found = out.collect()
+    assert len(found) >= 32
+    if name not in ("quality_model", "quality_rules", "mixing"):
+        named = next(c for c in out.columns if c.lower() == f"{key}_key".lower())
+        assert {r[named] for r in found} == set(range(30))
