@@ -23,6 +23,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO, CHANGED = 7, 2, 10, 31
 BITS, MOST = 32, 1 << 23
 #: Rows of the filter that one row of a table holds.
 SEGMENT = 1 << 10
+#: Words whose candidates one task makes, about.
+DEALT = 1 << 15
 #: Candidates that are looked up together, about.
 TOGETHER = 1 << 21
 _CODES = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,7 +176,9 @@ def near_words(vocab: DataFrame) -> DataFrame:
                 rows = pa.array(word)
                 yield pa.RecordBatch.from_arrays([words.built(kind, word, place, letter), batch.column(0).take(rows), counts.take(rows)], ["to", "latin", "n"])
 
-    found = vocab.select("latin", "n").mapInArrow(of, "to binary, latin binary, n long")
+    # a word makes about a thousand candidates, so words are dealt out to more tasks than their files are
+    dealt = vocab.select("latin", "n").repartition(max(1, -(-n // DEALT)))
+    found = dealt.mapInArrow(of, "to binary, latin binary, n long")
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col("latin").alias("l")))
     got = found.groupBy(F.col("to").alias("latin")).agg(F.count("*").alias("n_near"), best.alias("_b"))
     return got.join(vocab.select("latin"), "latin").select("latin", "n_near", F.struct((-F.col("_b.m")).alias("n"), F.col("_b.l").alias("latin")).alias("best"))
