@@ -12,6 +12,7 @@ from steelyard.plans.analysis import CLAIMS_CTE, _claims
 from steelyard.plans.text import _PAIRS, LEGAL
 from steelyard.sources import store
 from steelyard.sources.tables import table
+from steelyard.streaming import bus
 from steelyard.streaming import events as ev
 
 
@@ -36,6 +37,17 @@ def transition_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ended(ev.transition_stream(e, "user_id", "event_type", LEGAL))
 
 
+def channel_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers of each user's events get who have seen some of them, from a stream that numbers events and holds
+    the last 40 of a user."""
+    e = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("n"), F.col("event_type").alias("type"))
+    readers = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task"), F.lit(None).cast("timestamp").alias("ts"), F.lit("r").alias("reader"), (F.col("user_id") % 90).cast("long").alias("after")).distinct()
+    readers = spark.readStream.schema(readers.schema).parquet(store.written_to(readers, "readers"))
+    with bus.state_store(spark):
+        out = _ended(bus.channel(e.unionByName(readers, allowMissingColumns=True), history=40, kept_ms=0))
+    return out.where("reader IS NOT NULL").select("task", "seq", "type", "kind")
+
+
 def window_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each hour and type, once the watermark has passed the hour."""
     out = _ended(ev.event_counts_stream(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"))
@@ -106,7 +118,15 @@ def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("n_name", "revenue", F.bround(F.try_divide(F.col("revenue"), total), 6).cast("double").alias("share"))
 
 
+CHANNEL_SQL = """
+WITH e AS (SELECT user_id, CAST(user_id AS VARCHAR) AS task, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS type FROM events),
+l AS (SELECT user_id, any_value(task) AS task, max(seq) AS last, user_id % 90 AS after FROM e GROUP BY user_id)
+SELECT e.task, seq, type, 'event' AS kind FROM e JOIN l ON l.user_id = e.user_id WHERE seq > last - 40 AND seq > after
+UNION ALL SELECT task, last - 40, NULL, 'truncated' FROM l WHERE after < last - 40
+"""
+
 QUERIES = {
+    "channel_stream": (channel_stream, CHANNEL_SQL),
     "transition_stream": (transition_stream, f"SELECT CAST(user_id AS VARCHAR) AS task, event_id AS seq, lag(event_type) OVER w AS previous, event_type AS state, lag(event_type) OVER w IS NULL OR lag(event_type) OVER w || '>' || event_type IN ({_PAIRS}) AS legal FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "window_counts_stream": (window_counts_stream, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2"),
     "claim_scope": (claim_scope, """WITH x AS (SELECT 'c' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS claim_id, text, CASE WHEN doc_id % 3 = 0 THEN 'llm-v1' WHEN doc_id % 5 = 0 THEN 'retired' ELSE 'rule-v2' END AS extractor, doc_id % 11 = 0 AS bg FROM documents)

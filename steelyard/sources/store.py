@@ -21,11 +21,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: what is not determined stays as it came out."""
+def written_to(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a new folder of the shared one, whose path is returned."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: what is not determined stays as it came out."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_to(df, name))
 
 
 def content_id(prefix: str, *parts: Column, size: int = 12) -> Column:
