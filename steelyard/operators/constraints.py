@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from steelyard.sources import store
+
 
 def unique(df: DataFrame, key: list[str], where: Column | None = None) -> DataFrame:
     rows = df if where is None else df.where(where)
@@ -49,18 +51,34 @@ def observation_violations(observations: DataFrame, key: list[str]) -> DataFrame
 def dictionary_problems(metrics: DataFrame) -> DataFrame:
     """Problems of a metric dictionary ``metric_key, aliases, exclusion_terms, value_type, unit_kind,
     parent_key``: unknown kinds, an alias that is excluded too, text with a number's unit, parents that
-    don't exist or lead back, and an alias of two metrics."""
+    don't exist or lead back at any depth, and an alias of two metrics."""
     m = metrics
     out = allowed(m, "value_type", ["flow", "stock", "ratio", "text"], "metric_key")
     out = out.unionByName(check(m, "alias is excluded", ~F.arrays_overlap("aliases", "exclusion_terms"), "metric_key"))
     out = out.unionByName(check(m, "text has no unit", (F.col("value_type") != "text") | (F.col("unit_kind") == "text"), "metric_key"))
     out = out.unionByName(foreign_key(m, "parent_key", m, "metric_key", "metric_key"))
     out = out.unionByName(unique(m.select("metric_key", F.explode(F.array_distinct("aliases")).alias("alias")), ["alias"]))
-    # parents up to the depth of the dictionary's nesting
-    up = m.select(F.col("metric_key").alias("key"), F.col("parent_key").alias("at"))
-    loops = up.where("key = at")
-    parents = m.select(F.col("metric_key").alias("at"), F.col("parent_key").alias("next"))
-    for _ in range(4):
-        up = up.where("at IS NOT NULL AND at <> key").join(parents, "at").select("key", F.col("next").alias("at"))
-        loops = loops.unionByName(up.where("key = at"))
-    return out.unionByName(loops.distinct().select(F.lit("parent loop").alias("rule"), "key"))
+    return out.unionByName(parent_loops(m).select(F.lit("parent loop").alias("rule"), "key"))
+
+
+def parent_loops(metrics: DataFrame) -> DataFrame:
+    """``key`` of the metrics that are their own ancestor, however far up.
+
+    Doubling: each metric knows the ancestor 2^k steps up and the smallest key met on the way. Metrics without so
+    many ancestors drop out; when the steps exceed the number of metrics, only those that lead into a loop are left,
+    and a loop's own members are those that the walk from a member of it passes.
+    """
+    parents = metrics.where("parent_key IS NOT NULL").select(F.col("metric_key").alias("key"), F.col("parent_key").alias("at")).dropDuplicates(["key"])
+    one, n = parents, metrics.count()
+    up, steps = store.written(parents, "parents"), 1
+    while steps <= n and not up.isEmpty():
+        up = store.written(up.join(up.select(F.col("key").alias("at"), F.col("at").alias("_at")), "at").select("key", F.col("_at").alias("at")), "parents")
+        steps *= 2
+    # so many steps up everyone that is left stands in a loop; from there all of the loop is reached by doubling
+    reached = up.select(F.col("at").alias("key")).distinct()
+    hop, steps = one, 1
+    while steps <= n and not reached.isEmpty():
+        reached = store.written(reached.unionByName(reached.join(hop, "key").select(F.col("at").alias("key"))).distinct(), "parents")
+        hop = store.written(hop.join(hop.select(F.col("key").alias("at"), F.col("at").alias("_at")), "at").select("key", F.col("_at").alias("at")), "parents")
+        steps *= 2
+    return reached

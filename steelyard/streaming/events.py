@@ -67,17 +67,23 @@ def transition_stream(events: DataFrame, task: str, state: str, legal: tuple[tup
             local, seen = pd.factorize(frame["state"], use_na_sentinel=False)
             seqs.append(frame["seq"].to_numpy())
             codes.append(np.array([names.setdefault(None if pd.isna(s) else s, len(names)) for s in seen], dtype=np.int32)[local])
-        seq, code, labels = np.concatenate(seqs), np.concatenate(codes), list(names)
+        seq, code = np.concatenate(seqs), np.concatenate(codes)
         order = np.argsort(seq, kind="stable")
         before = kept.get[0] if kept.exists else None
+        # a code for each state, the last one for none; which pairs of codes are legal
+        last = names.setdefault(before, len(names)) if before is not None else len(names) + 1
+        labels = np.array([*names, None, None], dtype=object)
+        fits = np.zeros((len(labels), len(labels)), dtype=bool)
+        fits[[k for k, s in enumerate(labels) if s is None]] = True
+        for a, b in allowed:
+            if a in names and b in names:
+                fits[names[a], names[b]] = True
+        code = code[order]
+        earlier = np.concatenate([[last], code[:-1]])
         for at in range(0, len(order), ROWS):
-            some = order[at : at + ROWS]
-            states = [labels[c] for c in code[some]]
-            previous = [before, *states[:-1]]
-            ok = [p is None or (p, s) in allowed for p, s in zip(previous, states, strict=True)]
-            before = states[-1]
-            yield pd.DataFrame({"task": [key[0]] * len(states), "seq": seq[some], "previous": previous, "state": states, "legal": ok})
-        kept.update((before,))
+            now, was = code[at : at + ROWS], earlier[at : at + ROWS]
+            yield pd.DataFrame({"task": key[0], "seq": seq[order[at : at + ROWS]], "previous": labels[was], "state": labels[now], "legal": fits[was, now]})
+        kept.update((labels[code[-1]],))
 
     rows = events.select(F.col(task).cast("string").alias("task"), F.col("seq").cast("long").alias("seq"), F.col(state).alias("state"))
     return rows.groupBy("task").applyInPandasWithState(of, "task string, seq long, previous string, state string, legal boolean", "state string", "append", GroupStateTimeout.NoTimeout)
