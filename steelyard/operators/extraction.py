@@ -108,6 +108,44 @@ def aging(rows: DataFrame) -> DataFrame:
     return f.select("file_id", F.when(F.col("_n") == 1, F.col("_b")).alias("block"), F.when(F.col("_n") == 0, "no_block").when(F.col("_n") > 1, "ambiguous").alias("refused")).select("file_id", "block.*", "refused")
 
 
+# Headings that a table of ages begins at, and how its rows begin.
+AGING_HEADINGS = ("按账龄分析法计提坏账准备的应收账款", "按账龄披露", "按账龄列示")
+AGING_ROWS = (
+    ("within", ("1年以内",)), ("1to2", ("1至2年", "1-2年", "1—2年")), ("2to3", ("2至3年", "2-3年", "2—3年")), ("3to4", ("3至4年", "3-4年")),
+    ("4to5", ("4至5年", "4-5年")), ("over5", ("5年以上",)), ("over3", ("3年以上",)), ("total", ("合计",)),
+)
+AGING_FIGURE = r"(\d[\d,]*\.\d{2})"
+
+
+def aging_blocks(pages: DataFrame) -> DataFrame:
+    """``file_id, page_no, block, total, within, over_one_year``: what the pages' tables of ages say, cut at their
+    totals. Reading begins at the last of the narrow headings of a page, if it has one; a row's first figure counts,
+    and of a block's rows with one meaning the first."""
+    heading = "|".join(AGING_HEADINGS)
+    text = F.coalesce(F.nullif(F.regexp_extract("text", f"(?s)^.*((?:{heading}).*)$", 1), F.lit("")), F.col("text"))
+    x = pages.select("file_id", "page_no", F.posexplode(F.split(text, "\n")).alias("n", "_l")).withColumn("_l", F.trim("_l"))
+    row = F.coalesce(*[F.when(F.col("_l").rlike("^(?:" + "|".join(starts) + ")"), name) for name, starts in AGING_ROWS])
+    x = x.withColumns({"row": row, "v": parse_figure(F.regexp_extract("_l", AGING_FIGURE, 1))["value"]}).where("row IS NOT NULL AND v IS NOT NULL")
+    before = Window.partitionBy("file_id", "page_no").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("block", F.coalesce(F.sum((F.col("row") == "total").cast("int")).over(before), F.lit(0)))
+    g = x.groupBy("file_id", "page_no", "block").agg(*[F.min(F.when(F.col("row") == name, F.struct("n", "v")))["v"].alias(name) for name, _ in AGING_ROWS], F.count("*").alias("_rows"))
+    some = lambda *names: F.when(F.coalesce(*names).isNotNull(), sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0).cast("decimal(20,6)")))
+    late = F.when(F.col("over3").isNotNull(), some("1to2", "2to3", "over3")).otherwise(some("1to2", "2to3", "3to4", "4to5", "over5"))
+    return g.where("total IS NOT NULL AND _rows > 1").select("file_id", "page_no", "block", "total", "within", late.cast("decimal(20,6)").alias("over_one_year"))
+
+
+def aging_of_pages(pages: DataFrame, scope: str = "consolidated") -> DataFrame:
+    """``file_id, page_no, gross, over_one_year, refused`` of each file with a table of ages in that scope: the first
+    of its pages on which all blocks whose total is the part within a year plus the parts over it say the same.
+    Pages are never put together. Without such a page it is ``ambiguous`` where blocks differ, else ``no_block``."""
+    own = aging_pages(pages).where(F.col("scope") == scope).select("file_id", "page_no")
+    fits = aging_blocks(pages.join(own, ["file_id", "page_no"], "left_semi")).where(F.col("total") == F.col("within") + F.col("over_one_year"))
+    by_page = fits.groupBy("file_id", "page_no").agg(F.count_distinct("total", "over_one_year").alias("_n"), F.min(F.struct("block", "total", "over_one_year")).alias("_b"))
+    found = by_page.groupBy("file_id").agg(F.min(F.when(F.col("_n") == 1, F.struct("page_no", F.col("_b.total").alias("gross"), "_b.over_one_year"))).alias("_f"), F.lit(True).alias("_any"))
+    out = own.select("file_id").distinct().join(found, "file_id", "left")
+    return out.select("file_id", "_f.page_no", "_f.gross", "_f.over_one_year", F.when(F.col("_f").isNull(), F.when(F.col("_any"), "ambiguous").otherwise("no_block")).alias("refused"))
+
+
 def aging_pages(pages: DataFrame) -> DataFrame:
     """Pages ``file_id, page_no, text`` with an aging table, and the scope that the nearest page before (or
     the page) names."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steelyard.operators import facts, sentences
+from steelyard.operators import extraction, facts, sentences
 from steelyard.sources import geometry, schema, statements, store
 from steelyard.sources.tables import table
 
@@ -124,7 +124,38 @@ s AS (SELECT file_id, section_id, plan_year, 0 AS n, a AS sentence, start AS cha
 SELECT file_id, section_id, CAST(n AS INT) AS n, sentence, CAST(char_at AS INT) AS char_at, plan_year FROM s
 """
 
+AGES = (("1-URGENT", "1年以内"), ("2-HIGH", "1至2年"), ("3-MEDIUM", "2-3年"), ("4-NOT SPECIFIED", "3至4年"), ("5-LOW", "5年以上"))
+
+
+def aging_of_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receivables by age out of pages: a customer's orders by priority are the rows. Some totals don't fit, some pages
+    have a second table that fits as well, and some of those a later page that settles it."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), "o_orderpriority", F.col("o_totalprice").cast("decimal(15,2)").alias("v"))
+    sums = o.groupBy("file_id").agg(*[F.sum(F.when(F.col("o_orderpriority") == p, F.col("v"))).alias(f"_{k}") for k, (p, _) in enumerate(AGES)], F.sum("v").alias("_all"))
+    said = lambda v: F.format_number(v, 2)
+    key = F.col("file_id")
+    rows = [F.when(F.col(f"_{k}").isNotNull(), F.concat(F.lit(f"{label} "), said(F.col(f"_{k}")))) for k, (_, label) in enumerate(AGES)]
+    total = F.concat(F.lit("合计 "), said(F.col("_all") + F.when(key % 7 == 0, 1).otherwise(0)))
+    other = F.when(key % 5 == 0, "1年以内 5.00\n1至2年 1.00\n合计 6.00")
+    page = F.concat_ws("\n", F.lit("应收账款 账龄"), F.lit("合计 9.00"), F.lit("（1）按账龄披露"), *rows, total, other)
+    later = F.when(key % 10 == 0, "应收账款 账龄\n1年以内 50.00\n1至2年 10.00\n合计 60.00\n1年以内小计 50.00\n1-2年 10.00\n合计 60.00").otherwise("正文")
+    pages = sums.select("file_id", F.posexplode(F.array(F.lit("合并财务报表项目注释"), page, later, F.lit("母公司财务报表"), page)).alias("page_no", "text"))
+    return extraction.aging_of_pages(pages)
+
+
+AGING_SQL = """
+WITH o AS (SELECT o_custkey AS file_id, o_orderpriority AS p, CAST(o_totalprice AS DECIMAL(15,2)) AS v FROM orders),
+s AS (SELECT file_id, sum(v) FILTER (p = '1-URGENT') AS w, sum(v) AS total, sum(v) FILTER (p <> '1-URGENT') AS late FROM o GROUP BY 1),
+c AS (SELECT *, w IS NOT NULL OR file_id % 5 = 0 AS first, file_id % 10 = 0 AS second, coalesce(file_id % 7 <> 0 AND w IS NOT NULL AND late IS NOT NULL, false) AS own, file_id % 5 = 0 AS other FROM s),
+d AS (SELECT *, CASE WHEN own AND NOT other THEN 1 WHEN other AND NOT own THEN 1 WHEN second THEN 2 END AS page_no FROM c WHERE first OR second)
+SELECT file_id, CAST(page_no AS INT) AS page_no, CAST(CASE WHEN page_no = 2 THEN 60 WHEN page_no = 1 AND own THEN total WHEN page_no = 1 THEN 6 END AS DECIMAL(20,6)) AS gross,
+  CAST(CASE WHEN page_no = 2 THEN 10 WHEN page_no = 1 AND own THEN late WHEN page_no = 1 THEN 1 END AS DECIMAL(20,6)) AS over_one_year,
+  CASE WHEN page_no IS NULL THEN CASE WHEN own AND other THEN 'ambiguous' ELSE 'no_block' END END AS refused
+FROM d
+"""
+
 QUERIES = {
+    "aging_of_reports": (aging_of_reports, AGING_SQL),
     "statement_pages": (statement_pages, STATEMENT_SQL),
     "fact_batches": (fact_batches, BATCH_SQL),
     "report_sentences": (report_sentences, SENTENCE_SQL),

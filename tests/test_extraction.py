@@ -56,6 +56,19 @@ def test_aging(spark):
     assert sorted((r.page_no, r.scope) for r in ex.aging_pages(pages).collect()) == [(2, "consolidated"), (4, "parent")]
 
 
+def test_aging_out_of_pages(spark):
+    head = "应收账款\n账龄 期末余额\n"
+    good = "按账龄列示\n1年以内（含1年） 80.00 1.00\n1年以内小计 81.00\n1至2年 15.00\n3年以上 5.00\n合计 100.00"
+    rows = [
+        ("one", 1, "合并财务报表项目注释"), ("one", 2, head + "1年以内 1.00\n1至2年 1.00\n合计 2.00\n" + good), ("one", 3, "母公司财务报表"), ("one", 4, head + "1年以内 7.00\n1-2年 3.00\n合计 10.00"),
+        ("two", 1, "合并财务报表"), ("two", 2, head + "1年以内 1.00\n1至2年 1.00\n合计 2.00\n1年以内 5.00\n1至2年 1.00\n合计 6.00"),
+        ("bad", 1, "合并财务报表"), ("bad", 2, head + "1年以内 1.00\n1至2年 1.00\n合计 3.00"), ("bad", 3, head + "1年以内 1.00\n合计 1.00"),
+        ("none", 1, "合并财务报表"), ("none", 2, "应收账款"),
+    ]
+    got = {r.file_id: tuple(r)[1:] for r in ex.aging_of_pages(spark.createDataFrame(rows, "file_id string, page_no int, text string")).collect()}
+    assert got == {"one": (2, Decimal(100), Decimal(20), None), "two": (None, None, None, "ambiguous"), "bad": (None, None, None, "no_block")}
+
+
 def test_candidates_and_rules(spark):
     s = spark.createDataFrame([("f", i, t) for i, t in enumerate(["原料价格风险上升", "汇率风险可控", "价格风险 1 2 3 4 5 6", "价格波动带来风险", "价格风险三"])], "file_id string, n int, sentence string")
     got = ex.risk_candidates(s, {"price": (("价格",), ("风险",)), "fx": (("汇率",), ("风险",))})
