@@ -12,7 +12,7 @@ from steelyard.sources.tables import table
 from steelyard.streaming import events as ev
 
 THEMES = (text.Theme("first", "revenue", ("the ", "tion ", "eau")), text.Theme("second", None, ("ing ", "ed ", "ment", "que"), False), text.Theme("third", "volume", ("ung", "ción", "th")))
-WORDS = text.Directions(improve=("ther", "ieux"), deteriorate=("worthless", "idiot"), up=("tion", "ment"), down=("ing", "heit"), flat=("stable",), negation=("not", "ne "), modality=("would", "will"), clause=".,\n")
+WORDS = text.Directions(improve=("ther", "ieux"), deteriorate=("worthless", "idiot"), up=("tion", "ment"), down=("ing", "heit"), flat=("stable",), negation=("not", "ne "), modality=("would", "will"), clause=".,\n", ambiguous=())
 UNITS = (("km", "1000"), ("%", "0.01"), ("m", "1"))
 
 

@@ -461,3 +461,12 @@ def test_templates_and_pending_observations(spark, tmp_path):
     store.append_pending(spark.createDataFrame([("o1", 1)], "observation_id string, value int"), f"{tmp_path}/seen")
     store.append_pending(spark.createDataFrame([("o2", 2)], "observation_id string, value int"), f"{tmp_path}/seen")
     assert {(r.observation_id, r.resolution) for r in spark.read.parquet(f"{tmp_path}/seen").collect()} == {("o1", "pending"), ("o2", "pending")}
+
+
+def test_ambiguous_words_follow_from_the_vocabularies():
+    from steelyard.functions.text import Directions
+    from steelyard.plans.text import WORDS
+
+    for w in (Directions(), WORDS):
+        state = (*w.improve, *w.deteriorate)
+        assert w.ambiguous == tuple(t for t in (*w.up, *w.down) if any(t in s or s in t for s in state))
