@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steelyard.operators import extraction, facts, sentences
+from steelyard.operators import attestations, extraction, facts, sentences
 from steelyard.sources import geometry, schema, statements, store
 from steelyard.sources.tables import table
 
@@ -154,7 +154,25 @@ SELECT file_id, CAST(page_no AS INT) AS page_no, CAST(CASE WHEN page_no = 2 THEN
 FROM d
 """
 
+def attestation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors of a sheet of receivables by age, a row for each order: what is filled in follows from the order."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("validated", "pending", "needs_review", "done", "validated"))), (k % 5 + 1).cast("int"))
+    amount = F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, F.format_number("o_totalprice", 2)).otherwise("n/a")
+    rows = o.select((k - k % 8).alias("row_id"), k.alias("n"), status.alias("status"), amount.alias("receivable"), F.lit("1").alias("over_one_year"), F.lit("2").alias("revenue"), F.when(k % 7 < 4, "seen").alias("note"), F.when(k % 4 == 0, "113-114").when(k % 4 == 1, "page 7").alias("source_page"))
+    found = attestations.importable(rows, attestations.q2_rules(), ["row_id"])[1]
+    return found.select("n", F.array_join("errors", "; ").alias("errors"))
+
+
+ATTESTATION_SQL = """
+WITH o AS (SELECT o_orderkey AS k, ['validated', 'pending', 'needs_review', 'done', 'validated'][o_orderkey % 5 + 1] AS status, count(*) OVER (PARTITION BY o_orderkey - o_orderkey % 8) AS n FROM orders),
+e AS (SELECT k, concat_ws('; ', CASE WHEN status = 'done' THEN 'status is not allowed' END, CASE WHEN status = 'validated' AND k % 3 = 0 THEN 'receivable is empty (validated)' END, CASE WHEN status = 'validated' AND k % 3 = 2 THEN 'receivable is no number (validated)' END,
+   CASE WHEN status = 'needs_review' AND k % 7 >= 4 THEN 'note is empty (unavailable_disclosure or needs_review)' END, CASE WHEN status <> 'done' AND k % 4 = 1 THEN 'source_page is no page' END, CASE WHEN n > 1 THEN 'key comes twice' END) AS errors FROM o)
+SELECT k AS n, errors FROM e WHERE errors <> ''
+"""
+
 QUERIES = {
+    "attestation_errors": (attestation_errors, ATTESTATION_SQL),
     "aging_of_reports": (aging_of_reports, AGING_SQL),
     "statement_pages": (statement_pages, STATEMENT_SQL),
     "fact_batches": (fact_batches, BATCH_SQL),
