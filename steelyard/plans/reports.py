@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steelyard.operators import attestations, extraction, facts, sentences
-from steelyard.sources import geometry, schema, statements, store
+from steelyard.operators import attestations, checks, extraction, facts, sentences
+from steelyard.sources import generator, geometry, schema, statements, store
 from steelyard.sources.tables import table
 
 #: Lines of a made-up page, and the lines above the rows of a statement.
@@ -171,7 +171,22 @@ e AS (SELECT k, concat_ws('; ', CASE WHEN status = 'done' THEN 'status is not al
 SELECT k AS n, errors FROM e WHERE errors <> ''
 """
 
+def planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks find in ten years of made-up statements of each customer, some rows of which break a rule."""
+    rules = F.array(*map(F.lit, generator.FAULTS))
+    fault = F.when(F.col("c_custkey") % 10 == F.col("year") % 10, F.element_at(rules, (F.col("c_custkey") % 4 + 1).cast("int")))
+    rows = generator.statements(table(spark, sf_dir, "customer"), "c_custkey", 2024, fault=fault)
+    return checks.run_checks(rows, ["c_custkey", "period"]).where("status <> 'passed'").select("c_custkey", "period", "rule_key", "severity", "status")
+
+
+_FAULTS = "[" + ", ".join(f"'{k}'" for k in generator.FAULTS) + "]"
+FAULT_SQL = f"""
+SELECT c_custkey, CAST(y AS VARCHAR) AS period, {_FAULTS}[c_custkey % 4 + 1] AS rule_key, ['error', 'error', 'warn', 'info'][c_custkey % 4 + 1] AS severity, 'failed' AS status
+FROM customer, range(2015, 2025) r(y) WHERE c_custkey % 10 = y % 10
+"""
+
 QUERIES = {
+    "planted_faults": (planted_faults, FAULT_SQL),
     "attestation_errors": (attestation_errors, ATTESTATION_SQL),
     "aging_of_reports": (aging_of_reports, AGING_SQL),
     "statement_pages": (statement_pages, STATEMENT_SQL),
