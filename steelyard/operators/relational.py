@@ -88,9 +88,12 @@ def unique_prefix(left: DataFrame, right: DataFrame, key: str, name: str, prefix
     return found.select(F.col("_k").alias(key), F.when(F.col("how").isin("exact", "prefix"), F.col("_p.a")).alias("match"), "how").unionByName(absent)
 
 
-def alias_lookup(aliases: DataFrame, normalize) -> tuple[DataFrame, DataFrame]:
+def alias_lookup(aliases: DataFrame, normalize, industry: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(lookup, conflicts)`` of ``metric_key, alias, rank``: the normalized alias maps to the key that
-    ranks first, and every other key that claims it is reported."""
+    ranks first, and every other key that claims it is reported. With an ``industry`` only its own metrics and those of
+    all industries count, by the column ``industry``, since an alias may mean different things in different ones."""
+    if industry is not None:
+        aliases = aliases.where(F.coalesce("industry", F.lit("")).isin("", industry))
     names = aliases.select("metric_key", "rank", normalize(F.col("alias")).alias("label")).where("label <> ''")
     first = names.groupBy("label").agg(F.min(F.struct("rank", "metric_key")).alias("_f")).select("label", F.col("_f.metric_key").alias("metric_key"))
     clash = names.join(first.withColumnRenamed("metric_key", "winner"), "label").where("metric_key <> winner").select("label", "metric_key", "winner").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steelyard.operators import attestations, checks, extraction, facts, sentences
+from steelyard.operators import answers, attestations, checks, extraction, facts, sentences
 from steelyard.sources import generator, geometry, schema, statements, store
 from steelyard.sources.tables import table
 
@@ -185,7 +185,37 @@ SELECT c_custkey, CAST(y AS VARCHAR) AS period, {_FAULTS}[c_custkey % 4 + 1] AS
 FROM customer, range(2015, 2025) r(y) WHERE c_custkey % 10 = y % 10
 """
 
+#: Characters of a page that a document is cut into, and of a quote.
+PAGE, QUOTE = 1000, 60
+
+
+def quote_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where recorded answers quote from: documents cut into pages, and for each an answer with a quote from its first
+    page, one that runs over that page's end, and one that is made up. Some answers have no proper shape."""
+    d, k = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    numbers = F.sequence(F.lit(0), F.floor(F.length("text") / PAGE).cast("int"))
+    pages = d.select(F.col("doc_id").alias("file_id"), F.explode(numbers).alias("page_no"), "text").select("file_id", "page_no", F.substring(F.col("text"), F.col("page_no") * PAGE + 1, F.lit(PAGE)).alias("text"))
+    quotes = F.array(F.substring("text", 101, QUOTE), F.substring("text", PAGE - 29, QUOTE), F.lit("no text says such a thing"))
+    good = F.to_json(F.struct(F.transform(quotes, lambda q: F.struct(q.alias("text"), F.lit("revenue").alias("metric_key"))).alias("claims")))
+    response = F.when(k % 10 == 9, "{claims").when(k % 10 == 8, '{"claims": 3}').when(k % 10 == 7, '{"claims": [{"note": 1}]}').otherwise(good)
+    asked = d.select(k.alias("section_id"), k.alias("file_id"), F.lit(0).alias("page_from"), F.floor(F.length("text") / PAGE).cast("int").alias("page_to"), response.alias("response"))
+    claims, quarantine = answers.read_answers(asked, spark.createDataFrame([("revenue",)], "metric_key string"))
+    found = answers.located(claims, pages).select("section_id", "n", "page_no", "needs_review", F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(quarantine.select("section_id", F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("boolean").alias("needs_review"), "reason"))
+
+
+QUOTE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, i AS page_no, regexp_replace(substr(text, i * {PAGE} + 1, {PAGE}), '[\s\p{{Z}}\x{{85}}\x{{0B}}]+', '', 'g') AS page FROM (SELECT *, unnest(range(length(text) // {PAGE} + 1)) AS i FROM d)),
+w AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page_no), '') AS ahead FROM p),
+q AS (SELECT doc_id, unnest([0, 1, 2]) AS n, regexp_replace(unnest([substr(text, 101, {QUOTE}), substr(text, {PAGE} - 29, {QUOTE}), 'no text says such a thing']), '[\s\p{{Z}}\x{{85}}\x{{0B}}]+', '', 'g') AS quote FROM d WHERE doc_id % 10 < 7),
+f AS (SELECT q.doc_id, q.n, min(w.page_no) AS page_no FROM q JOIN w ON w.doc_id = q.doc_id AND length(quote) >= {answers.SHORTEST} AND contains(page || substr(ahead, 1, length(quote) - 1), quote) GROUP BY ALL)
+SELECT q.doc_id AS section_id, CAST(q.n AS INT) AS n, CAST(page_no AS INT) AS page_no, page_no IS NULL AS needs_review, NULL AS reason FROM q LEFT JOIN f ON f.doc_id = q.doc_id AND f.n = q.n
+UNION ALL SELECT doc_id, NULL, NULL, NULL, ['a claim without text', 'claims is no list', 'no object'][doc_id % 10 - 6] FROM d WHERE doc_id % 10 >= 7
+"""
+
 QUERIES = {
+    "quote_pages": (quote_pages, QUOTE_SQL),
     "planted_faults": (planted_faults, FAULT_SQL),
     "attestation_errors": (attestation_errors, ATTESTATION_SQL),
     "aging_of_reports": (aging_of_reports, AGING_SQL),

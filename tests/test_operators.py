@@ -470,3 +470,12 @@ def test_ambiguous_words_follow_from_the_vocabularies():
     for w in (Directions(), WORDS):
         state = (*w.improve, *w.deteriorate)
         assert w.ambiguous == tuple(t for t in (*w.up, *w.down) if any(t in s or s in t for s in state))
+
+
+def test_aliases_of_an_industry(spark):
+    from steelyard.operators.relational import alias_lookup
+
+    rows = spark.createDataFrame([("steel_sales_volume", "销售量", 1, "steel"), ("coal_sales_volume", "销售量", 2, "energy"), ("revenue", "营业收入", 3, ""), ("cfo", "净额", 4, None)], "metric_key string, alias string, rank int, industry string")
+    found = {i: {r.label: r.metric_key for r in alias_lookup(rows, F.trim, i)[0].collect()} for i in (None, "steel", "energy")}
+    assert found["steel"]["销售量"] == "steel_sales_volume" and found["energy"]["销售量"] == "coal_sales_volume" and all(f["营业收入"] == "revenue" and f["净额"] == "cfo" for f in found.values())
+    assert alias_lookup(rows, F.trim)[1].count() == 1 and alias_lookup(rows, F.trim, "steel")[1].count() == 0
