@@ -206,7 +206,13 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def secret_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+    """The key in the session's settings; in a local session, as in tests, a demonstration key where there is none. On
+    a cluster that is an error, since the demonstration key is known to everyone."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} is unset: pseudonyms by the demonstration key can be undone by anyone")
+    return DEMO_KEY
 
 
 def pseudonymize(docs: DataFrame, *, key: str, text: str = "text", count: str | None = "n_replaced") -> DataFrame:

@@ -357,3 +357,14 @@ def test_names_that_clash_and_repeated_rows(spark, name, upper):
     if name not in ("quality_model", "quality_rules", "mixing"):
         named = next(c for c in out.columns if c.lower() == f"{key}_key".lower())
         assert {r[named] for r in found} == set(range(30))
+
+
+def test_no_silent_demonstration_key_on_a_cluster():
+    from types import SimpleNamespace
+
+    from steelyard.llm.pii import DEMO_KEY, KEY_SETTING, secret_key
+
+    session = lambda master, **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get("key", d) if k == KEY_SETTING else d), sparkContext=SimpleNamespace(master=master))
+    assert secret_key(session("local[4]")) == DEMO_KEY and secret_key(session("yarn", key="own")) == "own"
+    with pytest.raises(ValueError, match="unset"):
+        secret_key(session("yarn"))
