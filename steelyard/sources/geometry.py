@@ -1,13 +1,15 @@
 """Tables from the characters of pages: lines, wrapped lines, cells and columns.
 
 Input is one row per character, ``file_id, page_no, c, x0, x1, y0, height``, as any reader of page
-descriptions gives it. Steps that look at neighbours are windows over a page; a page is the largest
-thing that is looked at together.
+descriptions gives it, or one row per page with its characters as an array. Steps that look at neighbours
+are functions of a page's array; a page is the largest thing that is looked at together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steelyard.functions.numeric import parse_figure
@@ -25,34 +27,81 @@ def body(chars: DataFrame, *, skip_header_footer: bool = True) -> DataFrame:
     return chars.where(seen & (F.col("y0") > TOP) & (F.col("y0") < F.col("height") - BOTTOM)) if skip_header_footer else chars.where(seen)
 
 
-def lines(chars: DataFrame) -> DataFrame:
-    """Add ``line``: characters up to 3 points below the first of their physical line share it, and a
-    physical line less than 10 points below the one before it is wrapped and joins its line.
+def packed(chars: DataFrame) -> DataFrame:
+    """Pages ``file_id, page_no, chars``, each with its characters as an array: the one time that they are shuffled."""
+    return chars.groupBy(*PAGE).agg(F.collect_list(F.struct("c", "x0", "x1", "y0", "height")).alias("chars"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    A page's heights are put in order and folded over once, so what a page holds at a time is a number for each
-    height that occurs on it; characters then find their line by their height.
-    """
-    state = "struct<top:double,line:int,found:array<struct<y0:double,line:int>>>"
-    start = F.struct(F.lit(None).alias("top"), F.lit(-1).alias("line"), F.array().alias("found")).cast(state)
 
-    def step(s, y):
+def _ys(page: Column) -> Column:
+    """A page's heights, each once, from the top."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(page, lambda c: c["y0"]))))
+
+
+def _heights(ys: Column) -> Column:
+    """The line of each of a page's heights, which are distinct and in order: they are folded over once."""
+    state = "struct<top:double,line:int,lines:array<int>>"
+    start = F.struct(F.lit(None).alias("top"), F.lit(-1).alias("line"), F.array().alias("lines")).cast(state)
+
+    def step(s: Column, y: Column) -> Column:
         first = s["top"].isNull()
         new = first | (y - s["top"] > LINE)
         line = s["line"] + F.when(new & (first | (y - s["top"] >= WRAP)), 1).otherwise(0)
-        return F.struct(F.when(new, y).otherwise(s["top"]).alias("top"), line.alias("line"), F.array_append(s["found"], F.struct(y.alias("y0"), line.alias("line"))).alias("found")).cast(state)
+        return F.struct(F.when(new, y).otherwise(s["top"]).alias("top"), line.alias("line"), F.array_append(s["lines"], line).alias("lines")).cast(state)
+
+    return F.aggregate(ys, start, step, lambda s: s["lines"])
+
+
+def lines(chars: DataFrame) -> DataFrame:
+    """Add ``line``: characters up to 3 points below the first of their physical line share it, and a
+    physical line less than 10 points below the one before it is wrapped and joins its line."""
+    rest = [c for c in chars.columns if c not in PAGE]
+    numbered = lambda page, y, of: F.transform(page, lambda c: F.struct(c.alias("_c"), F.get(of, (F.array_position(y, c["y0"]) - 1).cast("int")).alias("line")))
+    pages = chars.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("_p"))
+    found = _let(F.col("_p"), lambda p: _let(_ys(p), lambda y: _let(_heights(y), lambda of: numbered(p, y, of))))
+    return pages.select(*PAGE, F.explode(found).alias("_l")).where("_l.line IS NOT NULL").select(*PAGE, "_l._c.*", "_l.line").select(*chars.columns, "line")
+
+
+def _cut(own: Column) -> Column:
+    """Cells ``line, cell, text, x0, x1, y`` of characters ``line, x0, y0, c, x1``, in order, cut at lines and gaps."""
+
+    def begins(s: Column) -> Column:
+        gap = lambda c, i: (c["line"] != F.get(s, i - 1)["line"]) | F.coalesce(c["x0"] - F.get(s, i - 1)["x1"] > CELL, F.lit(False))
+        return F.filter(F.transform(s, lambda c, i: F.when((i == 0) | gap(c, i), i)), lambda i: i.isNotNull())
+
+    def cell(s: Column, starts: Column, of: Column, at: Column, k: Column) -> Column:
+        part = F.slice(s, at + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - at)
+        line = F.get(of, k)
+        return _let(part, lambda p: F.struct(
+            line.alias("line"), (k + 1 - F.array_position(of, line)).cast("int").alias("cell"), F.array_join(F.transform(p, lambda c: c["c"]), "").alias("text"),
+            F.array_min(F.transform(p, lambda c: c["x0"])).alias("x0"), F.array_max(F.transform(p, lambda c: c["x1"])).alias("x1"), F.array_min(F.transform(p, lambda c: c["y0"])).alias("y")))
+
+    lines_of = lambda s, starts: F.transform(starts, lambda i: F.get(s, i)["line"])
+    return _let(own, lambda s: _let(begins(s), lambda starts: _let(lines_of(s, starts), lambda of: F.transform(starts, lambda at, k: cell(s, starts, of, at, k)))))
+
 
-    ys = chars.groupBy(*PAGE).agg(F.array_sort(F.collect_set("y0")).alias("_ys"))
-    found = ys.select(*PAGE, F.explode(F.aggregate("_ys", start, step, lambda s: s["found"])).alias("_l")).select(*PAGE, "_l.*")
-    return chars.join(found, [*PAGE, "y0"]).select(*chars.columns, "line")
+_SORTED = ("line", "x0", "y0", "c", "x1")
 
 
 def cells(lined: DataFrame) -> DataFrame:
     """``line, cell, text, x0, x1, y``: characters of a line cut where more than 10 points lie between two."""
-    w = Window.partitionBy(*PAGE, "line").orderBy("x0", "y0")
-    new = F.when(F.col("x0") - F.lag("x1").over(w) > CELL, 1).otherwise(0)
-    x = lined.withColumn("_new", new).withColumn("cell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    g = x.groupBy(*PAGE, "line", "cell").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "c"))).alias("_c"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y"))
-    return g.select(*PAGE, "line", "cell", F.array_join(F.transform("_c", lambda s: s["c"]), "").alias("text"), "x0", "x1", "y")
+    g = lined.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct(*_SORTED))).alias("_s"))
+    return g.select(*PAGE, F.inline(_cut(F.col("_s"))))
+
+
+def page_cells(pages: DataFrame, *, skip_header_footer: bool = True) -> DataFrame:
+    """:func:`cells` of :func:`lines` of the :func:`body` of pages ``file_id, page_no, chars``, each page by itself: characters
+    are never rows, so nothing is shuffled or sorted but a page's own array."""
+    inside = lambda c: F.trim(c["c"]) != ""
+    within = lambda c: inside(c) & (c["y0"] > TOP) & (c["y0"] < c["height"] - BOTTOM)
+    line = lambda y, of, c: F.get(of, (F.array_position(y, c["y0"]) - 1).cast("int")).alias("line")
+    numbered = lambda page, y, of: F.sort_array(F.filter(F.transform(page, lambda c: F.struct(line(y, of, c), *[c[k].alias(k) for k in _SORTED[1:]])), lambda c: c["line"].isNotNull()))
+    found = _let(F.filter("chars", within if skip_header_footer else inside), lambda p: _let(_ys(p), lambda y: _let(_heights(y), lambda of: numbered(p, y, of))))
+    return pages.select(*PAGE, F.inline(_cut(found)))
 
 
 def columns(cells_: DataFrame, min_rows: int = MIN_ROWS, by: list[str] = PAGE, notes: bool = True) -> DataFrame:

@@ -41,7 +41,7 @@ def place(name: str = "") -> Column:
 def _lines(cells: DataFrame) -> DataFrame:
     """``file_id, page_no, line, words, said, full``: a line's cells, its text as read and without blanks."""
     cell = F.struct("cell", "text", "x0", "x1")
-    x = cells.groupBy("file_id", *PLACE).agg(F.array_sort(F.collect_list(cell)).alias("words"))
+    x = cells.groupBy("file_id", *PLACE).agg(F.sort_array(F.collect_list(cell)).alias("words"))
     said = F.array_join(F.transform("words", lambda c: c["text"]), "  ")
     return x.withColumns({"said": said, "full": F.regexp_replace(F.array_join(F.transform("words", lambda c: c["text"]), ""), " ", "")})
 
@@ -107,9 +107,9 @@ def tables(cells: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     period_kind, period_source, value, is_dash, unit, page_no, line, source_text``, one for each figure in a
     column; a dash is no value. A balance is of an instant, flows are of the year.
     """
-    titles, lines = _anchored(_lines(cells))
+    titles, lines = _anchored(store.written(_lines(cells), "lines"))
     # read several times from here on
-    lines = store.written(lines.withColumn("_f", _figures(F.col("words"))), "statement-lines")
+    lines = store.written(_labelled(lines.withColumn("_f", _figures(F.col("words")))), "statement-lines")
     data = F.size("_f") >= DATA_CELLS
     unit = F.nullif(F.regexp_extract("full", UNIT, 1), F.lit(""))
     facts = lines.groupBy(*TABLE).agg(F.min(F.when(unit.isNotNull(), F.struct(*PLACE, unit.alias("unit"))))["unit"].alias("unit"), F.min(F.when(data, place())).alias("first"))
@@ -147,15 +147,22 @@ def tables(cells: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.select("file_id", F.col("anchor").alias("page_no"), "title", "kind", "scope", "unit", F.when(F.col("refused").isNull() | (F.col("refused") == "repeated"), F.col("period_source")).alias("period_source"), "refused"), rows
 
 
-def _rows(body: DataFrame) -> DataFrame:
-    """The figures of each line in their columns. A line's label is what stands before its first figure or
-    reference to a note; lines without a label are none, nor those with no figure in a column."""
+def _labelled(lines: DataFrame) -> DataFrame:
+    """Add ``label`` and ``note`` to lines with figures, and leave cells only to those that may be headers. A line's label
+    is what stands before its first figure or reference to a note."""
     note = F.filter("words", lambda c: F.regexp_replace(c["text"], " ", "").rlike(NOTE))
-    edge = F.least(F.array_min(F.transform("_f", lambda c: c["x0"])), F.array_min(F.transform(note, lambda c: c["x0"])))
+    edge = F.least(F.array_min(F.transform("_f", lambda c: c["x0"])), F.array_min(F.transform("_note", lambda c: c["x0"])))
     label = F.array_join(F.transform(F.filter("words", lambda c: c["x1"] < F.col("_edge")), lambda c: c["text"]), "")
-    x = body.withColumns({"_edge": edge, "note": F.get(note, F.lit(0))["text"]}).withColumn("label", F.trim(label)).where("label <> ''")
+    x = lines.withColumn("_note", F.when(F.size("_f") > 0, note)).withColumn("_edge", edge).withColumns({"note": F.get("_note", F.lit(0))["text"], "label": F.trim(label)})
+    return x.withColumn("words", F.when(F.col("full").contains(HEADER), F.col("words"))).drop("_note", "_edge")
+
+
+def _rows(body: DataFrame) -> DataFrame:
+    """The figures of each line in their columns, of several in one column the last. Lines without a label are none, nor
+    those with no figure in a column."""
     inside = lambda c, k: (c["x1"] >= k["right_min"] - geometry.COLUMN) & (c["x1"] <= k["right_max"] + geometry.COLUMN)
     hits = F.transform("_f", lambda c: F.struct(F.get(F.filter("columns", lambda k: inside(c, k)), F.lit(0))["column"].alias("column"), c["cell"].alias("cell"), c["f"].alias("f")))
-    x = x.select(*TABLE, *PLACE, "label", "note", F.col("said").alias("source_text"), "years", F.explode(hits).alias("_h")).where("_h.column IS NOT NULL")
-    last = x.groupBy(*TABLE, *PLACE, "label", "note", "source_text", "years", F.col("_h.column").alias("column")).agg(F.max_by("_h.f", "_h.cell").alias("_v"))
-    return last.select(*TABLE, *PLACE, "label", "note", "source_text", "column", F.get("years", F.col("column")).alias("period"), F.col("_v.value").alias("value"), F.col("_v.is_dash").alias("is_dash"))
+    x = body.where("label <> ''").withColumn("_h", F.filter(hits, lambda h: h["column"].isNotNull()))
+    last = F.filter("_h", lambda h: ~F.exists("_h", lambda g: (g["column"] == h["column"]) & (g["cell"] > h["cell"])))
+    x = x.select(*TABLE, *PLACE, "label", "note", F.col("said").alias("source_text"), "years", F.explode(last).alias("_v"))
+    return x.select(*TABLE, *PLACE, "label", "note", "source_text", F.col("_v.column").alias("column"), F.get("years", F.col("_v.column")).alias("period"), F.col("_v.f.value").alias("value"), F.col("_v.f.is_dash").alias("is_dash"))

@@ -112,6 +112,17 @@ def test_lines_are_those_of_one_scan(spark):
     assert len(got) == len(rows) and all(want[r.page_no, r.y0] == r.line for r in got)
 
 
+def test_characters_are_shuffled_once(spark):
+    """From characters to cells there is one exchange, of rows or of pages alike, with the same cells."""
+    rows = [("f", p, c, x0 + 7.0 * k, x0 + 7.0 * k + 6, y, 900.0) for p in (1, 2) for x0, y, word in ((90.0, 100.0, "合计"), (200.0, 101.5, "1,2"), (90.0, 104.0, "in"), (90.0, 130.0, "b c"), (90.0, 20.0, "head")) for k, c in enumerate(word)]
+    chars = spark.createDataFrame(rows, CHARS)
+    by_row = geometry.cells(geometry.lines(geometry.body(chars)))
+    assert by_row._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {(p, line, cell, text) for p in (1, 2) for line, cell, text in ((0, 0, "合i计n"), (0, 1, "1,2"), (1, 0, "bc"))}
+    for got in (by_row, geometry.page_cells(geometry.packed(chars))):
+        assert {(r.page_no, r.line, r.cell, r.text) for r in got.collect()} == want and got.count() == 6
+
+
 OBSERVATION = "observation_id string, metric_key string, period string, value string, report_year int, source_file_id string"
 
 
