@@ -33,11 +33,14 @@ RULES = (
 )
 
 
+def _allowed(items: list[Column], tolerance: float) -> Column:
+    sizes = [F.abs(x) for x in items]
+    return ((F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) * F.lit(tolerance).cast("decimal(6,4)")).cast(MONEY)
+
+
 def compare(lhs: Column, rhs: Column, items: list[Column], tolerance: float) -> tuple[Column, Column, Column]:
     """Difference, allowance and verdict: |lhs - rhs| <= max |item| x tolerance."""
-    sizes = [F.abs(x) for x in items]
-    allowed = ((F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) * F.lit(tolerance).cast("decimal(6,4)")).cast(MONEY)
-    diff = (lhs - rhs).cast(MONEY)
+    allowed, diff = _allowed(items, tolerance), (lhs - rhs).cast(MONEY)
     return diff, allowed, F.abs(diff) <= allowed
 
 
@@ -53,8 +56,9 @@ def run_checks(wide: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES,
     col = lambda k: F.col(k) if k in have else F.lit(None).cast(MONEY)
     ok = lambda k: F.coalesce(F.col(f"{k}_ok"), F.lit(True)) if f"{k}_ok" in have else F.lit(True)
     total = lambda xs: sum(xs[1:], xs[0])
-    out = []
-    for r in rules:
+    # columns first and rows after them: each figure is computed once, not once for each place that it is used in
+    why, figures, diffs, out = {}, {}, {}, []
+    for i, r in enumerate(rules):
         terms = [col(k) for k in (*r.lhs, *r.plus, *r.minus)]
         missing = [x.isNull() for x in terms]
         strange = [~ok(k) for k in (*r.lhs, *r.plus, *r.minus)]
@@ -71,13 +75,14 @@ def run_checks(wide: DataFrame, by: list[str], rules: tuple[Rule, ...] = RULES,
             strange.append(F.coalesce(*bad, F.lit(False)))
             used = F.concat(used, F.coalesce(*[F.when(s.isNotNull(), F.array(*map(F.lit, keys))) for s, keys in zip(sums, r.either, strict=True)], F.expr("cast(array() as array<string>)")))
         lhs, rhs_ = total([col(k) for k in r.lhs]).cast(MONEY), total(rhs).cast(MONEY)
-        diff, allowed, holds = compare(lhs, rhs_, terms, tolerance)
         any_ = lambda xs: F.coalesce(F.array_max(F.array(*xs)), F.lit(False))
-        status = F.when(any_(missing), MISSING).when(any_(strange), INCOMPARABLE).when(holds, PASSED).otherwise(FAILED)
-        counted = status.isin(PASSED, FAILED)
-        figures = {"lhs": lhs, "rhs": rhs_, "diff": diff, "tolerance": allowed}
-        out.append(F.struct(F.lit(r.key).alias("rule_key"), F.lit(r.severity).alias("severity"), status.alias("status"), *[F.when(counted, v).alias(k) for k, v in figures.items()], used.alias("inputs")))
-    return wide.select(*by, F.inline(F.array(*out)))
+        w, x, y, d, t = (F.col(f"_{c}{i}") for c in ("why", "lhs", "rhs", "diff", "tolerance"))
+        why[f"_why{i}"] = F.when(any_(missing), MISSING).when(any_(strange), INCOMPARABLE)
+        figures |= {f"_{c}{i}": F.when(w.isNull(), v) for c, v in (("lhs", lhs), ("rhs", rhs_), ("tolerance", _allowed(terms, tolerance)))}
+        diffs[f"_diff{i}"] = (x - y).cast(MONEY)
+        status = F.coalesce(w, F.when(F.abs(d) <= t, PASSED).otherwise(FAILED))
+        out.append(F.struct(F.lit(r.key).alias("rule_key"), F.lit(r.severity).alias("severity"), status.alias("status"), *[v.alias(k) for k, v in {"lhs": x, "rhs": y, "diff": d, "tolerance": t}.items()], used.alias("inputs")))
+    return wide.withColumns(why).withColumns(figures).withColumns(diffs).select(*by, F.inline(F.array(*out)))
 
 
 def summary(checks: DataFrame, by: list[str]) -> DataFrame:

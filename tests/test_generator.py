@@ -29,3 +29,9 @@ def test_planted_faults_are_found(spark):
     rows = generator.statements(spark.range(400).withColumnRenamed("id", "company"), "company", 2024, fault=fault)
     found = checks.run_checks(rows, ["company", "period"]).where("status = 'failed'").collect()
     assert {(r.company, int(r.period), r.rule_key) for r in found} == {(c, y, rules[c % 4]) for c in range(400) for y in range(2015, 2025) if c % 10 == y % 10}
+
+
+def test_much_work_on_few_bytes_is_spread(spark):
+    """Companies of one small file are one partition; their rows aren't."""
+    companies = spark.range(25_000).withColumnRenamed("id", "company").coalesce(1)
+    assert generator.statements(companies, "company", 2024).rdd.getNumPartitions() == 3
