@@ -64,21 +64,33 @@ def dictionary_problems(metrics: DataFrame) -> DataFrame:
 def parent_loops(metrics: DataFrame) -> DataFrame:
     """``key`` of the metrics that are their own ancestor, however far up.
 
-    Doubling: each metric knows the ancestor 2^k steps up and the smallest key met on the way. Metrics without so
-    many ancestors drop out; when the steps exceed the number of metrics, only those that lead into a loop are left,
-    and a loop's own members are those that the walk from a member of it passes.
+    Doubling: each metric knows the ancestor 2^k steps up, and the smallest key met on the way with the steps to it.
+    Metrics without so many ancestors drop out. One whose smallest key is its own stands in a loop, and the steps are the
+    loop's length; those that have met it lead into a loop that is known and drop out too. So the rounds follow the
+    longest way into a loop or to a metric without a parent, not the number of metrics. A loop's own members are
+    those that the walk from its smallest key passes; only metrics that lead into a loop are looked at for that.
     """
     parents = metrics.where("parent_key IS NOT NULL").select(F.col("metric_key").alias("key"), F.col("parent_key").alias("at")).dropDuplicates(["key"])
-    one, n = parents, metrics.count()
-    up, steps = store.written(parents, "parents"), 1
-    while steps <= n and not up.isEmpty():
-        up = store.written(up.join(up.select(F.col("key").alias("at"), F.col("at").alias("_at")), "at").select("key", F.col("_at").alias("at")), "parents")
+    up = store.written(parents.withColumn("low", F.struct(F.col("at").alias("key"), F.lit(1).cast("long").alias("steps"))), "parents")
+    one, steps = up.select("key", "at"), 1
+    loops = met = None
+    while not up.isEmpty():
+        own = up.where("low.key = key").select("key", F.col("low.steps").alias("length"))
+        if not own.isEmpty():
+            own = store.written(own, "loops")
+            inside = store.written(up.join(own.select(F.col("key").alias("_k")), F.col("low.key") == F.col("_k"), "left_semi").select("key"), "loops")
+            loops, met = (own, inside) if loops is None else (loops.unionByName(own), met.unionByName(inside))
+            up = up.join(inside, "key", "left_anti")
+        further = up.select(F.col("key").alias("at"), F.col("at").alias("_at"), F.struct(F.col("low.key").alias("key"), (F.col("low.steps") + steps).alias("steps")).alias("_low"))
+        up = store.written(up.join(further, "at").select("key", F.col("_at").alias("at"), F.least("low", "_low").alias("low")), "parents")
         steps *= 2
-    # so many steps up everyone that is left stands in a loop; from there all of the loop is reached by doubling
-    reached = up.select(F.col("at").alias("key")).distinct()
-    hop, steps = one, 1
-    while steps <= n and not reached.isEmpty():
+    if loops is None:
+        return parents.select("key").limit(0)
+    # all of a loop is reached by doubling from its smallest key
+    reached, hop, steps, longest = loops.select("key"), one.join(met, "key", "left_semi"), 1, loops.agg(F.max("length")).first()[0]
+    while steps < longest:
         reached = store.written(reached.unionByName(reached.join(hop, "key").select(F.col("at").alias("key"))).distinct(), "parents")
-        hop = store.written(hop.join(hop.select(F.col("key").alias("at"), F.col("at").alias("_at")), "at").select("key", F.col("_at").alias("at")), "parents")
         steps *= 2
+        if steps < longest:
+            hop = store.written(hop.join(hop.select(F.col("key").alias("at"), F.col("at").alias("_at")), "at").select("key", F.col("_at").alias("at")), "parents")
     return reached

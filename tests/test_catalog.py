@@ -92,3 +92,13 @@ def test_loops_of_any_depth(spark):
     got = parent_loops(spark.createDataFrame(rows, "metric_key string, parent_key string"))
     assert {r.key for r in got.collect()} == {f"l{k}" for k in range(50)} | {"self", "two", "owt"}
     assert parent_loops(spark.createDataFrame(rows[81:142], "metric_key string, parent_key string")).count() == 0
+
+
+def test_rounds_follow_the_depth_of_parents(spark, monkeypatch):
+    """A thousand loops of two take as few rounds as one."""
+    from steelyard.operators import constraints
+
+    seen, written = [], constraints.store.written
+    monkeypatch.setattr(constraints.store, "written", lambda df, name: seen.append(name) or written(df, name))
+    got = constraints.parent_loops(spark.range(2000).selectExpr("CAST(id AS STRING) AS metric_key", "CAST(id + 1 - 2 * (id % 2) AS STRING) AS parent_key"))
+    assert len(seen) <= 7 and got.count() == 2000
