@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steelyard.operators.extraction import PLAN_HEADING, TOP_HEADING
+from steelyard.sources import store
 
 # Ends of sentences, ends after which no line goes on, headings, captions of tables, gaps of columns.
 END, STOP = "。！？；", "。！？；："
@@ -27,6 +28,8 @@ LABEL_LENGTH, LABEL_HAN = 14, 2
 CELLS, RUN, SPREAD, MOSTLY, LONG = 3, 3, 0.18, 0.5, 8
 #: Sentences of fewer characters are fragments.
 SHORTEST = 8
+#: Sections of a task.
+SECTIONS = 20_000
 
 
 def trim(text: Column) -> Column:
@@ -110,12 +113,14 @@ def sentences(sections: DataFrame, *, shortest: int = SHORTEST) -> DataFrame:
     file, over pages and sections, until another top heading; the heading itself is no sentence.
     """
     rest = [c for c in sections.columns if c not in ("file_id", "section_id", "position", "text")]
-    x = sections.select("file_id", "section_id", "position", *rest, F.posexplode(blocks(F.col("text"))).alias("_b", "_line"))
+    # all windows below are inside of a file; counting the sections is one more pass over them
+    x = store.spread(sections, SECTIONS, "file_id").select("file_id", "section_id", "position", *rest, F.posexplode(blocks(F.col("text"))).alias("_b", "_line"))
     w = Window.partitionBy("file_id").orderBy("position", "section_id", "_b").rowsBetween(Window.unboundedPreceding, 0)
     inside = Window.partitionBy("file_id", "section_id").orderBy("position", "_b")
-    x = x.withColumn("paragraph", trim(F.col("_line")))
+    # the texts go through the windows once
+    x = x.select("file_id", "section_id", "position", *rest, "_b", trim(F.col("_line")).alias("paragraph"), (F.length("_line") + 1).alias("_length"))
     mark = F.when(F.col("paragraph").rlike(PLAN_HEADING), F.regexp_extract("paragraph", PLAN_HEADING, 1)).when(F.col("paragraph").rlike(TOP_HEADING), "")
-    start = F.coalesce(F.sum(F.length("_line") + 1).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum("_length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = x.withColumns({"plan_year": F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit("")), "_start": start})
     x = x.where((F.col("paragraph") != "") & ~is_table_row(F.col("paragraph")) & ~F.col("paragraph").rlike(HEADING))
     x = x.select("*", F.explode(_pieces(F.col("paragraph"))).alias("_p")).where(F.length("_p.sentence") >= shortest)
@@ -139,5 +144,5 @@ def report_claims(lines: DataFrame, reports: DataFrame, aliases: dict[str, list[
     """From lines of whole reports to claims in one go. ``reports`` has ``file_id, project_id, report_period``."""
     from steelyard.operators import extraction
 
-    found = sentences(page_sections(lines)).join(reports.select("file_id", "project_id", "report_period"), "file_id")
+    found = sentences(store.written(page_sections(lines), "sections")).join(reports.select("file_id", "project_id", "report_period"), "file_id")
     return extraction.claims(found, aliases)

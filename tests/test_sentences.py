@@ -119,3 +119,13 @@ def test_from_lines_to_claims(spark):
     assert (sold.claim_type, sold.period_norm, sold.direction) == ("demand_sales", "2024", "up")
     assert not any("100亿元" in t or "热轧" in t for t in got)
     assert {r.claim_type for t, r in got.items() if "可能下降" in t} <= {"demand_sales", "risk"} | {r.claim_type for r in got.values()} - {"management_budget"}
+
+
+def test_tasks_follow_the_sections(spark, monkeypatch):
+    """Files are dealt out once, to tasks of so many sections, and the windows stay there."""
+    monkeypatch.setattr(st, "SECTIONS", 4)
+    rows = [(k % 3, k, k, f"订单{k}的交付进度良好，公司整体\n经营保持稳定。") for k in range(12)]
+    got = st.sentences(spark.createDataFrame(rows, "file_id int, section_id int, position int, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(file_id" in plan and ", 4), REPARTITION_BY_NUM" in plan
+    assert {(r.section_id, r.n, r.sentence) for r in got.collect()} == {(k, 0, f"订单{k}的交付进度良好，公司整体经营保持稳定。") for k in range(12)}
