@@ -12,9 +12,8 @@ K1, B = 1.2, 0.75
 
 def trigrams(text: Column) -> Column:
     """All runs of three characters of the lower-case text, in order."""
-    chars = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(.)"), F.lit(1))
-    three = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return F.get(F.transform(F.array(chars), three), 0)  # an array of one binds the characters once
+    # each match takes one character, so the next begins at the next one, and looks ahead for three
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def postings(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
@@ -93,8 +92,10 @@ def search(pages: DataFrame, query: str, *, key: str = "page_id", text: str = "t
 def index_drift(pages: DataFrame, index: DataFrame, key: str = "page_id") -> DataFrame:
     """Keys with pages but no postings, and postings without a page."""
     p = pages.where(F.char_length("text") >= 3).select(key)
-    lost = p.join(index.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("not_indexed"))
-    return lost.unionByName(index.select(key).distinct().join(p, key, "left_anti").withColumn("side", F.lit("no_page")))
+    # both sides in one join, so that the index, which may be as dear as its pages, is read once
+    both = p.withColumn("_p", F.lit(True)).join(index.select(F.col(key).alias("_k")).distinct().withColumn("_i", F.lit(True)), F.col(key) == F.col("_k"), "full")
+    one = both.where("_p IS NULL OR _i IS NULL")
+    return one.select(F.when(F.col("_p"), F.col(key)).otherwise(F.col("_k")).alias(key), F.when(F.col("_p"), "not_indexed").otherwise("no_page").alias("side"))
 
 
 def ranked(pages: DataFrame, queries: DataFrame, index: DataFrame, k: int, key: str = "page_id") -> DataFrame:
