@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from steelyard.sources import store
 
+#: Rows of a task where all of a table is grouped or joined.
+ROWS = 500_000
+
 
 def unique(df: DataFrame, key: list[str], where: Column | None = None) -> DataFrame:
     rows = df if where is None else df.where(where)
-    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("unique").alias("rule"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("key"))
+    return store.spread(rows.select(*key), ROWS, *key).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("unique").alias("rule"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("key"))
 
 
 def foreign_key(df: DataFrame, column: str, parent: DataFrame, key: str, row: str) -> DataFrame:
-    p = parent.select(F.col(key).alias("_p")).distinct()
-    return df.where(F.col(column).isNotNull()).join(p, F.col(column) == F.col("_p"), "left_anti").select(F.lit(f"foreign_key {column}").alias("rule"), F.col(row).cast("string").alias("key"))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_c"), F.col(row).alias("_row"))
+    n = store.tasks(rows, ROWS)
+    # both sides are dealt to as many tasks, so neither is dealt out again
+    rows, p = rows.repartition(n, "_c"), parent.select(F.col(key).alias("_p")).repartition(n, "_p")
+    return rows.join(p, F.col("_c") == F.col("_p"), "left_anti").select(F.lit(f"foreign_key {column}").alias("rule"), F.col("_row").cast("string").alias("key"))
 
 
 def check(df: DataFrame, rule: str, holds: Column, row: str) -> DataFrame:

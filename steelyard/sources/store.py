@@ -33,11 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written_to(df, name))
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """So many tasks that each gets about ``rows`` rows of ``df``, which is counted and should be cheap to count."""
+    return df.count() // rows + 1
+
+
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """Deal ``df`` out, by ``keys`` or evenly, to so many tasks that each gets about ``rows`` rows. Their number follows the
-    input, where that of files and of shuffles by default doesn't: a task's memory stays as the input grows, and much
-    work on the rows of a small file has all cores. Counts ``df``, which should be cheap to count."""
-    return df.repartition(df.count() // rows + 1, *keys)
+    """Deal ``df`` out, by ``keys`` or evenly, to :func:`tasks`. Their number follows the input, where that of files and of
+    shuffles by default doesn't: a task's memory stays as the input grows, and much work on the rows of a small
+    file has all cores."""
+    return df.repartition(tasks(df, rows), *keys)
 
 
 def content_id(prefix: str, *parts: Column, size: int = 12) -> Column:

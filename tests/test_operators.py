@@ -479,3 +479,26 @@ def test_aliases_of_an_industry(spark):
     found = {i: {r.label: r.metric_key for r in alias_lookup(rows, F.trim, i)[0].collect()} for i in (None, "steel", "energy")}
     assert found["steel"]["销售量"] == "steel_sales_volume" and found["energy"]["销售量"] == "coal_sales_volume" and all(f["营业收入"] == "revenue" and f["净额"] == "cfo" for f in found.values())
     assert alias_lookup(rows, F.trim)[1].count() == 1 and alias_lookup(rows, F.trim, "steel")[1].count() == 0
+
+
+def test_drift_reads_the_index_once(spark):
+    from steelyard.operators import search
+
+    pages = spark.createDataFrame([("a", "abcd"), ("b", "a😀bc"), ("c", "xy"), (None, "long")], "page_id string, text string")
+    index = search.postings(pages.where("page_id <> 'a'").unionByName(spark.createDataFrame([("d", "gone")], "page_id string, text string")))
+    assert {(r.page_id, r.gram) for r in index.collect()} == {("b", "a😀b"), ("b", "😀bc"), ("d", "gon"), ("d", "one")}
+    drift = search.index_drift(pages, index)
+    assert sorted((str(r.page_id), r.side) for r in drift.collect()) == [("None", "not_indexed"), ("a", "not_indexed"), ("d", "no_page")]
+    assert drift._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_constraints_have_tasks_by_rows(spark, monkeypatch):
+    from steelyard.operators import constraints
+
+    monkeypatch.setattr(constraints, "ROWS", 10)
+    rows = spark.range(60).selectExpr("id % 50 AS k", "CAST(IF(id % 7 = 0, NULL, id) AS BIGINT) AS v")
+    twice = constraints.unique(rows, ["k"])
+    assert ", 7), REPARTITION_BY_NUM" in twice._jdf.queryExecution().executedPlan().toString() and {r.key for r in twice.collect()} == {str(k) for k in range(10)}
+    lost = constraints.foreign_key(rows, "v", spark.range(30).withColumnRenamed("id", "p"), "p", "k")
+    assert lost._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert sorted(int(r.key) for r in lost.collect()) == sorted(k % 50 for k in range(30, 60) if k % 7)
