@@ -118,6 +118,63 @@ def test_forgetting_changes_nothing(reference, monkeypatch):
     assert all(len(p) <= bytepairs.LONGEST for p in encoder.known)
 
 
+def test_pieces_by_classes_are_the_pattern_s():
+    """Blanks, apostrophes and characters of one to four bytes in any order, in texts that lie one after the other."""
+    import pyarrow as pa
+    import regex
+
+    from steelyard.llm import texthash
+    from steelyard.llm.bytepairs import BY_CLASS, pattern, piece_starts
+
+    assert pattern() == BY_CLASS
+    r = random.Random(9)
+    parts = [*" \t\n\r\x1c\x85\xa0\u2003\u3000aestmdrvlzSTé中𝒜😀5٣½Ⅷ_.\u0301\u200b\0", *"'" * 4, *" " * 3, "'s", "'re", "'ve", "'ll", "'S", "  "]
+    some = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    some += ["a'", "s", " ", "b", "", "x ", "'", "'r", "e", "'l", "\u3000", "y", None]
+    data, offsets = texthash.utf8(pa.array(some, pa.large_string()))
+    start = piece_starts(data, offsets)
+    assert len(piece_starts(data[:0], offsets[:1])) == 0
+    got = [data[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(data)), strict=True)]
+    assert got == [p.encode() for t in some for p in regex.findall(BY_CLASS, t or "")]
+
+
+def test_byte_pairs_cut_by_classes_or_by_another_pattern(reference):
+    import tiktoken
+
+    from steelyard.llm.bytepairs import Encoder, pattern, rank_file, read_ranks
+
+    ranks = read_ranks(rank_file())
+    encoder = Encoder(ranks, pattern())
+    encoder.find = None  # no text goes through the pattern's engine
+    flat, counts = encoder.texts(texts())
+    assert np.frombuffer(flat, dtype=np.int32).tolist() == [i for t in texts() for i in reference.encode_ordinary(t or "")]
+    assert counts == [len(reference.encode_ordinary(t or "")) for t in texts()]
+    split = r"\p{L}{1,3}|\s+|[^\s\p{L}]+"
+    other = tiktoken.Encoding("other", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+    flat, counts = Encoder(ranks, split).texts(texts())
+    assert np.frombuffer(flat, dtype=np.int32).tolist() == [i for t in texts() for i in other.encode_ordinary(t or "")]
+    assert counts == [len(other.encode_ordinary(t or "")) for t in texts()]
+
+
+@pytest.mark.parametrize("wrong", [-1, 1 << 20, None])
+def test_ids_outside_the_vocabulary_are_errors(spark, wrong):
+    from steelyard.llm.bytepairs import decode
+
+    with pytest.raises(Exception, match="out of bounds|is null"):
+        decode(spark.createDataFrame([(1, [5, 6]), (2, [7, wrong])], "doc_id long, ids array<int>")).collect()
+
+
+def test_decoding_with_nulls_between(spark):
+    from steelyard.llm.bytepairs import decode, rank_file, read_ranks
+
+    known = {r: t for t, r in read_ranks(rank_file()).items()}
+    rows = [(k, None if k % 7 == 3 else [(k * 31 + j * 977) % len(known) for j in range(k % 5)]) for k in range(60)]
+    got = {r.doc_id: r for r in decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)).collect()}
+    for k, ids in rows:
+        assert got[k].ids == ids
+        assert got[k].bytes == (None if ids is None else b"".join(known[i] for i in ids))
+
+
 def test_byte_pairs_of_nothing_and_of_clashing_names(spark, docs):
     from steelyard.llm.bytepairs import decode, encode
 
