@@ -352,6 +352,26 @@ def test_repeated_bytes(docs, rows, none, length, token):
     assert repeated_bytes(none).count() == 0
 
 
+def test_repeated_bytes_counts_bytes_not_words(spark):
+    """Passages of 51 to 80 words in two texts each: those of 400 bytes go, shorter ones stay, other texts too."""
+    from steelyard.llm.suffixes import repeated_bytes
+
+    r = np.random.default_rng(8)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, n)) for n in r.integers(2, 10, 500)]
+    prose = lambda n: " ".join(words[i] for i in r.integers(0, len(words), n))
+    passages = [prose(n) for n in (*range(51, 81), 51, 51)]
+    passages[-2], passages[-1] = (passages[-2] + "x" * 400)[:399], (passages[-1] + "x" * 400)[:400]
+    texts = [prose(70) + before + p + after + prose(70) for p in passages for before, after in (("\n", "\t"), (";", ":"))]
+    rows = [*enumerate(texts), *((1000 + i, prose(150)) for i in range(20))]
+    got = {x.doc_id: x for x in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {len(p) < 400 for p in passages[:-2]} == {True, False}
+    for i, text in rows:
+        part = passages[i // 2] if i < len(texts) and len(passages[i // 2]) >= 400 else ""
+        left = text.replace(part, "", 1)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(text), len(part), int(part != "")), i
+        assert got[i].kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
 def test_multikey_order():
     from steelyard.llm.suffixes import multikey_order
 
