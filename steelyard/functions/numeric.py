@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,15 +40,15 @@ def period_gap(prev: Column, curr: Column) -> Column:
     return year_of(curr) - year_of(prev)
 
 
-def parse_figure(text: Column) -> Column:
+def parse_figure(text: Column, let: Callable[[Column, Callable[[Column], Column]], Column] = lambda value, use: use(value)) -> Column:
     """``struct(value, is_dash)`` of a printed figure: thousands separators, full-width signs, brackets for
-    negatives; a dash is no value but a stated nil, anything else unreadable is null."""
-    t = F.translate(F.regexp_replace(text, r"[\s　,，]", ""), "（）－−０１２３４５６７８９．", "()--0123456789.")
-    inner = F.regexp_extract(t, r"^\((.*)\)$", 1)
-    bare = F.when(inner != "", F.concat(F.lit("-"), inner)).otherwise(t)
-    dash = F.coalesce(t.rlike(r"^[-—–]+$"), F.lit(False))
-    value = F.when(~dash & bare.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), bare.try_cast(MONEY))
-    return F.struct(value.alias("value"), dash.alias("is_dash"))
+    negatives; a dash is no value but a stated nil, anything else unreadable is null. ``let`` may compute a step once
+    where Spark doesn't, as in functions of an array's elements."""
+    dash = lambda t: F.coalesce(t.rlike(r"^[-—–]+$"), F.lit(False))
+    bare = lambda t: let(F.regexp_extract(t, r"^\((.*)\)$", 1), lambda inner: F.when(inner != "", F.concat(F.lit("-"), inner)).otherwise(t))
+    value = lambda t, dash: F.when(~dash, let(bare(t), lambda b: F.when(b.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), b.try_cast(MONEY))))
+    read = lambda t: let(dash(t), lambda d: F.struct(value(t, d).alias("value"), d.alias("is_dash")))
+    return let(F.translate(F.regexp_replace(text, r"[\s　,，]", ""), "（）－−０１２３４５６７８９．", "()--0123456789."), read)
 
 
 def _factor(unit: Column, factors: dict[str, str]) -> Column:
