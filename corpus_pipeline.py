@@ -14,7 +14,7 @@ from steelyard.llm.common import materialize, table
 from steelyard.llm.minhash import keep_one
 from steelyard.llm.mixing import LEAST, mix, repeat_rows
 from steelyard.llm.packing import pack
-from steelyard.llm.pii import pseudonymize, secret_key
+from steelyard.llm.pii import pseudonymize, query_key
 from steelyard.llm.quality_model import score, train
 
 
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms for personal data, and n_chars of the new text. Null and empty texts stay as they are."""
-    return pseudonymize(docs, key=secret_key(spark), count=None).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return pseudonymize(docs, key=query_key(spark), count=None).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

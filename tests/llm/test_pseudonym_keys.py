@@ -51,3 +51,14 @@ def test_a_domain_of_many_labels(spark):
     rows = [("".join(r.choice("ab@@..-_1é ") for _ in range(40)),) for _ in range(20_000)]
     both = spark.createDataFrame(rows, "t string").selectExpr(*[rf"regexp_extract_all(t, r'(?<![\p{{L}}\p{{N}}_])(?:{p})(?![\p{{L}}\p{{N}}_])', 0) AS {c}" for p, c in ((was, "was"), (SHAPES["email"], "now"))])
     assert both.where("size(now) > 0").count() > 1000 and both.where("was <> now").count() == 0
+
+
+def test_the_pipeline_draws_a_key_on_a_cluster(cluster, sf):
+    from corpus_pipeline import private
+    from steelyard.llm.common import table
+    from steelyard.llm.pii import pseudonymize, query_key
+
+    docs = table(cluster, sf, "documents")
+    with pytest.warns(UserWarning, match="unset"):
+        found = {r.doc_id: r.text for r in private(cluster, docs, sf).collect()}
+        assert found == {r.doc_id: r.text for r in pseudonymize(docs, key=query_key(cluster)).collect()}
